@@ -112,11 +112,13 @@ def vector_moments(df: DataFrame, vector: str, p: int) -> Moments:
 
 
 def symmetric_eigen(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvalues (descending) and vectors whose largest entry is positive."""
+    """Eigenvalues (descending) and vectors whose first largest entry is positive."""
     values, vectors = np.linalg.eigh(matrix)
     values, vectors = values[::-1], vectors[:, ::-1]
-    top = vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])]
-    return values, vectors * np.where(top < 0, -1.0, 1.0)
+    size = np.abs(vectors)
+    # entries that tie up to rounding count as equal
+    first = (size >= size.max(axis=0) * (1 - 1e-9)).argmax(axis=0)
+    return values, vectors * np.where(vectors[first, np.arange(vectors.shape[1])] < 0, -1.0, 1.0)
 
 
 def linear(cols: Sequence[Column], weights: Sequence[float], constant: float = 0.0) -> Column:

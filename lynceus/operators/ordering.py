@@ -33,8 +33,9 @@ def max_rows_per_task(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_SETTING, str(DEFAULT_ROWS)))
 
 
-def _sizes(df: DataFrame, key: list[str]) -> tuple[int, int]:
+def group_sizes(df: DataFrame, key: str | Sequence[str] | None = None) -> tuple[int, int]:
     """(rows of the largest group, rows in all)."""
+    key = as_list(key)
     if not key:
         n = df.count()
         return n, n
@@ -100,15 +101,16 @@ def _same_as(left: DataFrame, key: list[str]) -> Column:
 def over_order(df: DataFrame, order: str | Sequence[str],
                columns: Callable[[WindowSpec], dict[str, Column]],
                key: str | Sequence[str] | None = None, back: int = 0, ahead: int = 0,
-               limit: int | None = None) -> DataFrame:
+               limit: int | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Append columns that look at most ``back`` rows behind and ``ahead`` rows in front.
 
     ``columns`` receives a window partitioned by the key and ordered by
-    ``order`` (which must be a total order within a key).
+    ``order`` (which must be a total order within a key).  ``sizes`` passes on
+    a known ``group_sizes`` of the rows, or an upper bound of it.
     """
     key, order = as_list(key), as_list(order)
     limit = limit or max_rows_per_task(df.sparkSession)
-    largest, total = _sizes(df, key)
+    largest, total = sizes or group_sizes(df, key)
     if largest <= limit:
         new = columns(Window.partitionBy(*key).orderBy(*order))
         return df.select("*", *[c.alias(n) for n, c in new.items()])
@@ -119,11 +121,12 @@ def over_order(df: DataFrame, order: str | Sequence[str],
 
 
 def row_index(df: DataFrame, order: str | Sequence[str], key: str | Sequence[str] | None = None,
-              name: str = "row_idx", limit: int | None = None) -> DataFrame:
+              name: str = "row_idx", limit: int | None = None,
+              sizes: tuple[int, int] | None = None) -> DataFrame:
     """Number the rows 0, 1, 2, ... along ``order`` (per key, when one is given)."""
     key, order = as_list(key), as_list(order)
     limit = limit or max_rows_per_task(df.sparkSession)
-    largest, total = _sizes(df, key)
+    largest, total = sizes or group_sizes(df, key)
     if largest <= limit:
         number = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
         return df.withColumn(name, (number - 1).cast("long"))

@@ -12,10 +12,10 @@ from lynceus.operators.ordering import as_list, over_order, row_index
 
 
 def embed(df: DataFrame, w: int, key: str | Sequence[str] | None = None, order="ds", y: str = "y",
-          out: str = "window", keep_short: bool = False) -> DataFrame:
+          out: str = "window", keep_short: bool = False, sizes=None) -> DataFrame:
     """Sliding windows of ``w`` values, stride 1: the window that starts at each row."""
     rows = over_order(df, order, lambda win: {out: F.collect_list(y).over(win.rowsBetween(0, w - 1))},
-                      key=key, ahead=w - 1)
+                      key=key, ahead=w - 1, sizes=sizes)
     return rows if keep_short else rows.filter(F.size(out) == w)
 
 
