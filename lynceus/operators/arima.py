@@ -9,6 +9,7 @@ costs two passes, for one long series as for many short ones.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from math import log
 
 import numpy as np
@@ -18,11 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lynceus.functions.least_squares import dot, least_squares, ridge_solution, solve_grams, with_model
-from lynceus.operators.ordering import as_list, group_sizes, over_order
-from lynceus.operators.series import SigmaRule, sigma_rule_by
+from lynceus.operators.ordering import as_list, group_sizes, over_order, row_index
+from lynceus.session import durable
 
 # Fixed value: default threshold of the sigma rule.
 DEFAULT_K = 3.0
+# Forecast rows handed on at a time.
+BLOCK = 10_000
 
 
 def _differences(df: DataFrame, d: int, key, order: str, y: str, sizes) -> DataFrame:
@@ -43,13 +46,20 @@ def _differences(df: DataFrame, d: int, key, order: str, y: str, sizes) -> DataF
     return over_order(df, order, columns, key=key, back=d, sizes=sizes)
 
 
+@dataclass
 class Arima:
-    """Fitted model table (key..., p, q, coef, aic, sse, n) with the transformed rows."""
-
-    def __init__(self, model: DataFrame, rows: DataFrame, key: list[str], d: int, max_p: int, max_q: int,
-                 y: str, order: str):
-        self.model, self.rows, self.key, self.d = model, rows, key, d
-        self.max_p, self.max_q, self.y, self.order = max_p, max_q, y, order
+    """Fitted model table (key..., p, q, coef, aic, sse, n) and the last row of lags per series."""
+
+    model: DataFrame
+    ends: DataFrame
+    limits: DataFrame  # key..., threshold
+    key: list[str]
+    d: int
+    max_p: int
+    max_q: int
+    y: str
+    order: str
+    rows: DataFrame | None = None  # training rows with their lags; not stored
 
     def _design(self):
         return ([F.lit(1.0)] + [F.col(f"_w{i}") for i in range(1, self.max_p + 1)]
@@ -68,42 +78,60 @@ class Arima:
     def forecast(self, periods: int) -> DataFrame:
         """Forecasts 1..periods ahead per series from its last row of lags."""
         d, key, max_p, max_q = self.d, self.key, self.max_p, self.max_q
-        # the lags of the last row are all a forecast needs
-        last = self.rows.withColumn("_all", F.struct(
-            F.col(self.order).alias("_o"), *[F.col(c) for c in self._state_columns()]))
-        ends = last.groupBy(*key).agg(F.max("_all").alias("_all")).select(*key, "_all.*")
-        ends = with_model(ends, self.model, key, ["coef"])
+        ends = with_model(self.ends, self.model, key, ["coef"])
         fields = [ends.schema[k] for k in key]
-        schema = T.StructType(fields + [T.StructField("step", T.IntegerType()),
+        schema = T.StructType(fields + [T.StructField("step", T.LongType()),
                                         T.StructField("y_pred", T.DoubleType())])
+        names = [f.name for f in schema.fields]
 
         def run(batches):
             for pdf in batches:
-                out = []
                 for row in pdf.to_dict("records"):
                     w = [row["_w"]] + [row[f"_w{i}"] for i in range(1, max_p + 1)]
                     e = [row["_e"]] + [row[f"_e{i}"] for i in range(1, max_q + 1)]
                     coef = np.asarray(row["coef"], float)
                     tails = [row[f"_t{i}"] for i in range(d)]
+                    out = []
                     for step in range(1, periods + 1):
                         x = np.array([1.0, *w[:max_p], *e[:max_q]], float)
                         value = float(coef @ np.nan_to_num(x))
-                        w, e = [value, *w], [0.0, *e]
+                        w, e = [value, *w[:max_p]], [0.0, *e[:max_q]]
                         total = value
                         for i in reversed(range(d)):
                             total = tails[i] = tails[i] + total
                         out.append([*[row[k] for k in key], step, total])
-                yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
+                        if len(out) == BLOCK:
+                            yield pd.DataFrame(out, columns=names)
+                            out = []
+                    if out:
+                        yield pd.DataFrame(out, columns=names)
 
         return ends.mapInPandas(run, schema)
 
-    def _state_columns(self) -> list[str]:
-        return (["_w", "_e"] + [f"_w{i}" for i in range(1, self.max_p + 1)]
-                + [f"_e{i}" for i in range(1, self.max_q + 1)] + [f"_t{i}" for i in range(self.d)])
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Score rows that follow the training rows against the forecast, in order."""
+        return score_ahead(df, self.forecast, self.limits, self.key, self.order, self.y)
+
+
+def score_ahead(df: DataFrame, forecast, limits: DataFrame, key: list[str], order: str, y: str) -> DataFrame:
+    """The i-th new row of a series meets its i-step forecast; errors above the training limit are flagged."""
+    rows = row_index(df, order, key=key, name="_step").withColumn("_step", F.col("_step") + 1)
+    periods = rows.agg(F.max("_step")).first()[0] or 0
+    ahead = forecast(periods).withColumnRenamed("step", "_step")
+    rows = rows.join(ahead, [*key, "_step"], "left").drop("_step")
+    rows = with_model(rows, limits, key, ["threshold"])
+    rows = rows.withColumn("error", F.col(y) - F.col("y_pred"))
+    return rows.withColumns({"score": F.abs("error"), "is_anomaly": F.abs("error") > F.col("threshold")})
+
+
+def error_limits(fitted: DataFrame, key: list[str], k: float) -> DataFrame:
+    """Sigma-rule threshold per series from the training errors."""
+    return fitted.groupBy(*key).agg((F.avg(F.abs("error")) + k * F.stddev_pop(F.abs("error"))).alias("threshold"))
 
 
 def fit_arima(df: DataFrame, d: int = 1, max_p: int = 2, max_q: int = 2, start_p: int = 0, start_q: int = 0,
-              key: str | Sequence[str] | None = None, order: str = "ds", y: str = "y") -> Arima:
+              key: str | Sequence[str] | None = None, order: str = "ds", y: str = "y",
+              k: float = DEFAULT_K) -> Arima:
     key = as_list(key)
     long_ar = max(max_p, max_q) + 3
     rows = df.select(*key, order, F.col(y).cast("double").alias(y))
@@ -138,11 +166,17 @@ def fit_arima(df: DataFrame, d: int = 1, max_p: int = 2, max_q: int = 2, start_p
 
     model = solve_grams(rows, design, F.col("_w"), key, choose,
                         "p int, q int, coef array<double>, aic double, sse double, n long")
-    return Arima(model, rows, key, d, max_p, max_q, y, order)
+    state = ["_w", "_e", *[f"_w{i}" for i in range(1, max_p + 1)], *[f"_e{i}" for i in range(1, max_q + 1)],
+             *[f"_t{i}" for i in range(d)]]
+    last = F.max(F.struct(F.col(order).alias("_o"), *state)).alias("_last")
+    ends = rows.groupBy(*key).agg(last).select(*key, *[F.col(f"_last.{c}").alias(c) for c in state])
+    fit = Arima(durable(model), durable(ends), None, key, d, max_p, max_q, y, order, rows)
+    fit.limits = error_limits(fit.fitted(), key, k)
+    return fit
 
 
-def arima_anomalies(df: DataFrame, k: float = DEFAULT_K, **options) -> DataFrame:
+def arima_anomalies(df: DataFrame, **options) -> DataFrame:
     """Fitted values flagged by the sigma rule, with one threshold per series."""
     fit = fit_arima(df, **options)
-    rows = fit.fitted()
-    return sigma_rule_by(rows, fit.key, k) if fit.key else SigmaRule.fit(rows, k).apply(rows)
+    rows = with_model(fit.fitted(), fit.limits, fit.key, ["threshold"])
+    return rows.withColumns({"score": F.abs("error"), "is_anomaly": F.abs("error") > F.col("threshold")})

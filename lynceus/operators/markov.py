@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from lynceus.operators.metrics import label_pairs
 from lynceus.operators.ordering import as_list, over_order
+from lynceus.session import durable
 
 
 def _steps(df: DataFrame, state: str, order, key) -> DataFrame:
@@ -53,3 +54,23 @@ def score_transitions(df: DataFrame, matrix: DataFrame, state: str, order: str |
     seen = F.col("state_from").isNotNull()
     return (scored.withColumn("p", F.when(seen, F.coalesce("_p", F.lit(0.0))))
             .withColumn("is_anomaly", F.coalesce(F.col("p") < min_p, F.lit(False))).drop("_p"))
+
+
+@dataclass
+class MarkovChain:
+    """Fitted transition matrix that scores the steps of new sequences."""
+
+    matrix: DataFrame
+    state: str
+    order: list[str]
+    key: list[str]
+    min_p: float
+
+    @classmethod
+    def fit(cls, df: DataFrame, state: str, order: str | Sequence[str],
+            key: str | Sequence[str] | None = None, min_p: float = 0.05) -> MarkovChain:
+        matrix = durable(transition_matrix(df, state, order, key))
+        return cls(matrix, state, as_list(order), as_list(key), min_p)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return score_transitions(df, self.matrix, self.state, self.order, self.key, self.min_p)

@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lynceus.functions.least_squares import with_model
+from lynceus.operators.arima import error_limits, score_ahead
 from lynceus.operators.ordering import as_list, max_rows_per_task, row_index
-from lynceus.operators.series import SigmaRule, sigma_rule_by
 from lynceus.session import durable
 
 KINDS = (None, "add", "mul")
@@ -140,30 +141,41 @@ def refined_grid(model: Model, best: np.ndarray, step: float) -> np.ndarray:
     return np.array(list(product(*axes)))
 
 
+@dataclass
 class Smoothing:
-    """Fitted rows (key..., order, y, y_pred, error) and parameters (key..., alpha, beta, gamma, sse, state)."""
+    """Parameters (key..., alpha, beta, gamma, sse, state) and fitted training rows."""
 
-    def __init__(self, model: Model, key: list[str], rows: DataFrame, params: DataFrame):
-        self.model, self.key, self.rows, self.params = model, key, rows, params
+    model: Model
+    key: list[str]
+    params: DataFrame
+    limits: DataFrame | None  # key..., threshold
+    order: str
+    y: str
+    rows: DataFrame | None = None  # fitted training rows; not stored
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Score rows that follow the training rows against the forecast, in order."""
+        return score_ahead(df, self.forecast, self.limits, self.key, self.order, self.y)
 
     def forecast(self, periods: int) -> DataFrame:
         model, key = self.model, self.key
         fields = [self.params.schema[k] for k in key]
-        schema = T.StructType(fields + [T.StructField("step", T.IntegerType()),
+        schema = T.StructType(fields + [T.StructField("step", T.LongType()),
                                         T.StructField("y_pred", T.DoubleType())])
 
         def run(batches):
             for pdf in batches:
-                out = [[*[r[k] for k in key], i + 1, float(v)] for r in pdf.to_dict("records")
-                       for i, v in enumerate(model.ahead(np.asarray(r["state"], float), periods))]
-                yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
+                for r in pdf.to_dict("records"):
+                    path = model.ahead(np.asarray(r["state"], float), periods)
+                    yield pd.DataFrame({**{k: [r[k]] * periods for k in key},
+                                        "step": np.arange(1, periods + 1), "y_pred": path})
 
         return self.params.select(*key, "state").mapInPandas(run, schema)
 
 
 def exp_smoothing(df: DataFrame, trend: str | None = None, seasonal: str | None = None,
                   seasonal_periods: int = 0, key: str | Sequence[str] | None = None, order: str = "ds",
-                  y: str = "y", params: Sequence[float] | None = None, step: float = 0.1,
+                  y: str = "y", params: Sequence[float] | None = None, step: float = 0.1, k: float = 3.0,
                   chunk: int | None = None) -> Smoothing:
     """Fit the smoothing of every series; ``params`` = (alpha, beta, gamma) skips the search."""
     model = Model(trend, seasonal, seasonal_periods if seasonal else 0)
@@ -177,7 +189,9 @@ def exp_smoothing(df: DataFrame, trend: str | None = None, seasonal: str | None
     if longest is None:
         raise ValueError("the series has no values")
     search = _one_chunk if longest == 0 else _many_chunks
-    return search(model, rows, key, order, y, fixed, step)
+    fit = search(model, rows, key, order, y, fixed, step)
+    fit.limits = error_limits(fit.rows, key, k)
+    return fit
 
 
 def _schemas(rows: DataFrame, key: list[str], order: str, y: str) -> tuple[list, T.StructType]:
@@ -229,7 +243,7 @@ def _one_chunk(model: Model, rows: DataFrame, key, order, y, fixed, step) -> Smo
 
     done = durable(rows.groupBy(*(key or ["_chunk"])).applyInPandas(fit, fit_schema))
     params = done.filter("state is not null").select(*key, "alpha", "beta", "gamma", "sse", "state")
-    return Smoothing(model, key, _errors(done, key, order, y), params)
+    return Smoothing(model, key, params, None, order, y, _errors(done, key, order, y))
 
 
 def _errors(done: DataFrame, key, order, y) -> DataFrame:
@@ -282,7 +296,7 @@ def _many_chunks(model: Model, rows: DataFrame, key, order, y, fixed, step) -> S
     done = durable(_chunk_runs(model, rows, states, by, order, y, keep=True))
     last = done.filter("state is not null").groupBy(*by).agg(F.max_by("state", "_chunk").alias("state"))
     params = best.join(last, by).select(*key, "alpha", "beta", "gamma", "sse", "state")
-    return Smoothing(model, key, _errors(done.filter(F.col(order).isNotNull()), key, order, y), params)
+    return Smoothing(model, key, params, None, order, y, _errors(done, key, order, y))
 
 
 STATE = "cand int, alpha double, beta double, gamma double, state array<double>"
@@ -401,10 +415,11 @@ def _chunk_runs(model: Model, rows: DataFrame, states: DataFrame, by, order, y,
             .applyInPandas(run, ddl))
 
 
-def smoothing_anomalies(df: DataFrame, k: float = 3.0, **options) -> DataFrame:
+def smoothing_anomalies(df: DataFrame, **options) -> DataFrame:
     """Fitted values flagged by the sigma rule, with one threshold per series."""
     fit = exp_smoothing(df, **options)
-    return sigma_rule_by(fit.rows, fit.key, k) if fit.key else SigmaRule.fit(fit.rows, k).apply(fit.rows)
+    rows = with_model(fit.rows, fit.limits, fit.key, ["threshold"])
+    return rows.withColumns({"score": F.abs("error"), "is_anomaly": F.abs("error") > F.col("threshold")})
 
 
 def ses(df: DataFrame, alpha: float, key: str | Sequence[str] | None = None, order: str = "ds",

@@ -14,6 +14,7 @@ from lynceus.functions.distributions import normal_quantile
 from lynceus.functions.least_squares import dot, least_squares, with_model
 from lynceus.operators.ordering import as_list
 from lynceus.operators.series import align_forecast, flag_interval, future_frame
+from lynceus.session import durable
 
 # Seasons as (period in days, Fourier order), changepoints, the
 # share of the time span that holds them, and the width of the interval.
@@ -36,11 +37,12 @@ class TrendSeason:
     seasons: dict[str, tuple[float, int]]
     changepoints: int
     interval: float
+    factor: float = 1.0
 
     @classmethod
     def fit(cls, df: DataFrame, key: str | Sequence[str] | None = None,
             changepoints: int = CHANGEPOINTS, seasons: Mapping | None = None,
-            interval: float = INTERVAL_WIDTH, ridge: float | None = None) -> TrendSeason:
+            interval: float = INTERVAL_WIDTH, ridge: float | None = None, factor: float = 1.0) -> TrendSeason:
         """``seasons`` defaults to those with two full periods in the data and a finer spacing."""
         key = as_list(key)
         rows = df.select(*key, "ds", F.col("y").cast("double").alias("y"))
@@ -51,7 +53,7 @@ class TrendSeason:
                 F.max("span"), F.avg(F.col("span") / F.greatest(F.col("_n") - 1, F.lit(1)))).first()
             seasons = {name: s for name, s in SEASONS.items()
                        if span and span >= 2 * s[0] * DAY and spacing < s[0] * DAY}
-        self = cls(None, key, dict(seasons), changepoints, interval)
+        self = cls(None, key, dict(seasons), changepoints, interval, factor)
         rows = with_model(rows, extent, key, ["start", "span"])
         penalty = ([0.0, 0.0] + [HINGE_RIDGE if ridge is None else ridge] * changepoints
                    + [SEASON_RIDGE if ridge is None else ridge] * (2 * sum(o for _, o in seasons.values())))
@@ -62,7 +64,7 @@ class TrendSeason:
         else:
             one = extent.first()
             model = solved.withColumns({"start": F.lit(one["start"]), "span": F.lit(one["span"])})
-        self.model = model.select(*key, "coef", sigma.alias("sigma"), "start", "span")
+        self.model = durable(model.select(*key, "coef", sigma.alias("sigma"), "start", "span"))
         return self
 
     def _design(self) -> list[Column]:
@@ -86,10 +88,10 @@ class TrendSeason:
         return rows.select(*self.key, "ds", "yhat", (F.col("yhat") - half).alias("yhat_lower"),
                            (F.col("yhat") + half).alias("yhat_upper"))
 
-    def detect(self, df: DataFrame, factor: float = 1.0) -> DataFrame:
+    def transform(self, df: DataFrame) -> DataFrame:
         """Actual rows against their forecast, flagged by the interval rule."""
-        forecast = self.predict(df.select(*self.key, "ds"))
-        return flag_interval(align_forecast(forecast, df.select(*self.key, "ds", "y"), self.key), factor)
+        forecast = self.predict(df.select(*self.key, "ds").distinct())
+        return flag_interval(align_forecast(forecast, df, self.key), self.factor)
 
     def horizon(self, df: DataFrame, periods: int | None = None) -> DataFrame:
         return self.predict(future_frame(df, periods, self.key))

@@ -3,20 +3,22 @@ and the lagged forecaster."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lynceus.functions.least_squares import dot, least_squares, with_model
-from lynceus.functions.moments import gram, symmetric_eigen
+from lynceus.functions.least_squares import least_squares, with_model
+from lynceus.functions.moments import gram, linear, symmetric_eigen
 from lynceus.operators.ordering import as_list, group_sizes, over_order, row_index
-from lynceus.operators.series import embed, lag_features
+from lynceus.operators.series import ZRule, embed, lag_features
+from lynceus.session import durable
 
 # Defaults of the three detectors.
 SSA_WINDOW, SSA_FREQUENCY, SSA_CONTRIBUTION = 10, 0.05, 0.975
@@ -25,13 +27,16 @@ TRAIN_SHARE = 0.8
 GROUPS = ["trend", "seasonal", "residual"]
 
 
-def standardise(df: DataFrame, col: str, out: str, key=None) -> DataFrame:
-    """z-scores per series with the population sigma (0 counts as 1)."""
-    key = as_list(key)
-    stats = df.groupBy(*key).agg(F.avg(col).alias("_m"), F.stddev_pop(col).alias("_sd"))
+def scale_stats(df: DataFrame, col: str, key=None) -> DataFrame:
+    """Mean ``_m`` and population sigma ``_sd`` (0 counts as 1) per series."""
+    sd = F.stddev_pop(col)
+    return df.groupBy(*as_list(key)).agg(F.avg(col).alias("_m"),
+                                         F.when(sd == 0, F.lit(1.0)).otherwise(sd).alias("_sd"))
+
+
+def standardise(df: DataFrame, col: str, out: str, stats: DataFrame, key=None) -> DataFrame:
     rows = with_model(df, stats, key, ["_m", "_sd"])
-    z = (F.col(col) - F.col("_m")) / F.when(F.col("_sd") == 0, F.lit(1.0)).otherwise(F.col("_sd"))
-    return rows.withColumn(out, z).drop("_m", "_sd")
+    return rows.withColumn(out, (F.col(col) - F.col("_m")) / F.col("_sd")).drop("_m", "_sd")
 
 
 def spectral_groups(vectors: np.ndarray, f_bound: float, contribution: float) -> list[int]:
@@ -75,17 +80,16 @@ def _diagonal_weights(projections: np.ndarray, a: int, b: int, L: int) -> np.nda
     return out / max(len(starts), 1)
 
 
-def ssa(df: DataFrame, window: int = SSA_WINDOW, f_bound: float = SSA_FREQUENCY,
-        contribution: float = SSA_CONTRIBUTION, k: float = THRESHOLD, key=None, order: str = "ds",
-        y: str = "y") -> DataFrame:
-    """Trend, seasonal and residual parts of the scaled series; large residuals are flagged.
+def decompose(df: DataFrame, stats: DataFrame, window: int, f_bound: float, contribution: float,
+              key: list[str], order: str, y: str) -> DataFrame:
+    """Trend, seasonal and residual parts of the scaled series.
 
     Diagonal averaging makes every reconstructed value a weighted mean of its
     neighbours within window - 1 rows, so no window is ever exploded.
     """
-    key, L = as_list(key), window
+    L = window
     known = group_sizes(df, key)
-    rows = standardise(df, y, "_z", key)
+    rows = standardise(df, y, "_z", stats, key)
 
     def frames(w):
         return {"_back": F.collect_list("_z").over(w.rowsBetween(-(L - 1), -1)),
@@ -137,72 +141,151 @@ def ssa(df: DataFrame, window: int = SSA_WINDOW, f_bound: float = SSA_FREQUENCY,
             return reconstruct(back, win, lambda at, a, b: _diagonal_weights(stack, a, b, L))
 
         rows = rows.withColumn("_parts", parts("_back", "_win"))
-    rows = rows.select(*df.columns, *[F.nanvl(F.col(f"_parts.{g}"), F.lit(None).cast("double")).alias(g)
+    return rows.select(*df.columns, *[F.nanvl(F.col(f"_parts.{g}"), F.lit(None).cast("double")).alias(g)
                                       for g in GROUPS])
-    rows = standardise(rows, "residual", "score", key)
-    return rows.withColumns({"threshold": F.lit(float(k)), "is_anomaly": F.abs("score") > k})
 
 
-def window_reconstruction(df: DataFrame, window: int = WINDOW, components: int = 3, k: float = THRESHOLD,
-                          key=None, order: str = "ds", y: str = "y") -> DataFrame:
+@dataclass
+class Ssa:
+    """Singular spectrum analysis; large residuals on the training scale are flagged."""
+
+    scale: DataFrame
+    residual_scale: DataFrame
+    window: int
+    f_bound: float
+    contribution: float
+    k: float
+    key: list[str]
+    order: str
+    y: str
+
+    @classmethod
+    def fit(cls, df: DataFrame, window: int = SSA_WINDOW, f_bound: float = SSA_FREQUENCY,
+            contribution: float = SSA_CONTRIBUTION, k: float = THRESHOLD, key=None, order: str = "ds",
+            y: str = "y") -> Ssa:
+        key = as_list(key)
+        scale = durable(scale_stats(df, y, key))
+        parts = decompose(df, scale, window, f_bound, contribution, key, order, y)
+        return cls(scale, durable(scale_stats(parts, "residual", key)), window, f_bound, contribution, float(k),
+                   key, order, y)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        parts = decompose(df, self.scale, self.window, self.f_bound, self.contribution, self.key, self.order,
+                          self.y)
+        rows = standardise(parts, "residual", "score", self.residual_scale, self.key)
+        return rows.withColumns({"threshold": F.lit(self.k), "is_anomaly": F.abs("score") > self.k})
+
+
+@dataclass
+class WindowReconstruction:
     """Linear autoencoder on windows: mean absolute reconstruction error with a sigma rule.
 
-    The encoder is trained on the windows inside the first 80 % of each series;
-    the score of a row is the mean error of the windows that cover it.
+    The encoder and the threshold come from the windows inside the first 80 %
+    of each series; the score of a row is the mean error of the windows that
+    cover it.
     """
-    key, w = as_list(key), window
-    known = group_sizes(df, key)
-    rows = standardise(df, y, "_z", key)
-    rows = row_index(rows, order, key=key, name="_i", sizes=known)
-    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    rows = with_model(rows, sizes, key, ["_n"])
-    rows = embed(rows, w, key=key, order=order, y="_z", out="_win", keep_short=True, sizes=known)
-    full = F.size("_win") == w
-    train = full & (F.col("_i") + w <= F.floor(F.col("_n") * TRAIN_SHARE))
-    # one encoder for all series: they are on the same scale
-    one = gram(rows.filter(train), "_win", w).first()
-    if one is None:
-        raise ValueError("no full training window")
-    _, vectors = symmetric_eigen(np.asarray(one["gram"], float).reshape(w, w))
-    p = vectors[:, :components] @ vectors[:, :components].T
-
-    @F.pandas_udf(T.DoubleType())
-    def error(win: pd.Series) -> pd.Series:
-        x = np.stack(win.to_numpy())
-        return pd.Series(np.abs(x - x @ p).mean(axis=1))
-
-    loss = F.when(full, error(F.when(full, F.col("_win")).otherwise(F.array_repeat(F.lit(0.0), w))))
-    rows = rows.withColumns({"_loss": loss, "_train": train}).drop("_win")
-    limits = rows.filter("_train").groupBy(*key).agg(
-        (F.avg("_loss") + k * F.stddev_pop("_loss")).alias("threshold"))
-    scored = over_order(rows, order, lambda win: {"score": F.avg("_loss").over(win.rowsBetween(-(w - 1), 0))},
-                        key=key, back=w - 1, sizes=known)
-    scored = with_model(scored, limits, key, ["threshold"])
-    return (scored.withColumn("is_anomaly", F.col("score") > F.col("threshold"))
-            .select(*df.columns, "score", "threshold", "is_anomaly"))
-
-
-def lag_forecaster(df: DataFrame, lags: int = 5, learner: str = "linear", k: float = THRESHOLD, key=None,
-                   order: str = "ds", y: str = "y") -> DataFrame:
-    """Next-value forecast from the last values; standardised residuals above k are flagged.
+
+    scale: DataFrame
+    limits: DataFrame  # key..., threshold
+    projection: np.ndarray
+    window: int
+    key: list[str]
+    order: str
+    y: str
+
+    @classmethod
+    def fit(cls, df: DataFrame, window: int = WINDOW, components: int = 3, k: float = THRESHOLD, key=None,
+            order: str = "ds", y: str = "y") -> WindowReconstruction:
+        key, w = as_list(key), window
+        known = group_sizes(df, key)
+        scale = durable(scale_stats(df, y, key))
+        rows = row_index(standardise(df, y, "_z", scale, key), order, key=key, name="_i", sizes=known)
+        sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+        rows = with_model(rows, sizes, key, ["_n"])
+        rows = embed(rows, w, key=key, order=order, y="_z", out="_win", sizes=known)
+        train = rows.filter(F.col("_i") + w <= F.floor(F.col("_n") * TRAIN_SHARE))
+        # one encoder for all series: they are on the same scale
+        one = gram(train, "_win", w).first()
+        if one is None:
+            raise ValueError("no full training window")
+        _, vectors = symmetric_eigen(np.asarray(one["gram"], float).reshape(w, w))
+        model = cls(scale, None, vectors[:, :components] @ vectors[:, :components].T, w, key, order, y)
+        loss = train.withColumn("_loss", model._loss()("_win"))
+        model.limits = durable(loss.groupBy(*key).agg(
+            (F.avg("_loss") + k * F.stddev_pop("_loss")).alias("threshold")))
+        return model
+
+    def _loss(self):
+        p = self.projection
+
+        @F.pandas_udf(T.DoubleType())
+        def error(win: pd.Series) -> pd.Series:
+            x = np.stack(win.to_numpy()) if len(win) else np.zeros((0, len(p)))
+            return pd.Series(np.abs(x - x @ p).mean(axis=1))
+
+        return error
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        w, known = self.window, group_sizes(df, self.key)
+        rows = standardise(df, self.y, "_z", self.scale, self.key)
+        rows = embed(rows, w, key=self.key, order=self.order, y="_z", out="_win", keep_short=True, sizes=known)
+        full = F.size("_win") == w
+        padded = F.when(full, F.col("_win")).otherwise(F.array_repeat(F.lit(0.0), w))
+        rows = rows.withColumn("_loss", F.when(full, self._loss()(padded))).drop("_win", "_z")
+        rows = over_order(rows, self.order, lambda win: {
+            "score": F.avg("_loss").over(win.rowsBetween(-(w - 1), 0))}, key=self.key, back=w - 1, sizes=known)
+        rows = with_model(rows.drop("_loss"), self.limits, self.key, ["threshold"])
+        return rows.withColumn("is_anomaly", F.col("score") > F.col("threshold"))
+
+
+@dataclass
+class LagForecaster:
+    """Next-value forecast from the last values; large standardised residuals are flagged.
 
     ``linear``: one regression over all series; ``gbt``: gradient-boosted trees.
     """
-    rows = lag_features(df, lags, key=key, order=order, y=y)
-    x: list[Column] = [F.col(f"lag_{i}").cast("double") for i in range(1, lags + 1)]
-    if learner == "linear":
-        design = [F.lit(1.0), *x]
-        rows = with_model(rows, least_squares(rows, design, F.col(y)), None, ["coef"])
-        rows = rows.withColumn("y_pred", dot(design)).drop("coef")
-    elif learner == "gbt":
-        names = [f"lag_{i}" for i in range(1, lags + 1)]
-        ready = VectorAssembler(inputCols=names, outputCol="_x").transform(rows)
-        model = GBTRegressor(featuresCol="_x", labelCol=y, predictionCol="y_pred", maxIter=20, seed=42).fit(ready)
-        rows = model.transform(ready).drop("_x")
-    else:
-        raise ValueError(f"unknown learner {learner!r}; known: linear, gbt")
-    rows = rows.withColumn("error", F.col(y) - F.col("y_pred"))
-    mean, sigma = rows.agg(F.avg("error"), F.stddev_pop("error")).first()
-    z = (F.col("error") - mean) / (sigma or 1.0)
-    return (rows.withColumns({"score": z, "threshold": F.lit(float(k)), "is_anomaly": F.abs(z) > k})
-            .drop(*[f"lag_{i}" for i in range(1, lags + 1)]))
+
+    lags: int
+    coef: list[float] | None
+    trees: PipelineModel | None
+    rule: ZRule | None
+    key: list[str]
+    order: str
+    y: str
+
+    @classmethod
+    def fit(cls, df: DataFrame, lags: int = 5, learner: str = "linear", k: float = THRESHOLD, key=None,
+            order: str = "ds", y: str = "y") -> LagForecaster:
+        model = cls(lags, None, None, None, as_list(key), order, y)
+        rows = lag_features(df, lags, key=key, order=order, y=y)
+        if learner == "linear":
+            one = least_squares(rows, model._design(), F.col(y)).first()
+            if one is None:
+                raise ValueError(f"no rows with {lags} earlier values")
+            model.coef = list(one["coef"])
+        elif learner == "gbt":
+            steps = [VectorAssembler(inputCols=model._names(), outputCol="_x"),
+                     GBTRegressor(featuresCol="_x", labelCol=y, predictionCol="y_pred", maxIter=20, seed=42)]
+            model.trees = Pipeline(stages=steps).fit(rows)
+        else:
+            raise ValueError(f"unknown learner {learner!r}; known: linear, gbt")
+        model.rule = ZRule.fit(model._predict(rows), k)
+        return model
+
+    def _names(self) -> list[str]:
+        return [f"lag_{i}" for i in range(1, self.lags + 1)]
+
+    def _design(self) -> list[Column]:
+        return [F.lit(1.0), *[F.col(n).cast("double") for n in self._names()]]
+
+    def _predict(self, rows: DataFrame) -> DataFrame:
+        if self.trees is not None:
+            rows = self.trees.transform(rows).drop("_x")
+        else:
+            rows = rows.withColumn("y_pred", linear(self._design(), self.coef))
+        return rows.withColumn("error", F.col(self.y) - F.col("y_pred"))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Rows with enough earlier values in ``df``, with forecast and flag."""
+        rows = lag_features(df, self.lags, key=self.key, order=self.order, y=self.y)
+        return self.rule.apply(self._predict(rows)).drop(*self._names())

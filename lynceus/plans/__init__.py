@@ -3,6 +3,6 @@
 
 def all_queries():
     """The catalog, with every query module loaded."""
-    from lynceus.plans import catalog, queries_mining, queries_models, queries_shaping  # noqa: F401
+    from lynceus.plans import catalog, queries_lifecycle, queries_mining, queries_models, queries_shaping  # noqa: F401
 
     return catalog

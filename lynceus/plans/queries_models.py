@@ -298,7 +298,7 @@ def ses(spark, d):
 @query("trend_season")
 def trend_season_query(spark, d):
     model = trend_season.TrendSeason.fit(s.daily_orders(spark, d))
-    return rounded(model.detect(s.daily_orders(spark, d)), 2)
+    return rounded(model.transform(s.daily_orders(spark, d)), 2)
 
 
 @query("linear_trend", f"""
@@ -313,12 +313,14 @@ def linear_trend(spark, d):
 
 @query("ssa")
 def ssa(spark, d):
-    return rounded(windows.ssa(s.daily_orders(spark, d)), 5)
+    rows = s.daily_orders(spark, d)
+    return rounded(windows.Ssa.fit(rows).transform(rows), 5)
 
 
 @query("window_reconstruction")
 def window_reconstruction(spark, d):
-    return rounded(windows.window_reconstruction(s.user_series(spark, d), key="series_id"), 5)
+    rows = s.user_series(spark, d)
+    return rounded(windows.WindowReconstruction.fit(rows, key="series_id").transform(rows), 5)
 
 
 @query("lag_forecaster", f"""
@@ -328,11 +330,13 @@ f AS (SELECT series_id, ds, a + b * p AS y_pred, y - a - b * p AS e FROM y, c WH
 SELECT series_id, ds, round(y_pred, 6) AS y_pred, round((e - avg(e) OVER ()) / stddev_pop(e) OVER (), 6) AS score,
   abs((e - avg(e) OVER ()) / stddev_pop(e) OVER ()) > 3 AS is_anomaly FROM f""")
 def lag_forecaster(spark, d):
-    out = windows.lag_forecaster(s.user_series(spark, d), lags=1, key="series_id")
+    rows = s.user_series(spark, d)
+    out = windows.LagForecaster.fit(rows, lags=1, key="series_id").transform(rows)
     return rounded(out.select("series_id", "ds", "y_pred", "score", "is_anomaly"))
 
 
 @query("lag_forecaster_trees")
 def lag_forecaster_trees(spark, d):
-    out = windows.lag_forecaster(s.user_series(spark, d), lags=5, learner="gbt", key="series_id")
+    rows = s.user_series(spark, d)
+    out = windows.LagForecaster.fit(rows, lags=5, learner="gbt", key="series_id").transform(rows)
     return rounded(out.select("series_id", "ds", "y_pred", "is_anomaly"), 4)
