@@ -139,12 +139,14 @@ def fit_arima(df: DataFrame, d: int = 1, max_p: int = 2, max_q: int = 2, start_p
     rows = _differences(rows, d, key, order, y, sizes)
     rows = over_order(rows, order, lambda w: {f"_w{i}": F.lag("_w", i).over(w) for i in range(1, long_ar + 1)},
                       key=key, back=long_ar, sizes=sizes)
+    rows = durable(rows)
     first = [F.lit(1.0)] + [F.col(f"_w{i}") for i in range(1, long_ar + 1)]
     ar = least_squares(rows, first, F.col("_w"), key)
     rows = with_model(rows, ar.withColumnRenamed("coef", "_ar"), key, ["_ar"])
     rows = rows.withColumn("_e", F.col("_w") - dot(first, "_ar")).drop("_ar")
     rows = over_order(rows, order, lambda w: {f"_e{i}": F.lag("_e", i).over(w) for i in range(1, max_q + 1)},
                       key=key, back=max_q, sizes=sizes) if max_q else rows
+    rows = durable(rows.drop(*[f"_w{i}" for i in range(max_p + 1, long_ar + 1)]))
     design = ([F.lit(1.0)] + [F.col(f"_w{i}") for i in range(1, max_p + 1)]
               + [F.col(f"_e{i}") for i in range(1, max_q + 1)])
 

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lynceus.operators.eda import Scaler
-from lynceus.operators.ordering import as_list, max_rows_per_task, row_index
-from lynceus.session import durable
+from lynceus.operators.ordering import as_list, group_sizes, max_rows_per_task, row_index, spread
+from lynceus.session import durable, keep_cached
 
 VARIANCE_FLOOR = 1e-3
 TINY = 1e-300
@@ -151,11 +151,14 @@ class HiddenMarkov:
     history: list[float] = field(default_factory=list)
     labels: list | None = None
 
-    def _chunks(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-        rows = row_index(df, self.order, key=self.key, name="_i")
+    def _chunks(self, df: DataFrame, keep: Sequence[str]) -> tuple[DataFrame, bool]:
+        """Rows with position, chunk and scaled vector, one partition per few chunks; whether any key is cut."""
+        sizes = group_sizes(df, self.key)
+        rows = row_index(df, self.order, key=self.key, name="_i", sizes=sizes)
         x = F.array(*[self.scaler.scaled(c) for c in self.scaler.cols])
         one = [] if self.key else [F.lit(0).alias("_one")]
-        return rows.select(*keep, *one, "_i", F.floor(F.col("_i") / self.chunk).alias("_chunk"), x.alias("_x"))
+        rows = rows.select(*keep, *one, "_i", F.floor(F.col("_i") / self.chunk).alias("_chunk"), x.alias("_x"))
+        return spread(rows, [*self._by, "_chunk"], sizes[1]), sizes[0] > self.chunk
 
     @property
     def _by(self) -> list[str]:
@@ -171,8 +174,8 @@ class HiddenMarkov:
         scaler = Scaler.fit(df, cols)
         chunk = chunk or max_rows_per_task(df.sparkSession)
         model = cls(scaler, _start(df, scaler, n_states, n_mix, seed), key, order, chunk)
-        rows = durable(model._chunks(df, key))
-        split = rows.agg(F.max("_chunk")).first()[0] > 0
+        rows, split = model._chunks(df, key)
+        rows = durable(rows) if split else rows.persist()
         p = len(cols)
         for _ in range(n_iter):
             stats = model._e_step(rows, split)
@@ -183,6 +186,7 @@ class HiddenMarkov:
             if abs(gain) < tol * max(1.0, abs(likelihood)):
                 break
             model.params = params
+        rows.unpersist()
         if target:
             named = (model.transform(df).groupBy("state", target).agg(F.count(F.lit(1)).alias("n"))
                      .groupBy("state").agg(F.min(F.struct(-F.col("n"), F.col(target))).alias("b")))
@@ -255,7 +259,7 @@ class HiddenMarkov:
             parts = (rows.groupBy(*by, "_chunk").cogroup(edges.groupBy(*by, "_chunk"))
                      .applyInPandas(statistics, "_s array<double>"))
         else:
-            parts = rows.groupBy(*by).applyInPandas(whole, "_s array<double>")
+            parts = rows.groupBy(*by, "_chunk").applyInPandas(whole, "_s array<double>")
         # sums of a fixed number of statistics
         sums = (parts.select(F.posexplode("_s").alias("_pos", "_v")).groupBy("_pos")
                 .agg(F.sum("_v").alias("_v")).orderBy("_pos").collect())
@@ -265,8 +269,7 @@ class HiddenMarkov:
         """Most probable state path: ``state`` and, when states are named, ``y_pred``."""
         params, by = self.params, self._by
         keep = list(df.columns)
-        rows = self._chunks(df.na.drop(subset=self.scaler.cols), keep)
-        split = rows.agg(F.max("_chunk")).first()[0]
+        rows, split = self._chunks(df.na.drop(subset=self.scaler.cols), keep)
         schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("state", T.IntegerType())])
         log_start = np.log(params.start + TINY)
 
@@ -289,7 +292,7 @@ class HiddenMarkov:
             done = (rows.groupBy(*by, "_chunk").cogroup(edges.groupBy(*by, "_chunk"))
                     .applyInPandas(decode, schema))
         else:
-            done = rows.groupBy(*by).applyInPandas(decode_whole, schema)
+            done = rows.groupBy(*by, "_chunk").applyInPandas(decode_whole, schema)
         if not self.labels:
             return done
         name = F.lit(None)
@@ -302,7 +305,7 @@ def _start(df: DataFrame, scaler: Scaler, s: int, m: int, seed: int) -> Paramete
     """k-means centres as component means; states take the centres in order of their first column."""
     names = [f"_z{i}" for i in range(len(scaler.cols))]
     scaled = df.select(*[scaler.scaled(c).alias(n) for c, n in zip(scaler.cols, names)])
-    ready = VectorAssembler(inputCols=names, outputCol="_v").transform(scaled).select("_v").persist()
+    ready = keep_cached(VectorAssembler(inputCols=names, outputCol="_v").transform(scaled).select("_v"))
     try:
         found = KMeans(k=s * m, featuresCol="_v", seed=seed, maxIter=10).fit(ready).clusterCenters()
     finally:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from lynceus.functions.quantiles import exact_quantiles
 from lynceus.operators.eda import Scaler
+from lynceus.operators.ordering import spread
 
 SUBSAMPLE = 256
 EULER = 0.5772156649015329
@@ -91,14 +92,21 @@ class IsolationForest:
         # expected rows per tree: psi and some slack, of which exactly psi are kept
         share = min(1.0, (psi + 6 * sqrt(psi) + 6) / n)
 
+        # u decides the first tree a row enters (a geometric draw), so that almost
+        # all rows leave after one hash; each later tree is an own draw
+        chance = F.col("w") * F.lit(share)
+        uniform = lambda *c: F.pmod(F.xxhash64(*c), F.lit(2 ** 53)) / F.lit(2.0 ** 53)
+        first = F.when(chance >= 1, 0.0).otherwise(F.floor(F.log1p(-uniform("_h")) / F.log1p(-chance)))
+        drawn = rows.withColumns({"_p": chance, "_first": first}).filter(F.col("_first") < n_trees)
+
         def copies(tree: Column) -> Column:
-            chance = F.pmod(F.xxhash64(tree, "_h"), F.lit(2 ** 53)) / F.lit(2.0 ** 53)
-            whole = F.floor(F.col("w") * share)
-            return whole + F.when(chance < F.col("w") * share - whole, 1).otherwise(0)
+            hit = F.when(uniform(tree, "_h") < F.col("_p") - F.floor("_p"), 1).otherwise(0)
+            single = F.when(tree == F.col("_first"), 1).when(tree > F.col("_first"), hit).otherwise(0)
+            return F.when(F.col("_p") >= 1, F.floor("_p") + hit).otherwise(single)
 
         draws = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
                             lambda t: F.struct(t.alias("tree"), copies(t).alias("copies")))
-        drawn = (rows.select("_h", *names, F.explode(F.filter(draws, lambda d: d["copies"] > 0)).alias("_d"))
+        drawn = (drawn.select("_h", *names, F.explode(F.filter(draws, lambda d: d["copies"] > 0)).alias("_d"))
                  .select("_d.tree", "_d.copies", "_h", *names))
 
         def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -109,7 +117,7 @@ class IsolationForest:
             return _grow(tree, x[np.sort(keep)], seed)
 
         # n_trees x at most 2 * psi nodes: a size fixed by the parameters
-        nodes = drawn.groupBy("tree").applyInPandas(grow, NODES).toPandas()
+        nodes = spread(drawn, "tree", psi * n_trees).groupBy("tree").applyInPandas(grow, NODES).toPandas()
         width = int(nodes["node"].max()) + 1
         index = (nodes["tree"].to_numpy(), nodes["node"].to_numpy())
 

@@ -46,6 +46,22 @@ def group_sizes(df: DataFrame, key: str | Sequence[str] | None = None) -> tuple[
 
 
 
+# A grouped Python task should get at least this many rows while cores are idle.
+PYTHON_TASK_ROWS = 5_000
+
+
+def spread(df: DataFrame, by: str | Sequence[str], n_rows: int) -> DataFrame:
+    """Hash-partition the input of a grouped Python function by its grouping columns.
+
+    Adaptive coalescing sizes partitions in bytes, far too large for Python
+    work on small rows; the partition count is set by rows instead.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(min(4 * cores, n_rows // PYTHON_TASK_ROWS), ceil(n_rows / max_rows_per_task(spark)), 1)
+    return df.repartition(parts, *as_list(by))
+
+
 class _Segments:
     """Rows cut into consecutive, size-bounded segments of the total order."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lynceus.operators.ordering import as_list, row_index
+from lynceus.operators.ordering import as_list, group_sizes, row_index
 
 # Strftime directives and the datetime pattern letters they stand for.
 STRFTIME_PATTERNS = {
@@ -103,8 +103,9 @@ def encode_target(df: DataFrame, col: str = "target", out: str = "target_code")
 def chrono_split(df: DataFrame, order: str | Sequence[str], frac: float,
                  out: str = "is_test") -> DataFrame:
     """Mark the last ceil(n * frac) rows along ``order`` as the test part."""
-    rows = row_index(df, order, name="row_idx")
-    n = df.count()
+    sizes = group_sizes(df)
+    n = sizes[1]
+    rows = row_index(df, order, name="row_idx", sizes=sizes)
     return rows.withColumn(out, F.col("row_idx") >= n - ceil(n * frac))
 
 
@@ -123,9 +124,10 @@ def batch_starts(n: int, depth: int) -> list[int]:
 def replay_batches(df: DataFrame, order: str | Sequence[str], frac: float = 0.3,
                    depth: int = 3) -> DataFrame:
     """The test tail in order, cut into 2**depth consecutive batches (``batch_no``)."""
-    n = df.count()
+    sizes = group_sizes(df)
+    n = sizes[1]
     tail = ceil(n * frac)
-    rows = row_index(df, order, name="row_idx").filter(F.col("row_idx") >= n - tail)
+    rows = row_index(df, order, name="row_idx", sizes=sizes).filter(F.col("row_idx") >= n - tail)
     at = F.col("row_idx") - F.lit(n - tail)
     number = sum((at >= start).cast("int") for start in batch_starts(tail, depth)[1:])
     return rows.withColumn("batch_no", number)
@@ -157,8 +159,8 @@ def tail_window(df: DataFrame, order: str | Sequence[str], n: int) -> DataFrame:
         return df
     if n <= TOP_K_ROWS:
         return df.orderBy(*[F.col(c).desc() for c in as_list(order)]).limit(n)
-    total = df.count()
-    return (row_index(df, order, name="_row").filter(F.col("_row") >= total - n).drop("_row"))
+    sizes = group_sizes(df)
+    return (row_index(df, order, name="_row", sizes=sizes).filter(F.col("_row") >= sizes[1] - n).drop("_row"))
 
 
 def join_history(train: DataFrame, new: DataFrame, order: str | Sequence[str],

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from lynceus.functions.least_squares import with_model
 from lynceus.operators.arima import error_limits, score_ahead
-from lynceus.operators.ordering import as_list, max_rows_per_task, row_index
+from lynceus.operators.ordering import as_list, group_sizes, max_rows_per_task, row_index, spread
 from lynceus.session import durable
 
 KINDS = (None, "add", "mul")
@@ -183,13 +183,14 @@ def exp_smoothing(df: DataFrame, trend: str | None = None, seasonal: str | None
     chunk = chunk or max_rows_per_task(df.sparkSession)
     chunk = max(chunk, 2 * model.warm_up + 1)
     rows = df.select(*key, order, F.col(y).cast("double").alias(y)).filter(F.col(y).isNotNull())
-    rows = row_index(rows, order, key=key, name="_i").withColumn("_chunk", F.floor(F.col("_i") / chunk))
-    fixed = None if params is None else np.array([list(params)], float)
-    longest = rows.agg(F.max("_chunk")).first()[0]
-    if longest is None:
+    sizes = group_sizes(rows, key)
+    if not sizes[1]:
         raise ValueError("the series has no values")
-    search = _one_chunk if longest == 0 else _many_chunks
-    fit = search(model, rows, key, order, y, fixed, step)
+    rows = row_index(rows, order, key=key, name="_i", sizes=sizes)
+    rows = rows.withColumn("_chunk", F.floor(F.col("_i") / chunk))
+    fixed = None if params is None else np.array([list(params)], float)
+    search = _one_chunk if sizes[0] <= chunk else _many_chunks
+    fit = search(model, rows, key, order, y, fixed, step, sizes[1])
     fit.limits = error_limits(fit.rows, key, k)
     return fit
 
@@ -218,7 +219,7 @@ def _search(model: Model, y: np.ndarray, fixed, step: float) -> np.ndarray:
     return best
 
 
-def _one_chunk(model: Model, rows: DataFrame, key, order, y, fixed, step) -> Smoothing:
+def _one_chunk(model: Model, rows: DataFrame, key, order, y, fixed, step, n_rows: int) -> Smoothing:
     _, fit_schema = _schemas(rows, key, order, y)
     w = model.warm_up
 
@@ -241,7 +242,8 @@ def _one_chunk(model: Model, rows: DataFrame, key, order, y, fixed, step) -> Smo
         out["state"] = [None] * (len(out) - 1) + [last]
         return out
 
-    done = durable(rows.groupBy(*(key or ["_chunk"])).applyInPandas(fit, fit_schema))
+    by = key or ["_chunk"]
+    done = durable(spread(rows, by, n_rows).groupBy(*by).applyInPandas(fit, fit_schema))
     params = done.filter("state is not null").select(*key, "alpha", "beta", "gamma", "sse", "state")
     return Smoothing(model, key, params, None, order, y, _errors(done, key, order, y))
 
@@ -252,7 +254,7 @@ def _errors(done: DataFrame, key, order, y) -> DataFrame:
             .withColumn("error", F.col(y) - F.col("y_pred")))
 
 
-def _many_chunks(model: Model, rows: DataFrame, key, order, y, fixed, step) -> Smoothing:
+def _many_chunks(model: Model, rows: DataFrame, key, order, y, fixed, step, n_rows: int) -> Smoothing:
     by = key or ["_one"]
     rows = durable(rows if key else rows.withColumn("_one", F.lit(0)))
     w = model.warm_up

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.operators.eda import Scaler
+from lynceus.session import keep_cached
 
 # The full search grids.  Log loss and entropy are the same
 # criterion; cost-complexity pruning is stood in for by a minimum gain.
@@ -58,7 +59,7 @@ def _fit(df: DataFrame, cols: Sequence[str], target: str, learner, grid: Mapping
                      .cast("int").alias("_fold")).na.drop()
     assemble = VectorAssembler(inputCols=names, outputCol="_features")
     index = StringIndexer(inputCol="_target", outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
-    prepared = index.transform(assemble.transform(rows)).select("_features", "_label", "_fold").persist()
+    prepared = keep_cached(index.transform(assemble.transform(rows)).select("_features", "_label", "_fold"))
     try:
         builder = ParamGridBuilder()
         for name, values in grid.items():

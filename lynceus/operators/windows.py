@@ -18,7 +18,7 @@ from lynceus.functions.least_squares import least_squares, with_model
 from lynceus.functions.moments import gram, linear, symmetric_eigen
 from lynceus.operators.ordering import as_list, group_sizes, over_order, row_index
 from lynceus.operators.series import ZRule, embed, lag_features
-from lynceus.session import durable
+from lynceus.session import durable, keep_cached
 
 # Defaults of the three detectors.
 SSA_WINDOW, SSA_FREQUENCY, SSA_CONTRIBUTION = 10, 0.05, 0.975
@@ -266,7 +266,11 @@ class LagForecaster:
         elif learner == "gbt":
             steps = [VectorAssembler(inputCols=model._names(), outputCol="_x"),
                      GBTRegressor(featuresCol="_x", labelCol=y, predictionCol="y_pred", maxIter=20, seed=42)]
-            model.trees = Pipeline(stages=steps).fit(rows)
+            train = keep_cached(rows.select(*model._names(), y))
+            try:
+                model.trees = Pipeline(stages=steps).fit(train)
+            finally:
+                train.unpersist()
         else:
             raise ValueError(f"unknown learner {learner!r}; known: linear, gbt")
         model.rule = ZRule.fit(model._predict(rows), k)

@@ -45,6 +45,30 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint."""
-    work_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write an intermediate result to the shared folder once and go on from the written table.
+
+    This cuts the lineage like a reliable checkpoint, but computes the rows a
+    single time and lets later steps read only the columns they need.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def keep_cached(df: DataFrame, rows_per_task: int = 10_000) -> DataFrame:
+    """Persist the input of an iterative algorithm, over enough partitions to use the cores.
+
+    Only data with fewer partitions than cores is spread again; the caller
+    unpersists the result.
+    """
+    cached = df.persist()
+    n = cached.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    wanted = min(cores, n // rows_per_task)
+    if wanted <= cached.rdd.getNumPartitions():
+        return cached
+    spread = cached.repartition(wanted).persist()
+    spread.count()
+    cached.unpersist()
+    return spread
