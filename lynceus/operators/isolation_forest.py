@@ -1,7 +1,8 @@
 """Isolation forest (Liu, Ting & Zhou 2008).
 
 Each tree grows from a fixed number of rows, so growing is one small grouped
-task per tree, and scoring is a vectorised map over the rows.
+task per tree, and scoring is a vectorised map over the rows.  Columns are not
+scaled: the trees are the same on any scale.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lynceus.functions.quantiles import exact_quantiles
-from lynceus.operators.eda import Scaler
 from lynceus.operators.ordering import spread
 
 SUBSAMPLE = 256
@@ -60,7 +60,7 @@ def _grow(tree: int, x: np.ndarray, seed: int) -> pd.DataFrame:
 
 @dataclass
 class IsolationForest:
-    scaler: Scaler
+    cols: list[str]
     feature: np.ndarray  # trees x nodes
     cut: np.ndarray
     low: np.ndarray
@@ -77,14 +77,13 @@ class IsolationForest:
         Without it equal rows are merged into weighted ones first, at the price
         of one shuffle, so that copies of a row are drawn in proportion.
         """
-        scaler = Scaler.fit(df, cols)
         names = [f"_z{i}" for i in range(len(cols))]
-        scaled = [scaler.scaled(c).alias(z) for c, z in zip(cols, names)]
+        plain = [F.col(c).cast("double").alias(z) for c, z in zip(cols, names)]
         if row_key:
             keys = [row_key] if isinstance(row_key, str) else list(row_key)
-            rows = df.select(*scaled, F.lit(1).alias("w"), F.xxhash64(F.lit(seed), *keys).alias("_h"))
+            rows = df.select(*plain, F.lit(1).alias("w"), F.xxhash64(F.lit(seed), *keys).alias("_h"))
         else:
-            rows = df.select(*scaled).groupBy(*names).agg(F.count(F.lit(1)).alias("w"))
+            rows = df.select(*plain).groupBy(*names).agg(F.count(F.lit(1)).alias("w"))
             rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), *names))
         rows = rows.na.drop(subset=names)
         n = rows.agg(F.sum("w")).first()[0]
@@ -126,7 +125,7 @@ class IsolationForest:
             out[index] = nodes[name].to_numpy()
             return out
 
-        model = cls(scaler, packed("feature", np.int32, -1), packed("cut", float, 0.0),
+        model = cls(list(cols), packed("feature", np.int32, -1), packed("cut", float, 0.0),
                     packed("low", np.int32, 0), packed("high", np.int32, 0),
                     packed("length", float, 0.0), psi, 0.5)
         if contamination != "auto":
@@ -155,8 +154,7 @@ class IsolationForest:
             out = 2.0 ** (-total / len(feature) / scale)
             return pd.Series(np.where(np.isnan(x).any(axis=1), np.nan, out))
 
-        z = F.struct(*[self.scaler.scaled(c).alias(f"z{i}") for i, c in enumerate(self.scaler.cols)])
-        value = path_score(z)
+        value = path_score(F.struct(*[F.col(c).cast("double").alias(f"z{i}") for i, c in enumerate(self.cols)]))
         return F.nanvl(value, F.lit(None).cast("double"))
 
     def transform(self, df: DataFrame) -> DataFrame:

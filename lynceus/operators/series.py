@@ -112,7 +112,8 @@ def future_frame(df: DataFrame, periods: int | None = None,
     end, before = (F.unix_micros(F.col(c).cast("timestamp")) for c in ("_last", "_prior"))
     ends = ends.filter(F.col("_prior").isNotNull()).select(*key, end.alias("_e"), (end - before).alias("_g"))
     if periods:
-        rows = ends.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(periods))).cast("long"))
+        steps = F.sequence(F.lit(1).cast("long"), F.lit(periods).cast("long"))
+        rows = ends.withColumn("step", F.explode(steps))
     else:
         rows = row_index(df.select(*key, "ds"), "ds", key=key, name="step").drop("ds")
         rows = (rows.join(ends, key) if key else

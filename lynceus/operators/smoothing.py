@@ -350,12 +350,12 @@ def _chunk_states(model: Model, rows: DataFrame, head: DataFrame, cands: DataFra
             states = durable(here.groupBy(*by).cogroup(states.groupBy(*by)).applyInPandas(end_states, out_schema))
             every = every.unionByName(states)
         more = rows.select(*by, "_chunk").distinct()
-        return every.join(more, [*by, "_chunk"], "left_semi")
+        return durable(every.join(more, [*by, "_chunk"], "left_semi"))
 
     chunks = rows.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_len"))
     zero = F.when(F.col("_chunk") == 0, F.col("state")).otherwise(
         F.array_repeat(F.lit(0.0), model.width))
-    asked = chunks.join(starts, by).withColumn("state", zero).drop("_len")
+    asked = durable(chunks.join(starts, by).withColumn("state", zero).drop("_len"))
     pieces = durable(rows.groupBy(*by, "_chunk").cogroup(asked.groupBy(*by, "_chunk"))
                      .applyInPandas(end_states, out_schema))
     with_length = pieces.join(chunks.select(*by, (F.col("_chunk") + 1).alias("_chunk"), "_len"), [*by, "_chunk"])
@@ -380,7 +380,7 @@ def _chunk_states(model: Model, rows: DataFrame, head: DataFrame, cands: DataFra
     chained = with_length.groupBy(*by, "cand").applyInPandas(compose, out_schema)
     firsts = starts.withColumn("_chunk", F.lit(0).cast("long")).select(*names)
     # the state after the last chunk starts no chunk
-    return firsts.unionByName(chained).join(chunks.select(*by, "_chunk"), [*by, "_chunk"], "left_semi")
+    return durable(firsts.unionByName(chained).join(chunks.select(*by, "_chunk"), [*by, "_chunk"], "left_semi"))
 
 
 def _chunk_runs(model: Model, rows: DataFrame, states: DataFrame, by, order, y, keep: bool) -> DataFrame:

@@ -150,8 +150,11 @@ def test_network_finds_a_chain_and_normalised_tables(spark):
         for r in table.groupBy(*parents).agg(F.sum("p").alias("s")).collect():
             assert abs(r["s"] - 1) < 1e-12
     model = bayes_net.BayesNet.fit(df.withColumnRenamed("c", "target"), ["a", "b", "d"], bins=10)
+    # quantile bins of three levels merge the lower two, so only part of the link is left
     out = model.transform(df.withColumnRenamed("c", "target"))
-    assert out.filter("target = y_pred").count() / 4000 > 0.75
+    assert out.filter("target = y_pred").count() / 4000 > 0.6
+    whole = bayes_net.bn_predict(df, bayes_net.fit_cpts(df, ["a", "b", "c", "d"], edges), edges, "c")
+    assert abs(whole.filter("c = y_pred").count() / 4000 - np.mean(b == c)) < 1e-12
     # a row without the target is scored all the same
     assert model.transform(df.drop("c")).filter("y_pred is null").count() == 0
 
@@ -312,8 +315,8 @@ def test_reconstruction_matches_numpy_and_flags_the_spike(season):
 
 @pytest.mark.parametrize("learner", ["linear", "gbt"])
 def test_lag_forecaster_flags_the_spike(season, learner):
-    model = windows.LagForecaster.fit(season, 7, learner, key="series_id")
-    hits = {(r["series_id"], r["i"]) for r in model.transform(season).filter("is_anomaly").collect()}
+    model = windows.LagForecaster.fit(season.filter("i < 98"), 7, learner, key="series_id")
+    hits = {(r["series_id"], r["i"]) for r in model.transform(season.filter("i > 80")).filter("is_anomaly").collect()}
     assert {(1, 100), (2, 100)} <= hits
     with pytest.raises(ValueError, match="unknown learner"):
         windows.LagForecaster.fit(season, 7, "cells", key="series_id")
