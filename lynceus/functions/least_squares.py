@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from lynceus.functions.moments import gram
 from lynceus.operators.ordering import as_list
+from lynceus.session import sized
 
 Solve = Callable[[np.ndarray, int], dict]
 
@@ -61,7 +62,7 @@ def with_model(rows: DataFrame, model: DataFrame, by, columns: Sequence[str]) ->
     """Attach model columns: by an equi-join per series, or as literals of the single model row."""
     by = as_list(by)
     if by:
-        return rows.join(model.select(*by, *columns), by)
+        return rows.join(sized(model.select(*by, *columns)), by)
     one = model.select(*columns).first()
     if one is None:
         raise ValueError("no complete rows to fit a model on")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.operators.eda import QuantileBinner
-from lynceus.session import durable
+from lynceus.session import durable, sized
 
 MAX_PARENTS = 3
 DEFAULT_BINS = 10
@@ -157,7 +157,7 @@ def bn_predict(df: DataFrame, cpts: dict[str, DataFrame], edges: Iterable[Edge],
     top = rows.groupBy(*blanket).agg(F.max(rank).alias("_best"))
     chosen = (rows.join(top, blanket).filter(rank == F.col("_best"))
               .groupBy(*blanket).agg(F.min(target).alias("y_pred")))
-    return df.join(chosen, blanket, "left")
+    return df.join(sized(chosen), blanket, "left")
 
 
 @dataclass

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from lynceus.functions.quantiles import exact_quantiles
 from lynceus.operators.ordering import as_list
 from lynceus.operators.shaping import require_columns
+from lynceus.session import sized
 
 
 def _long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), name: str = "sensor",
@@ -105,7 +106,7 @@ def spc_zones(df: DataFrame, col: str, by: str | Sequence[str] | None = None) ->
     value = F.col(col).cast("double")
     stats = [F.avg(value).alias("centre"), F.stddev_pop(value).alias("sigma")]
     if by:
-        rows = df.join(df.groupBy(*by).agg(*stats), by)
+        rows = df.join(sized(df.groupBy(*by).agg(*stats)), by)
     else:
         one = df.agg(*stats).first()
         rows = df.withColumns({"centre": F.lit(one[0]), "sigma": F.lit(one[1])})

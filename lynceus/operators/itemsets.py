@@ -8,6 +8,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lynceus.session import durable
+
 # Itemsets longer than this are not split into rules (2**n subsets each).
 MAX_RULE_ITEMS = 12
 KEY_MARK = "\u0001"
@@ -16,11 +18,11 @@ KEY_MARK = "\u0001"
 def frequent_itemsets(baskets: DataFrame, items: str, min_support: float, min_len: int = 1,
                       max_len: int | None = None) -> DataFrame:
     """(items sorted, support count) of the itemsets in at least min_support * n baskets."""
-    sets = baskets.select(F.array_distinct(items).alias("items")).filter(F.size("items") > 0)
-    n = baskets.count()
+    every = durable(baskets.select(F.array_distinct(items).alias("items")))
+    n, n_sets = every.agg(F.count(F.lit(1)), F.count(F.when(F.size("items") > 0, 1))).first()
+    sets = every.filter(F.size("items") > 0)
     # FPGrowth compares counts with share * n; the basket total includes empty baskets
     wanted = ceil(min_support * n - 1e-9)
-    n_sets = sets.count()
     if not n_sets:
         raise ValueError("no basket has items")
     share = min(1.0, max(0.0, (wanted - 0.5) / n_sets))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lynceus.operators.metrics import label_pairs
 from lynceus.operators.ordering import as_list, over_order
-from lynceus.session import durable
+from lynceus.session import durable, sized
 
 
 def _steps(df: DataFrame, state: str, order, key) -> DataFrame:
@@ -46,11 +46,12 @@ def score_transitions(df: DataFrame, matrix: DataFrame, state: str, order: str |
     The first row of a sequence has no step; a step out of an unseen state has
     probability 0.
     """
+    matrix = durable(matrix)
     rows = _steps(df, state, order, key)
     p = matrix.select("state_from", F.col("state_to").alias(state), F.col("p").alias("_p"))
-    scored = (rows.join(p, ["state_from", state], "left")
-              .join(next_states(matrix).select("state_from", F.col("next_state").alias("y_pred")),
-                    "state_from", "left"))
+    guess = next_states(matrix).select("state_from", F.col("next_state").alias("y_pred"))
+    # states are few and uneven: a shuffle of the rows by state would put most of them into few tasks
+    scored = rows.join(sized(p), ["state_from", state], "left").join(sized(guess), "state_from", "left")
     seen = F.col("state_from").isNotNull()
     return (scored.withColumn("p", F.when(seen, F.coalesce("_p", F.lit(0.0))))
             .withColumn("is_anomaly", F.coalesce(F.col("p") < min_p, F.lit(False))).drop("_p"))

@@ -17,7 +17,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from lynceus.session import durable
+from lynceus.session import BROADCAST_ROWS, durable
 
 ROWS_SETTING = "spark.lynceus.maxRowsPerTask"
 DEFAULT_ROWS = 1_000_000
@@ -75,11 +75,15 @@ class _Segments:
             span = sizes.groupBy(*key).agg(F.count(F.lit(1)).alias("_pieces")).filter("_pieces > 1")
             sizes = sizes.join(span.select(*[F.col(k).alias(f"_k_{k}") for k in key]),
                                _same_as(sizes, key), "left_semi")
-        # at most two (key, segment) pairs per segment edge: a size bounded by `parts`
+        # at most two (key, segment) pairs per segment edge: at most 2 * parts rows
+        self.bounded = 2 * parts <= BROADCAST_ROWS
         before = Window.partitionBy(*key).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
         self.pieces = sizes.select(*key, "_seg", "_n",
                                    F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
 
+    def _hinted(self, pieces: DataFrame) -> DataFrame:
+        return F.broadcast(pieces) if self.bounded else pieces
+
     def indexed(self) -> DataFrame:
         """Rows with ``_rn`` (1.. in the segment), ``_n`` and ``_before`` (null unless the key is cut)."""
         within = Window.partitionBy(*self.key, "_seg").orderBy(*self.order)
@@ -87,7 +91,7 @@ class _Segments:
         pieces = self.pieces.select(*[F.col(k).alias(f"_k_{k}") for k in self.key],
                                     F.col("_seg").alias("_k_seg"), "_n", "_before")
         cond = _same_as(rows, self.key) & (rows["_seg"] == F.col("_k_seg"))
-        return (rows.join(F.broadcast(pieces), cond, "left")
+        return (rows.join(self._hinted(pieces), cond, "left")
                 .drop("_k_seg", *[f"_k_{k}" for k in self.key]))
 
     def with_halo(self, back: int, ahead: int) -> DataFrame:
@@ -102,7 +106,7 @@ class _Segments:
                                     (F.col("_before") + F.col("_n")).alias("_last"))
         near = (((F.col("_idx") > F.col("_first") - back) & (F.col("_idx") <= F.col("_first")))
                 | ((F.col("_idx") > F.col("_last")) & (F.col("_idx") <= F.col("_last") + ahead)))
-        halo = (edge.join(F.broadcast(target), _same_as(edge, self.key) & near)
+        halo = (edge.join(self._hinted(target), _same_as(edge, self.key) & near)
                 .withColumn("_seg", F.col("_to")).select(*cols, F.lit(True).alias("_halo")))
         return body.unionByName(halo)
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.operators.ordering import as_list, over_order
+from lynceus.session import sized
 
 # Default thresholds of the heuristics miner.
 DEPENDENCY_THRESHOLD = 0.5
@@ -27,7 +28,7 @@ def _followed(log: DataFrame, case: str | Sequence[str], order: str | Sequence[s
               min_count: int) -> DataFrame:
     """(activity, next activity, the one after, first-of-case flag) of the frequent activities."""
     keep = frequent_activities(log, activity, min_count).select(activity)
-    rows = (log.join(keep, activity, "left_semi")
+    rows = (log.join(sized(keep), activity, "left_semi")
             .select(*as_list(case), *[c for c in as_list(order) if c not in as_list(case)],
                     F.col(activity).alias("src")))
 

@@ -8,7 +8,7 @@ from math import ceil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lynceus.session import durable
+from lynceus.session import durable, sized
 
 
 def sequential_patterns(events: DataFrame, seq: str, pos: str, item: str, min_support: float = 0.5,
@@ -34,7 +34,7 @@ def sequential_patterns(events: DataFrame, seq: str, pos: str, item: str, min_su
     level = durable(frequent(ends))
     found = level
     # only frequent items can extend a pattern
-    rows = rows.join(level.select(F.col("pattern")[0].alias("_i")), "_i", "left_semi")
+    rows = rows.join(sized(level.select(F.col("pattern")[0].alias("_i"))), "_i", "left_semi")
     ends = rows.select(F.array("_i").alias("pattern"), "_s", "_p")
     step = rows.select("_s", F.col("_p").alias("_to"), "_i")
     for _ in range(1, max_len):
@@ -48,7 +48,7 @@ def sequential_patterns(events: DataFrame, seq: str, pos: str, item: str, min_su
         if level.isEmpty():
             break
         found = found.unionByName(level)
-        ends = ends.join(level.select("pattern"), "pattern", "left_semi")
+        ends = ends.join(sized(level.select("pattern")), "pattern", "left_semi")
     keep = F.size("pattern") >= min_len
     for name in required:
         keep = keep & F.array_contains("pattern", name)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.operators.ordering import as_list, over_order, row_index
+from lynceus.session import sized
 
 
 def embed(df: DataFrame, w: int, key: str | Sequence[str] | None = None, order="ds", y: str = "y",
@@ -63,7 +64,7 @@ def sigma_rule_by(df: DataFrame, key: str | Sequence[str], k: float = 3.0,
     """The sigma rule with one threshold per series."""
     limits = df.groupBy(*as_list(key)).agg(
         (F.avg(F.abs(error)) + k * F.stddev_pop(F.abs(error))).alias("threshold"))
-    return (df.join(limits, as_list(key)).withColumn("score", F.abs(error))
+    return (df.join(sized(limits), as_list(key)).withColumn("score", F.abs(error))
             .withColumn("is_anomaly", F.abs(error) > F.col("threshold")))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lynceus.operators.ordering import as_list, group_sizes, row_index
+from lynceus.session import sized
 
 # Strftime directives and the datetime pattern letters they stand for.
 STRFTIME_PATTERNS = {
@@ -97,7 +98,7 @@ def encode_target(df: DataFrame, col: str = "target", out: str = "target_code")
     require_columns(df, [col])
     labels = df.select(col).filter(F.col(col).isNotNull()).distinct()
     codes = row_index(labels, col, name=out)
-    return df.join(codes, col, "left")
+    return df.join(sized(codes), col, "left")
 
 
 def chrono_split(df: DataFrame, order: str | Sequence[str], frac: float,

@@ -88,9 +88,10 @@ def model_folder(root: str, experiment: str, run_id: str) -> str:
 # --- run registry -------------------------------------------------------------------------------
 
 def _table(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    """An append-only table of the store; empty before the first write."""
+    """A table of the store with one folder per run; empty before the first write."""
     path = f"{root.rstrip('/')}/{name}"
-    return spark.read.schema(schema).parquet(path) if folder_exists(spark, path) else spark.createDataFrame([], schema)
+    empty = spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).select(*empty.columns) if folder_exists(spark, path) else empty
 
 
 def folder_exists(spark: SparkSession, path: str) -> bool:
@@ -107,7 +108,7 @@ def append_run(spark: SparkSession, root: str, experiment: str, run_id: str, mod
     """
     seq = (runs(spark, root).filter(F.col("experiment") == experiment).agg(F.max("seq")).first()[0] or 0) + 1
     row = [(experiment, run_id, seq, model, json.dumps(config, default=str), n_rows, after_batch)]
-    spark.createDataFrame(row, RUNS).coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/runs")
+    spark.createDataFrame(row, RUNS).coalesce(1).write.mode("overwrite").parquet(f"{root.rstrip('/')}/runs/of={run_id}")
 
 
 def runs(spark: SparkSession, root: str) -> DataFrame:
@@ -137,7 +138,7 @@ def save_reports(spark: SparkSession, root: str, experiment: str, run_id: str,
         write_report(table, f"{root.rstrip('/')}/report_tables", experiment, run_id, name)
     if reports:
         rows = [(experiment, run_id, name) for name in reports]
-        spark.createDataFrame(rows, REPORTS).coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/reports")
+        spark.createDataFrame(rows, REPORTS).coalesce(1).write.mode("overwrite").parquet(f"{root.rstrip('/')}/reports/of={run_id}")
 
 
 def list_reports(spark: SparkSession, root: str, experiment: str, run_id: str | None = None) -> list[str]:

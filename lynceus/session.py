@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "lynceus", master: str | None = None, **conf) -> SparkSession:
@@ -56,6 +57,22 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# A side with more rows than this is never broadcast by a hint.
+BROADCAST_ROWS = 100_000
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """Materialise a derived table and broadcast it when its row count proves small.
+
+    Meant for the small side of a join on few, uneven keys (states, activities,
+    series statistics), where the optimizer's size guess for a derived table
+    would shuffle the large side.  A table beyond ``BROADCAST_ROWS`` is joined
+    by shuffle, with adaptive skew handling.
+    """
+    table = durable(table)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def keep_cached(df: DataFrame, rows_per_task: int = 10_000) -> DataFrame:
     """Persist the input of an iterative algorithm, over enough partitions to use the cores.
 

@@ -174,5 +174,5 @@ def test_streamed_limits_equal_the_batch_form(spark, tmp_path):
 def test_train_a_catalog(spark, plant, tmp_path):
     cfg = {"load_object": {"name": "detection"}, "setup": {"features": ["Ia", "Vc"]},
            "create_model": {"model": "pca", "params": {}}}
-    done = experiment.train_all(spark, str(tmp_path), {"one": (cfg, plant), "two": (cfg, plant)}, parallelism=1)
+    done = experiment.train_all(spark, str(tmp_path), {"one": (cfg, plant), "two": (cfg, plant)}, parallelism=2)
     assert {r["experiment"]: r["run_id"] for r in store.runs(spark, str(tmp_path)).collect()} == done
