@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -140,6 +141,14 @@ def best_path(params: Parameters, x: np.ndarray, first: bool, before: np.ndarray
     return path
 
 
+def _by_position(data: pa.Table) -> np.ndarray:
+    return np.argsort(data.column("_i").to_numpy(), kind="stable")
+
+
+def _vectors(data: pa.Table) -> np.ndarray:
+    return data.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(data.num_rows, -1)
+
+
 @dataclass
 class HiddenMarkov:
     scaler: Scaler
@@ -247,19 +256,20 @@ class HiddenMarkov:
             data = data.sort_values("_i")
             x = np.stack(data["_x"].to_numpy())
             first = int(data["_chunk"].iloc[0]) == 0
-            ahead = params.start if edges is None else np.asarray(edges["_ahead"].iloc[0], float)
-            behind = even if edges is None else np.asarray(edges["_behind"].iloc[0], float)
+            ahead, behind = (np.asarray(edges[c].iloc[0], float) for c in ("_ahead", "_behind"))
             return pd.DataFrame({"_s": [expectations(params, x, first, ahead, behind)]})
 
-        def whole(data: pd.DataFrame) -> pd.DataFrame:
-            return statistics(data, None)
+        def whole(data: pa.Table) -> pa.Table:
+            x = _vectors(data.take(_by_position(data)))
+            found = expectations(params, x, True, params.start, even)
+            return pa.table({"_s": pa.array([found], pa.list_(pa.float64()))})
 
         if split:
             edges = self._messages(rows, best=False)
             parts = (rows.groupBy(*by, "_chunk").cogroup(edges.groupBy(*by, "_chunk"))
                      .applyInPandas(statistics, "_s array<double>"))
         else:
-            parts = rows.groupBy(*by, "_chunk").applyInPandas(whole, "_s array<double>")
+            parts = rows.groupBy(*by, "_chunk").applyInArrow(whole, "_s array<double>")
         # sums of a fixed number of statistics
         sums = (parts.select(F.posexplode("_s").alias("_pos", "_v")).groupBy("_pos")
                 .agg(F.sum("_v").alias("_v")).orderBy("_pos").collect())
@@ -277,14 +287,15 @@ class HiddenMarkov:
             data = data.sort_values("_i")
             x = np.stack(data["_x"].to_numpy())
             first = int(data["_chunk"].iloc[0]) == 0
-            before = log_start if edges is None else np.asarray(edges["_ahead"].iloc[0], float)
-            last = None if edges is None else int(edges["_behind"].iloc[0][0])
+            before, last = np.asarray(edges["_ahead"].iloc[0], float), int(edges["_behind"].iloc[0][0])
             out = data[keep].copy()
             out["state"] = best_path(params, x, first, before, last)
             return out
 
-        def decode_whole(data: pd.DataFrame) -> pd.DataFrame:
-            return decode(data, None)
+        def decode_whole(data: pa.Table) -> pa.Table:
+            data = data.take(_by_position(data))
+            path = best_path(params, _vectors(data), True, log_start, None)
+            return data.select(keep).append_column("state", pa.array(path, pa.int32()))
 
         if split:
             rows = durable(rows)
@@ -292,7 +303,7 @@ class HiddenMarkov:
             done = (rows.groupBy(*by, "_chunk").cogroup(edges.groupBy(*by, "_chunk"))
                     .applyInPandas(decode, schema))
         else:
-            done = rows.groupBy(*by, "_chunk").applyInPandas(decode_whole, schema)
+            done = rows.groupBy(*by, "_chunk").applyInArrow(decode_whole, schema)
         if not self.labels:
             return done
         name = F.lit(None)

@@ -16,6 +16,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -223,27 +224,26 @@ def _one_chunk(model: Model, rows: DataFrame, key, order, y, fixed, step, n_rows
     _, fit_schema = _schemas(rows, key, order, y)
     w = model.warm_up
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        values = pdf[y].to_numpy(float)
-        fitted = np.full(len(values), np.nan)
-        out = pdf[[*key, order, y]].copy()
-        if len(values) > w:
+    def fit(data: pa.Table) -> pa.Table:
+        data = data.take(np.argsort(data.column("_i").to_numpy(), kind="stable"))
+        values = data.column(y).to_numpy()
+        n = len(values)
+        fitted = np.full(n, np.nan)
+        best, last, total = np.full(3, np.nan), None, np.nan
+        if n > w:
             best = _search(model, values, fixed, step)
             state, sse, path = model.run(values[w:], best[None], model.start(values)[None], keep=True)
             fitted[w:] = path[:, 0]
             last, total = state[0].tolist(), float(sse[0])
-        else:
-            best, last, total = np.full(3, np.nan), None, np.nan
-        out["y_pred"] = fitted
-        out[["alpha", "beta", "gamma"]] = best
-        out["sse"] = total
+        out = data.select([*key, order, y])
+        for name, column in (("y_pred", fitted), ("alpha", np.full(n, best[0])), ("beta", np.full(n, best[1])),
+                             ("gamma", np.full(n, best[2])), ("sse", np.full(n, total))):
+            out = out.append_column(name, pa.array(column))
         # the final state travels with the last row only
-        out["state"] = [None] * (len(out) - 1) + [last]
-        return out
+        return out.append_column("state", pa.array([None] * (n - 1) + [last], pa.list_(pa.float64())))
 
     by = key or ["_chunk"]
-    done = durable(spread(rows, by, n_rows).groupBy(*by).applyInPandas(fit, fit_schema))
+    done = durable(spread(rows, by, n_rows).groupBy(*by).applyInArrow(fit, fit_schema))
     params = done.filter("state is not null").select(*key, "alpha", "beta", "gamma", "sse", "state")
     return Smoothing(model, key, params, None, order, y, _errors(done, key, order, y))
 
