@@ -19,6 +19,11 @@ from pyspark.sql import types as T
 from lynceus.operators.ordering import as_list
 
 
+# Up to this many columns moments and projections are Catalyst expressions; wider
+# vectors go through Arrow batches and numpy.
+NARROW = 16
+
+
 @dataclass
 class Moments:
     n: int
@@ -27,13 +32,17 @@ class Moments:
 
 
 def covariance(df: DataFrame, cols: Sequence[str | Column], keep: Column | None = None) -> Moments:
-    """Moments of a handful of columns in one aggregation."""
-    cols = [F.col(c) if isinstance(c, str) else c for c in cols]
+    """Moments over the complete rows (of those that satisfy ``keep``), in one pass."""
+    cols = [(F.col(c) if isinstance(c, str) else c).cast("double") for c in cols]
     if keep is not None:
         df = df.filter(keep)
     p = len(cols)
+    rows = df.select(*[c.alias(f"_c{i}") for i, c in enumerate(cols)]).na.drop()
+    cols = [F.col(f"_c{i}") for i in range(p)]
+    if p > NARROW:
+        return vector_moments(rows.select(F.array(*cols).alias("_v")), "_v", p)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    row = df.agg(F.count(F.lit(1)), *[F.avg(c) for c in cols],
+    row = rows.agg(F.count(F.lit(1)), *[F.avg(c) for c in cols],
                  *[F.covar_pop(cols[i], cols[j]) for i, j in pairs]).first()
     if not row[0]:
         raise ValueError("no rows to compute a covariance from")

@@ -7,11 +7,13 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lynceus.functions.distributions import chi2_quantile, normal_quantile
-from lynceus.functions.moments import covariance, linear, symmetric_eigen
+from lynceus.functions.moments import NARROW, covariance, linear, symmetric_eigen
 from lynceus.functions.quantiles import exact_quantiles
 from lynceus.operators.eda import Scaler
 
@@ -27,12 +29,28 @@ def _sum(terms: Sequence[Column]) -> Column:
 
 
 def distance2(cols: Sequence[Column], mean: np.ndarray, cov: np.ndarray) -> Column:
-    """Squared Mahalanobis distance as an expression (whitening by the Cholesky factor)."""
+    """Squared Mahalanobis distance (whitening by the Cholesky factor)."""
     white = np.linalg.inv(np.linalg.cholesky(cov))
+    if len(mean) > NARROW:
+        return _wide(lambda x: ((x - mean) @ white.T) ** 2 @ np.ones((len(mean), 1)), ["d2"], cols)["d2"]
     centred = [c - F.lit(float(m)) for c, m in zip(cols, mean)]
     return _sum([F.pow(linear(centred[:k + 1], white[k, :k + 1]), 2) for k in range(len(mean))])
 
 
+def _wide(compute, names: Sequence[str], cols: Sequence[Column]) -> Column:
+    """A struct of values computed by numpy from batches of wide rows; null for incomplete rows."""
+    schema = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+
+    @F.pandas_udf(schema)
+    def block(v: pd.Series) -> pd.DataFrame:
+        x = np.stack(v.to_numpy()) if len(v) else np.zeros((0, len(cols)))
+        return pd.DataFrame(compute(x.astype(float)), columns=list(names))
+
+    row = F.array(*cols)
+    complete = ~F.exists(row, lambda x: x.isNull())
+    return F.when(complete, block(F.transform(row, lambda x: F.coalesce(x, F.lit(0.0)))))
+
+
 def mahalanobis(df: DataFrame, cols: Sequence[str], contamination: float = DEFAULT_CONTAMINATION) -> DataFrame:
     """Classical distance with the population covariance; the largest distances are flagged."""
     m = covariance(df, cols)
@@ -164,15 +182,27 @@ class PcaMonitor:
         z = [self.scaler.scaled(c) for c in self.scaler.cols]
         return [linear(z, self.loadings[:, j]) for j in range(self.k)]
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def _statistics(self, df: DataFrame) -> DataFrame:
+        z = [self.scaler.scaled(c) for c in self.scaler.cols]
+        if len(z) > NARROW:
+            loadings, roots = self.loadings, np.sqrt(np.maximum(self.eigenvalues[:self.k], 1e-300))
+
+            def both(x: np.ndarray) -> np.ndarray:
+                t = x @ loadings
+                return np.column_stack([((t / roots) ** 2).sum(axis=1), ((x - t @ loadings.T) ** 2).sum(axis=1)])
+
+            rows = df.withColumn("_both", _wide(both, ["t2", "spe"], z))
+            return rows.withColumns({n: F.col(f"_both.{n}") for n in ("t2", "spe")}).drop("_both")
         names = [f"_t{j}" for j in range(self.k)]
         rows = df.withColumns(dict(zip(names, self.scores())))
         t = [F.col(n) for n in names]
         t2 = _sum([F.pow(c, 2) / F.lit(float(max(v, 1e-300))) for c, v in zip(t, self.eigenvalues)])
-        z = [self.scaler.scaled(c) for c in self.scaler.cols]
         left = [zi - linear(t, self.loadings[i]) for i, zi in enumerate(z)]
         spe = _sum([F.pow(c, 2) for c in left])
-        rows = rows.withColumns({"t2": t2, "spe": spe}).drop(*names)
+        return rows.withColumns({"t2": t2, "spe": spe}).drop(*names)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        rows = self._statistics(df)
         return rows.withColumns({
             "t2_limit": F.lit(self.t2_limit), "is_t2": F.col("t2") > self.t2_limit,
             "spe_limit": F.lit(self.spe_limit), "is_spe": F.col("spe") > self.spe_limit})

@@ -128,6 +128,17 @@ def wide_covariance(spark, d):
     return rounded(spark.createDataFrame(out, "position int, mean double, variance double"))
 
 
+@query("pca_wide")
+def pca_wide(spark, d):
+    """T2 and SPE of 64 columns."""
+    rows = s.table(spark, d, "embeddings")
+    p = rows.select(F.size("embedding")).first()[0]
+    names = [f"e{i}" for i in range(p)]
+    rows = rows.select("vec_id", *[F.col("embedding")[i].alias(n) for i, n in enumerate(names)])
+    model = multivariate.PcaMonitor.fit(rows, names)
+    return rounded(model.transform(rows).select("vec_id", "t2", "is_t2", "spe", "is_spe"), 4)
+
+
 # --- isolation ----------------------------------------------------------------------------------
 
 @query("decision_tree")

@@ -126,6 +126,25 @@ def test_pca_limits_and_residual(planted):
     assert abs(sum(r[2] for r in model.explained_variance()) - 1) < 1e-12
 
 
+def test_wide_and_narrow_plans_agree(planted, monkeypatch):
+    cols = ["a", "b", "c"]
+
+    def results():
+        model = multivariate.PcaMonitor.fit(planted, cols, n_components=2)
+        pca = model.transform(planted).orderBy("id").select("t2", "spe").collect()
+        far = multivariate.mahalanobis(planted, cols).orderBy("id").select("score").collect()
+        return np.array(pca, float), np.array(far, float)
+
+    narrow = results()
+    monkeypatch.setattr(multivariate, "NARROW", 2)
+    monkeypatch.setattr("lynceus.functions.moments.NARROW", 2)
+    for a, b in zip(narrow, results()):
+        assert np.allclose(a, b)
+    holes = planted.withColumn("a", F.when(F.col("id") > 10, F.col("a")))
+    model = multivariate.PcaMonitor.fit(holes, cols, n_components=2)
+    assert model.transform(holes).filter("t2 is null").count() == 11
+
+
 # --- isolation ----------------------------------------------------------------------------------
 
 def test_classifiers_learn_planted_states(planted):
