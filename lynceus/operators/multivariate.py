@@ -40,11 +40,12 @@ def distance2(cols: Sequence[Column], mean: np.ndarray, cov: np.ndarray) -> Colu
 def _wide(compute, names: Sequence[str], cols: Sequence[Column]) -> Column:
     """A struct of values computed by numpy from batches of wide rows; null for incomplete rows."""
     schema = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+    names, width = list(names), len(cols)
 
     @F.pandas_udf(schema)
     def block(v: pd.Series) -> pd.DataFrame:
-        x = np.stack(v.to_numpy()) if len(v) else np.zeros((0, len(cols)))
-        return pd.DataFrame(compute(x.astype(float)), columns=list(names))
+        x = np.stack(v.to_numpy()) if len(v) else np.zeros((0, width))
+        return pd.DataFrame(compute(x.astype(float)), columns=names)
 
     row = F.array(*cols)
     complete = ~F.exists(row, lambda x: x.isNull())

@@ -44,7 +44,18 @@ def association_rules(spark, d):
                                 F.array_join("consequent", "|").alias("consequent"), "support", "confidence"))
 
 
-@query("association_rules_long")
+# baskets as bit masks over the part types
+@query("association_rules_long", f"""
+WITH t AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS i FROM (SELECT DISTINCT p_type FROM part)),
+g AS (SELECT m, count(*) AS c FROM (SELECT l_orderkey, sum(1 << i)::bigint AS m FROM ({s.BASKETS_SQL}) x JOIN t
+  ON t.p_type = x.p_type GROUP BY 1) GROUP BY 1),
+k AS (SELECT k FROM range(1, (SELECT 1 << count(*) FROM t)) r(k)),
+s AS (SELECT k, sum(c)::bigint AS support FROM g JOIN k ON (m & k) = k GROUP BY 1
+  HAVING sum(c) >= ceil(0.05 * (SELECT sum(c) FROM g))),
+names AS (SELECT k, string_agg(p_type, ' ' ORDER BY p_type) AS txt FROM k JOIN t ON ((k >> i) & 1) = 1 GROUP BY 1)
+SELECT na.txt || ' ==> ' || nc.txt AS rule, s.support, round(s.support / a.support, 6) AS confidence
+FROM s JOIN s a ON (s.k & a.k) = a.k AND a.k <> s.k JOIN names na ON na.k = a.k JOIN names nc ON nc.k = s.k - a.k
+WHERE s.support / a.support >= 0.1""")
 def association_rules_long(spark, d):
     """Rules of every length, with consequents of several items."""
     sets = itemsets.frequent_itemsets(s.type_baskets(spark, d), "items", 0.05, max_len=6)

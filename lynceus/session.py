@@ -45,6 +45,17 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{work_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+_STEPS: list[str] = []
+
+
+def drop_steps(spark: SparkSession) -> None:
+    """Delete the intermediate tables this process has written, when no model or result needs them any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    while _STEPS:
+        path = hadoop.Path(_STEPS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the shared folder once and go on from the written table.
 
@@ -54,6 +65,7 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, "step")
     df.write.parquet(path)
+    _STEPS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
