@@ -52,7 +52,7 @@ def test_steps_run_in_order_and_unknown_ones_fail(plant):
 
 
 @pytest.mark.parametrize("name,params", [
-    ("dt", {}), ("rf", {}), ("nb", {}), ("bn", {"bins": 4}), ("hmm", {"n_iter": 3}), ("mc", {})])
+    ("dt", {"grid": {"maxDepth": [3]}}), ("rf", {"grid": {"numTrees": [5]}}), ("nb", {}), ("bn", {"bins": 4}), ("hmm", {"n_iter": 3}), ("mc", {})])
 def test_isolation_models_survive_storage(spark, plant, tmp_path, name, params):
     cfg = {**ISOLATION, "create_model": {"model": name, "params": params}}
     cfg.pop("eda"), cfg.pop("spc")
