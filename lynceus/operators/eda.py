@@ -169,6 +169,10 @@ def outlier_overlay(df: DataFrame, cols: Sequence[str], flag: str = "is_anomaly"
     return _long(rows, cols, [ds, flag])
 
 
+# Up to this many bin edges are compared one by one.
+CODEGEN_EDGES = 32
+
+
 @dataclass
 class QuantileBinner:
     """Quantile binning with frozen edges; repeated edges are dropped.
@@ -191,6 +195,12 @@ class QuantileBinner:
         inner = self.edges[col][1:-1]
         if not inner:
             return F.when(F.col(col).isNotNull(), F.lit(0))
+        if len(inner) <= CODEGEN_EDGES:
+            # plain comparisons stay inside generated code
+            number = F.lit(0)
+            for e in inner:
+                number = number + (F.col(col) > F.lit(float(e))).cast("int")
+            return number
         edges = F.array(*[F.lit(float(e)) for e in inner])
         return F.when(F.col(col).isNotNull(), F.size(F.filter(edges, lambda e: e < F.col(col))))
 
