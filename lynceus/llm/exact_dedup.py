@@ -69,8 +69,9 @@ def _marked(docs: DataFrame, at: str, id_col: str, text_col: str, low: int, high
     cut = docs.select(F.col(at).alias("row_at"), F.col(id_col).alias("id"),
                       F.sha2(text.cast("binary"), 256).alias("text_sha256"), chunks_of(text, low, high).alias("chunks"))
     rows = durable(recipes(cut, digest))
-    groups = (rows.groupBy("recipe", "numbers")
-              .agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("id", "row_at")).alias("best")))
+    # written, so that the join below may split the rows of a large group
+    groups = durable(rows.groupBy("recipe", "numbers")
+                     .agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("id", "row_at")).alias("best")))
     return rows.join(groups, ["recipe", "numbers"]).select(
         "row_at", "id", F.col("best.id").alias("keep_id"), "group_size",
         (F.col("row_at") == F.col("best.row_at")).alias("kept"), "text_sha256")

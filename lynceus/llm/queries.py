@@ -1,4 +1,4 @@
 """Loads every query module of this package."""
 
-from lynceus.llm import queries_rows  # noqa: F401
+from lynceus.llm import queries_mix, queries_models, queries_near, queries_rows  # noqa: F401
 from lynceus.llm.catalog import ORACLES, QUERIES  # noqa: F401
