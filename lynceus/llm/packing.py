@@ -6,7 +6,7 @@ keeps a fixed number of sequences open.  A bitset has one bit for each amount
 of free space; the best fit for a piece is the lowest set bit at or above its
 length.  When no open sequence fits and all places are taken, the fullest
 closes.  Pieces of sequences that are still open at the end go on, with those of the
-other packers, to the next level, until one packer is left.
+other packers, to the next level, until few pieces are left; those are packed longest first.
 """
 
 from __future__ import annotations
@@ -129,15 +129,16 @@ def best_fit(lengths: list[int], capacity: int, open_bins: int, slack: int, last
             bits |= 1 << free
             n_open += 1
     if not last:
+        # those that are nearly full are as good as closed
         given_up = {x for free in range(slack + 1, capacity + 1) for x in bins[free]}
         where = [-1 if x in given_up else x for x in where]
     return where, offset
 
 
-def _packer(level: int, last: bool, capacity: int, open_bins: int, per_packer: int, slack: int):
+def _packer(level: int, few: bool, last: bool, capacity: int, open_bins: int, per_packer: int, slack: int):
     """What one packer does with its rows."""
     def packed(group: pa.Table) -> pa.Table:
-        group = group.sort_by("row_no")
+        group = group.sort_by([("length", "descending"), ("row_no", "ascending")] if few else "row_no")
         number = group["row_no"][0].as_py() // per_packer
         where, offset = best_fit(group["length"].to_pylist(), capacity, open_bins, slack, last)
         where = np.asarray(where, np.int64)
@@ -154,16 +155,19 @@ def pack(cut: DataFrame, capacity: int, open_bins: int = 1024, per_packer: int =
     Rows also need row_at, id, piece and ids_crc32, which give them an order that
     does not depend on where they are stored.
     """
-    kept, level, todo = None, 0, cut
+    kept, level, todo, before = None, 0, cut, None
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields) + ", sequence_id long, offset long"
     while True:
         numbered = number_rows(todo.withColumn("turn", F.xxhash64(F.lit(seed + level), "id", "piece", "ids_crc32")),
                                [F.col("turn"), F.col("row_at"), F.col("piece")], "row_no")
         n = numbered.count()
-        last = n <= per_packer
+        # few pieces fill best when the longest come first; else the last packer is the one that gets nowhere
+        few = n <= 2 * open_bins
+        last = few or (n <= per_packer and before is not None and 2 * n > before)
+        before = n
         run = F.call_function("div", F.col("row_no"), F.lit(per_packer))
         done = durable(numbered.withColumn("packer", run).groupBy("packer").applyInArrow(
-            _packer(level, last, capacity, open_bins, per_packer, slack), schema))
+            _packer(level, few, last, capacity, open_bins, per_packer, slack), schema))
         placed = done.filter("sequence_id >= 0")
         kept = placed if kept is None else kept.unionByName(placed)
         if last:
