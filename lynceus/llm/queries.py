@@ -1,4 +1,9 @@
-"""Loads every query module of this package."""
+"""Loads every query module of this package, and the pipeline."""
 
-from lynceus.llm import queries_mix, queries_models, queries_near, queries_rows  # noqa: F401
-from lynceus.llm.catalog import ORACLES, QUERIES  # noqa: F401
+import corpus_pipeline
+from lynceus.llm import queries_mix, queries_models, queries_near, queries_rows, queries_web  # noqa: F401
+from lynceus.llm.catalog import ORACLES, QUERIES
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lynceus.llm import language_id
+from lynceus.llm import language_id, toxicity
 from lynceus.llm.catalog import query, table
 
 
@@ -20,3 +20,11 @@ def bayes_language(spark, d):
     model = language_id.fit(docs.filter(fold(3) != 1))
     return (language_id.identify(docs, model).withColumnRenamed("id", "doc_id").withColumn("held_out", fold(3) == 1)
             .select("doc_id", "held_out", "lang_pred", "score"))
+
+
+@query("op8_kneser_ney_toxicity")
+def kneser_ney_toxicity(spark, d):
+    docs = table(spark, d, "documents")
+    model = toxicity.fit(docs, table(spark, d, "labels").filter(fold(5) != 0))
+    return (toxicity.score(docs, model).withColumnRenamed("id", "doc_id").withColumn("held_out", fold(5) == 0)
+            .select("doc_id", "held_out", "score", "predicted"))
