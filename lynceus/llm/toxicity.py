@@ -1,10 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney models of how words are built.
 
 Words are cut into pieces of up to four characters; a piece follows the piece
-before it in its word, or the start of the word.  Each class has Kneser-Ney
-counts of pairs and of contexts; what is rare in a class falls back on the
-continuation counts of both classes together, so that an expression that
-neither knows counts for neither.  A text's score is the mean, per word, of the
+before it in its word, or the start of the word.  Each class has its own counts of
+pairs, absolutely discounted; the mass that this frees goes, as in Kneser and
+Ney, by the number of different continuations, which is shared by the
+classes, and contexts with few counts lean on both classes together.
+Continuations that are rare in both are one event of their context, so that a rare expression
+counts for neither class by itself, and differences that the counts leave in
+doubt are drawn towards none, so that ordinary words of any language add nothing.  A text's score is the mean, per word, of the
 difference of its log-likelihoods, mapped to a probability on labelled
 documents that the counts have not seen.
 
@@ -29,6 +32,10 @@ from lynceus.session import durable, sized
 PIECE = 4
 PIECE_BITS, PAIR_BITS = 18, 22
 DISCOUNT = 0.75
+#: A continuation seen less often, in both classes together, is rare; and the weight of the shared distribution, in counts.
+RARE, SHARED = 8, 10.0
+#: A difference is drawn towards none by so many standard errors, and by so much that a class may differ in languages and topics.
+DOUBT, LEANING = 2.5, 1.0
 #: Labelled documents in this share set the scale of scores; the others are counted.
 SCALE_SHARE = 0.2
 SLICE = 1_000_000
@@ -109,10 +116,9 @@ def _dense(rows: DataFrame, columns: list[str]) -> list[np.ndarray]:
 
 @dataclass
 class ToxicModel:
-    """Differences of log-likelihoods: of pairs (``value`` where ``check`` agrees), else of context and piece; and the scale."""
+    """Differences of log-likelihoods: of pairs (``value`` where ``check`` agrees), else of a rare continuation of the context; and the scale."""
 
     context: np.ndarray
-    piece: np.ndarray
     value: np.ndarray
     check: np.ndarray
     slope: float = 1.0
@@ -124,7 +130,7 @@ class ToxicModel:
         for a, b in slices(texts, SLICE):
             text, before, piece, first = word_pieces(texts[a:b])
             slot, check = pair_slots(before, piece)
-            each = np.where(self.check[slot] == check, self.value[slot], self.context[before] + self.piece[piece])
+            each = np.where(self.check[slot] == check, self.value[slot], self.context[before])
             total, words = np.bincount(text, each, b - a), np.bincount(text, first, b - a)
             out[a:b] = total / np.maximum(words, 1)
         return out
@@ -140,42 +146,57 @@ def pair_slots(before: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.nd
     return (h >> np.uint64(64 - PAIR_BITS)).astype(np.int64), np.maximum(check, 1)
 
 
+def _log_share(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, all_kinds: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Log-probability of events with ``n`` counts in a class whose context has ``total``, over ``kinds`` of ``all_kinds`` events.
+
+    ``share`` is their probability in both classes together.
+    """
+    return np.log((np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds / all_kinds + SHARED * share) / (total + SHARED))
+
+
+def _supported(difference: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+    """Differences of log-likelihoods, less what the counts leave in doubt or the make-up of the classes explains."""
+    error = np.sqrt(1 / (toxic + 0.5) + 1 / (ordinary + 0.5))
+    return np.sign(difference) * np.maximum(np.abs(difference) - LEANING - DOUBT * error, 0)
+
+
 def fit_counts(labelled: DataFrame) -> ToxicModel:
     """The model without its scale, from the rows (text, toxic)."""
-    pairs = durable(count_pairs(labelled))
-    seen = {c: F.sum((F.col(c) > 0).cast("long")) for c in ("toxic", "ordinary")}
-    # how many different contexts a piece follows, in each class and in both together
-    follows = _dense(pairs.groupBy(F.col("piece").alias("slot")).agg(
-        seen["toxic"].alias("t"), seen["ordinary"].alias("o"), F.count(F.lit(1)).alias("both")), ["t", "o", "both"])
-    inside = _dense(pairs.groupBy(F.col("before").alias("slot")).agg(
-        F.sum("toxic").alias("nt"), F.sum("ordinary").alias("no"), seen["toxic"].alias("kt"), seen["ordinary"].alias("ko")),
-        ["nt", "no", "kt", "ko"])
-    shared = (follows[2] + DISCOUNT) / (follows[2] + DISCOUNT).sum()
-    base = []
-    for kinds in follows[:2]:
-        total = kinds.sum()
-        base.append(np.maximum(kinds - DISCOUNT, 0) / total + DISCOUNT * (kinds > 0).sum() / total * shared if total else shared)
-    # the mass that a context leaves to the lower order; all of it where the class has not seen the context
-    left = [np.where(n > 0, DISCOUNT * k / np.maximum(n, 1), 1.0) for n, k in ((inside[0], inside[2]), (inside[1], inside[3]))]
-    sent = labelled.sparkSession.sparkContext.broadcast((base, left, inside[:2]))
+    pairs = durable(count_pairs(labelled).withColumn("rare", F.col("toxic") + F.col("ordinary") < RARE))
+    def where(condition: str, value: str = "1"):
+        return F.sum(F.expr(f"CASE WHEN {condition} THEN {value} ELSE 0 END"))
+    columns = {"toxic": F.sum("toxic"), "ordinary": F.sum("ordinary"), "rare_toxic": where("rare", "toxic"),
+               "rare_ordinary": where("rare", "ordinary"), "kinds": where("NOT rare"), "kinds_toxic": where("NOT rare AND toxic > 0"),
+               "kinds_ordinary": where("NOT rare AND ordinary > 0")}
+    of = dict(zip(columns, _dense(pairs.groupBy(F.col("before").alias("slot")).agg(*[c.alias(n) for n, c in columns.items()]), list(columns))))
+    # the rare continuations of a context are one kind of event more
+    rare, both = of["rare_toxic"] + of["rare_ordinary"], np.maximum(of["toxic"] + of["ordinary"], 1)
+    kinds = np.maximum(of["kinds"] + (rare > 0), 1)
+    logs = []
+    for name in ("toxic", "ordinary"):
+        of[f"kinds_{name}"] = of[f"kinds_{name}"] + (of[f"rare_{name}"] > 0)
+        logs.append(_log_share(of[f"rare_{name}"], of[name], of[f"kinds_{name}"], kinds, rare / both))
+    context = np.where(rare > 0, _supported(logs[0] - logs[1], of["rare_toxic"], of["rare_ordinary"]), 0.0).astype(np.float32)
+    sent = labelled.sparkSession.sparkContext.broadcast((of, kinds, both))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, left, totals = sent.value
+        of, kinds, both = sent.value
         for batch in batches:
             before, piece = batch.column("before").to_numpy(), batch.column("piece").to_numpy()
-            logs = [np.log(np.maximum(batch.column(c).to_numpy() - DISCOUNT, 0) / np.maximum(totals[k][before], 1)
-                           + left[k][before] * base[k][piece]) for k, c in enumerate(("toxic", "ordinary"))]
+            n = {name: batch.column(name).to_numpy() for name in ("toxic", "ordinary")}
+            total = n["toxic"] + n["ordinary"]
+            logs = [_log_share(n[c], of[c][before], of[f"kinds_{c}"][before], kinds[before], total / both[before]) for c in n]
             slot, check = pair_slots(before, piece)
-            n = batch.column("toxic").to_numpy() + batch.column("ordinary").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(check.astype(np.int32)), pa.array(logs[0] - logs[1]), pa.array(n)],
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(check.astype(np.int32)), pa.array(_supported(logs[0] - logs[1], *n.values())),
+                                              pa.array(total)],
                                              names=["slot", "check", "value", "n"])
 
-    best = (pairs.mapInArrow(compare, "slot long, check int, value double, n long").groupBy("slot")
+    best = (pairs.filter("NOT rare").mapInArrow(compare, "slot long, check int, value double, n long").groupBy("slot")
             .agg(F.max(F.struct("n", "check", "value")).alias("best")).select("slot", "best.check", "best.value").toArrow())
     value, check = np.zeros(1 << PAIR_BITS, np.float32), np.zeros(1 << PAIR_BITS, np.uint16)
     value[best["slot"].to_numpy()] = best["value"].to_numpy()
     check[best["slot"].to_numpy()] = best["check"].to_numpy()
-    return ToxicModel(np.log(left[0] / left[1]).astype(np.float32), np.log(base[0] / base[1]).astype(np.float32), value, check)
+    return ToxicModel(context, value, check)
 
 
 def _scaled(model: ToxicModel, held: DataFrame, bins: int = 4_000, reach: float = 4.0) -> ToxicModel:

@@ -103,10 +103,10 @@ def test_pair_counts(marked):
 
 def test_likelihoods_add_up(marked):
     """The mass of a context, over the pieces seen anywhere, is at most one, and what is unseen counts for neither class."""
-    model = toxicity.fit_counts(marked.withColumn("toxic", F.col("toxic")))
+    model = toxicity.fit_counts(marked)
     slot, check = toxicity.pair_slots(np.array([1]), np.array([2]))
     assert model.check[slot[0]] != check[0] or np.isfinite(model.value[slot[0]])
-    assert np.isfinite(model.context).all() and np.isfinite(model.piece).all()
+    assert np.isfinite(model.context).all() and np.isfinite(model.value).all()
     _, before, piece, first = toxicity.word_pieces(["gruwexta morise"])
     assert first.tolist() == [True, False, True, False] and before[0] == before[2] == 0
     strong, plain = model.differences(["gruwexta bolkafri", "tarimo sela kune"])
