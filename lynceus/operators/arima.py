@@ -75,10 +75,13 @@ class Arima:
         return (rows.withColumn("error", F.col(self.y) - F.col("y_pred"))
                 .select(*self.key, self.order, self.y, "y_pred", "error"))
 
-    def forecast(self, periods: int) -> DataFrame:
-        """Forecasts 1..periods ahead per series from its last row of lags."""
+    def forecast(self, periods: int | DataFrame) -> DataFrame:
+        """Forecasts 1..periods ahead per series from its last row of lags.
+
+        ``periods`` may be a table (key..., periods) that says how far for each series.
+        """
         d, key, max_p, max_q = self.d, self.key, self.max_p, self.max_q
-        ends = with_model(self.ends, self.model, key, ["coef"])
+        ends = with_periods(with_model(self.ends, self.model, key, ["coef"]), periods, key)
         fields = [ends.schema[k] for k in key]
         schema = T.StructType(fields + [T.StructField("step", T.LongType()),
                                         T.StructField("y_pred", T.DoubleType())])
@@ -92,7 +95,7 @@ class Arima:
                     coef = np.asarray(row["coef"], float)
                     tails = [row[f"_t{i}"] for i in range(d)]
                     out = []
-                    for step in range(1, periods + 1):
+                    for step in range(1, int(row["periods"]) + 1):
                         x = np.array([1.0, *w[:max_p], *e[:max_q]], float)
                         value = float(coef @ np.nan_to_num(x))
                         w, e = [value, *w[:max_p]], [0.0, *e[:max_q]]
@@ -113,11 +116,19 @@ class Arima:
         return score_ahead(df, self.forecast, self.limits, self.key, self.order, self.y)
 
 
+def with_periods(ends: DataFrame, periods: int | DataFrame, key: list[str]) -> DataFrame:
+    """Append ``periods`` to the table of series; those that a given table lacks go."""
+    if isinstance(periods, int):
+        return ends.withColumn("periods", F.lit(periods))
+    return with_model(ends, periods, key, ["periods"])
+
+
 def score_ahead(df: DataFrame, forecast, limits: DataFrame, key: list[str], order: str, y: str) -> DataFrame:
     """The i-th new row of a series meets its i-step forecast; errors above the training limit are flagged."""
     rows = row_index(df, order, key=key, name="_step").withColumn("_step", F.col("_step") + 1)
-    periods = rows.agg(F.max("_step")).first()[0] or 0
-    ahead = forecast(periods).withColumnRenamed("step", "_step")
+    rows = durable(rows)
+    # as many steps for each series as it has new rows
+    ahead = forecast(rows.groupBy(*key).agg(F.coalesce(F.max("_step"), F.lit(0)).alias("periods"))).withColumnRenamed("step", "_step")
     rows = rows.join(ahead, [*key, "_step"], "left").drop("_step")
     rows = with_model(rows, limits, key, ["threshold"])
     rows = rows.withColumn("error", F.col(y) - F.col("y_pred"))
@@ -129,13 +140,30 @@ def error_limits(fitted: DataFrame, key: list[str], k: float) -> DataFrame:
     return fitted.groupBy(*key).agg((F.avg(F.abs("error")) + k * F.stddev_pop(F.abs("error"))).alias("threshold"))
 
 
-def fit_arima(df: DataFrame, d: int = 1, max_p: int = 2, max_q: int = 2, start_p: int = 0, start_q: int = 0,
+def choose_d(df: DataFrame, key: list[str], order: str, y: str, sizes, most: int = 2) -> int:
+    """The number of differences after which the values vary least, as the mean over series of the logarithm of their deviation."""
+    names = [f"_v{d}" for d in range(most + 1)]
+    def columns(w: WindowSpec):
+        value, out = F.col(y), {}
+        steps = [F.lag(y, j).over(w) for j in range(1, most + 1)]
+        out["_v0"], out["_v1"], out["_v2"] = value, value - steps[0], value - 2 * steps[0] + steps[1]
+        return out
+    rows = over_order(df, order, columns, key=key, back=most, sizes=sizes)
+    spread = rows.groupBy(*key).agg(*[F.log(F.greatest(F.stddev_pop(n), F.lit(1e-12))).alias(n) for n in names])
+    found = spread.agg(*[F.avg(n).alias(n) for n in names]).first()
+    values = [found[n] for n in names]
+    return min(range(most + 1), key=lambda d: (round(values[d], 6), d)) if None not in values else 0
+
+
+def fit_arima(df: DataFrame, d: int | None = 1, max_p: int = 2, max_q: int = 2, start_p: int = 0, start_q: int = 0,
               key: str | Sequence[str] | None = None, order: str = "ds", y: str = "y",
               k: float = DEFAULT_K) -> Arima:
+    """Fit every series with the orders of least AIC; ``d`` None lets the data choose the number of differences."""
     key = as_list(key)
     long_ar = max(max_p, max_q) + 3
     rows = df.select(*key, order, F.col(y).cast("double").alias(y))
     sizes = group_sizes(rows, key)
+    d = choose_d(rows, key, order, y, sizes) if d is None else d
     rows = _differences(rows, d, key, order, y, sizes)
     rows = over_order(rows, order, lambda w: {f"_w{i}": F.lag("_w", i).over(w) for i in range(1, long_ar + 1)},
                       key=key, back=long_ar, sizes=sizes)

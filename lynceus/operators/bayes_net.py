@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from lynceus.operators.eda import QuantileBinner
 from lynceus.session import durable, sized
 
-MAX_PARENTS = 3
-DEFAULT_BINS = 10
+DEFAULT_BINS = 100
 Edge = tuple[str, str]
 
 
@@ -81,7 +80,7 @@ def _acyclic(cols: Sequence[str], edges: set[Edge]) -> bool:
     return True
 
 
-def learn_structure(df: DataFrame, cols: Sequence[str], max_parents: int = MAX_PARENTS,
+def learn_structure(df: DataFrame, cols: Sequence[str], max_parents: int | None = None,
                     scores: FamilyScores | None = None) -> list[Edge]:
     """Hill climbing by add, delete and reverse moves on the BIC; ties go to the first move by name."""
     scores = scores or FamilyScores(df, cols)
@@ -98,7 +97,7 @@ def learn_structure(df: DataFrame, cols: Sequence[str], max_parents: int = MAX_P
                 elif (b, a) not in edges:
                     moves.append(edges | {(a, b)})
         moves = [m for m in moves if _acyclic(cols, m)
-                 and max(map(len, parents_of(cols, m).values())) <= max_parents]
+                 and (max_parents is None or max(map(len, parents_of(cols, m).values())) <= max_parents)]
         wanted = [s for m in moves for c, p in parents_of(cols, m).items() for s in (p, p | {c})]
         scores.load(wanted)
         here = scores.bic(edges)
@@ -171,7 +170,7 @@ class BayesNet:
 
     @classmethod
     def fit(cls, df: DataFrame, cols: Sequence[str], target: str = "target", bins: int = DEFAULT_BINS,
-            max_parents: int = MAX_PARENTS) -> BayesNet:
+            max_parents: int | None = None) -> BayesNet:
         binner = QuantileBinner.fit(df, cols, bins)
         names = [*cols, target]
         table = binner.transform(df.select(*names)).na.drop()

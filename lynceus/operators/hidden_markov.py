@@ -149,6 +149,10 @@ def _vectors(data: pa.Table) -> np.ndarray:
     return data.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(data.num_rows, -1)
 
 
+#: Rows that one Python task walks through at a time; longer series are cut, with the same result.
+CHUNK_ROWS = 50_000
+
+
 @dataclass
 class HiddenMarkov:
     scaler: Scaler
@@ -175,13 +179,16 @@ class HiddenMarkov:
 
     @classmethod
     def fit(cls, df: DataFrame, cols: Sequence[str], n_states: int, order: str | Sequence[str],
-            key: str | Sequence[str] | None = None, n_mix: int = 1, n_iter: int = 10, tol: float = 1e-4,
+            key: str | Sequence[str] | None = None, n_mix: int = 10, n_iter: int = 1000, tol: float = 1e-4,
             chunk: int | None = None, seed: int = 42, target: str | None = None) -> HiddenMarkov:
-        """EM on complete rows; with ``target`` the states are named by their majority label."""
+        """EM on complete rows until the likelihood gains less than ``tol`` (a share of it), or ``n_iter`` rounds.
+
+        With ``target`` the states are named by their majority label.
+        """
         key, order = as_list(key), as_list(order)
         df = df.na.drop(subset=list(cols))
         scaler = Scaler.fit(df, cols)
-        chunk = chunk or max_rows_per_task(df.sparkSession)
+        chunk = chunk or min(CHUNK_ROWS, max_rows_per_task(df.sparkSession))
         model = cls(scaler, _start(df, scaler, n_states, n_mix, seed), key, order, chunk)
         rows, split = model._chunks(df, key)
         rows = durable(rows) if split else rows.persist()
@@ -276,10 +283,16 @@ class HiddenMarkov:
         return np.array([r["_v"] for r in sums])
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Most probable state path: ``state`` and, when states are named, ``y_pred``."""
+        """Most probable state path: ``state`` and, when states are named, ``y_pred``.
+
+        The path runs over complete rows; a row with a missing sensor has null there.
+        """
         params, by = self.params, self._by
         keep = list(df.columns)
-        rows, split = self._chunks(df.na.drop(subset=self.scaler.cols), keep)
+        complete = F.lit(True)
+        for c in self.scaler.cols:
+            complete = complete & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+        rows, split = self._chunks(df.filter(complete), keep)
         schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("state", T.IntegerType())])
         log_start = np.log(params.start + TINY)
 
@@ -304,6 +317,7 @@ class HiddenMarkov:
                     .applyInPandas(decode, schema))
         else:
             done = rows.groupBy(*by, "_chunk").applyInArrow(decode_whole, schema)
+        done = done.unionByName(df.filter(~complete).withColumn("state", F.lit(None).cast("int")))
         if not self.labels:
             return done
         name = F.lit(None)
@@ -318,7 +332,7 @@ def _start(df: DataFrame, scaler: Scaler, s: int, m: int, seed: int) -> Paramete
     scaled = df.select(*[scaler.scaled(c).alias(n) for c, n in zip(scaler.cols, names)])
     ready = keep_cached(VectorAssembler(inputCols=names, outputCol="_v").transform(scaled).select("_v"))
     try:
-        found = KMeans(k=s * m, featuresCol="_v", seed=seed, maxIter=10).fit(ready).clusterCenters()
+        found = KMeans(k=s * m, featuresCol="_v", seed=seed, maxIter=300).fit(ready).clusterCenters()
     finally:
         ready.unpersist()
     centres = np.array(sorted(map(tuple, found)))

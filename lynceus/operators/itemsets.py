@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from lynceus.session import durable
 
-# Itemsets longer than this are not split into rules (2**n subsets each).
-MAX_RULE_ITEMS = 12
 KEY_MARK = "\u0001"
 
 
@@ -38,22 +36,39 @@ def association_rules(itemsets: DataFrame, min_conf: float) -> DataFrame:
     """Rules with consequents of any size: (antecedent, consequent, support, confidence).
 
     ``itemsets`` must hold every frequent set up to the longest rule.
+    Consequents grow by one item a step, and only where confidence suffices: a
+    larger consequent of the same set can't have more.
     """
     text = lambda c: F.array_join(c, KEY_MARK)
     longest = itemsets.agg(F.max(F.size("items"))).first()[0] or 0
-    if longest > MAX_RULE_ITEMS:
-        raise ValueError(f"itemsets of {longest} items: set max_len to at most {MAX_RULE_ITEMS}")
-    sets = itemsets.filter(F.size("items") > 1)
-    masks = F.sequence(F.lit(1), F.expr("cast(pow(2, size(items)) as int) - 2"))
-    split = sets.select("items", "support", F.explode(masks).alias("_mask"))
-    picked = lambda bit: F.expr(
-        f"filter(items, (x, i) -> (shiftright(_mask, i) & 1) = {bit})")
-    split = split.select(picked(1).alias("antecedent"), picked(0).alias("consequent"), "support")
-    known = itemsets.select(text("items").alias("_key"), F.col("support").alias("_base"))
-    return (split.withColumn("_key", text("antecedent")).join(known, "_key")
-            .select("antecedent", "consequent", "support",
-                    (F.col("support") / F.col("_base")).alias("confidence"))
-            .filter(F.col("confidence") >= min_conf))
+    known = durable(itemsets.select(text("items").alias("_key"), F.col("support").alias("_base")))
+    empty = F.array().cast("array<int>")
+    grown = itemsets.filter(F.size("items") > 1).select("items", "support", empty.alias("_picked"))
+    rules = None
+    for step in range(1, max(longest, 2)):
+        # places after the last picked one, so that each consequent is reached once
+        first = F.coalesce(F.element_at("_picked", -1) + 1, F.lit(0)) if step > 1 else F.lit(0)
+        later = F.filter(F.sequence(F.lit(0), F.size("items") - 1), lambda i: i >= first)
+        grown = (grown.filter(F.size("items") > step).select("items", "support", "_picked", F.explode(later).alias("_next"))
+                 .select("items", "support", F.concat("_picked", F.array("_next")).alias("_picked"))
+                 .withColumn("antecedent", F.filter("items", lambda x, i: ~F.array_contains("_picked", i)))
+                 .withColumn("_key", text("antecedent")).join(known, "_key")
+                 .withColumn("confidence", F.col("support") / F.col("_base")).filter(F.col("confidence") >= min_conf)
+                 .select("items", "support", "_picked", "antecedent", "confidence"))
+        if longest > 4:
+            grown = durable(grown)
+            if grown.isEmpty():
+                break
+        found = grown.select("antecedent", F.filter("items", lambda x, i: F.array_contains("_picked", i)).alias("consequent"),
+                             "support", "confidence")
+        rules = found if rules is None else rules.unionByName(found)
+    return rules if rules is not None else found_nothing(itemsets)
+
+
+def found_nothing(itemsets: DataFrame) -> DataFrame:
+    return itemsets.filter(F.lit(False)).select(
+        F.col("items").alias("antecedent"), F.col("items").alias("consequent"), "support",
+        F.lit(None).cast("double").alias("confidence"))
 
 
 def rule_text(rules: DataFrame) -> DataFrame:
@@ -67,6 +82,17 @@ def top_k_rules(rules: DataFrame, k: int = 10, min_conf: float = 0.8) -> DataFra
             .orderBy(F.col("support").desc(), F.col("confidence").desc(), "rule").limit(k))
 
 
+def best_rules(baskets: DataFrame, items: str, k: int = 10, min_conf: float = 0.8, start: float = 0.25) -> DataFrame:
+    """The k best rules without a least support: it is lowered until k rules are found, or a single basket suffices."""
+    n = max(1, baskets.count())
+    support = max(start, 1 / n)
+    while True:
+        rules = durable(association_rules(frequent_itemsets(baskets, items, support), min_conf))
+        if support <= 1 / n or rules.count() >= k:
+            return top_k_rules(rules, k, min_conf)
+        support = max(support / 2, 1 / n)
+
+
 def rule_edges(rules: DataFrame) -> DataFrame:
     """Network of rules: one edge from each antecedent node to each consequent node."""
     return rules.select(F.array_join("antecedent", " ").alias("src"),

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lynceus.functions.least_squares import with_model
-from lynceus.operators.arima import error_limits, score_ahead
+from lynceus.operators.arima import error_limits, score_ahead, with_periods
 from lynceus.operators.ordering import as_list, group_sizes, max_rows_per_task, row_index, spread
 from lynceus.session import durable
 
@@ -158,7 +158,8 @@ class Smoothing:
         """Score rows that follow the training rows against the forecast, in order."""
         return score_ahead(df, self.forecast, self.limits, self.key, self.order, self.y)
 
-    def forecast(self, periods: int) -> DataFrame:
+    def forecast(self, periods: int | DataFrame) -> DataFrame:
+        """Steps 1..periods ahead per series; ``periods`` may be a table (key..., periods)."""
         model, key = self.model, self.key
         fields = [self.params.schema[k] for k in key]
         schema = T.StructType(fields + [T.StructField("step", T.LongType()),
@@ -167,11 +168,11 @@ class Smoothing:
         def run(batches):
             for pdf in batches:
                 for r in pdf.to_dict("records"):
-                    path = model.ahead(np.asarray(r["state"], float), periods)
-                    yield pd.DataFrame({**{k: [r[k]] * periods for k in key},
-                                        "step": np.arange(1, periods + 1), "y_pred": path})
+                    n = int(r["periods"])
+                    path = model.ahead(np.asarray(r["state"], float), n)
+                    yield pd.DataFrame({**{k: [r[k]] * n for k in key}, "step": np.arange(1, n + 1), "y_pred": path})
 
-        return self.params.select(*key, "state").mapInPandas(run, schema)
+        return with_periods(self.params.select(*key, "state"), periods, key).mapInPandas(run, schema)
 
 
 def exp_smoothing(df: DataFrame, trend: str | None = None, seasonal: str | None = None,

@@ -18,11 +18,10 @@ from lynceus.session import keep_cached
 
 # The full search grids.  Log loss and entropy are the same
 # criterion; cost-complexity pruning is stood in for by a minimum gain.
-FULL_TREE_GRID = {"impurity": ["gini", "entropy"], "minInfoGain": [0.1, 0.01, 0.001],
-                  "maxDepth": [2, 3, 4, 5, 6, 7, 8, 9]}
-FULL_FOREST_GRID = {"numTrees": [10, 50, 100], "minInfoGain": [0.1, 0.01, 0.001], "maxDepth": [2, 3, 4, 5]}
-TREE_GRID = {"impurity": ["gini"], "minInfoGain": [0.001], "maxDepth": [3, 6]}
-FOREST_GRID = {"numTrees": [10], "minInfoGain": [0.001], "maxDepth": [3, 5]}
+TREE_GRID = {"impurity": ["gini", "entropy"], "minInfoGain": [0.1, 0.01, 0.001],
+             "maxDepth": [2, 3, 4, 5, 6, 7, 8, 9]}
+FOREST_GRID = {"numTrees": [10, 50, 100], "minInfoGain": [0.1, 0.01, 0.001], "maxDepth": [2, 3, 4, 5]}
+FOLDS = 5
 
 
 @dataclass
@@ -38,11 +37,16 @@ class TreeClassifier:
         return self.scaler.cols
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Predicted label ``y_pred`` next to all input columns."""
+        """Predicted label ``y_pred`` next to all input columns; null where an input is null."""
         names = [f"_z{i}" for i in range(len(self.cols))]
-        rows = df.withColumns({n: self.scaler.scaled(c) for n, c in zip(names, self.cols)})
-        out = self.model.transform(rows)
-        return out.drop(*names, "_features", "_label", "rawPrediction", "probability", "prediction")
+        known = F.lit(True)
+        for c in self.cols:
+            known = known & F.col(c).isNotNull()
+        # the stand-in for a missing input is never seen: its row's prediction is taken back
+        rows = df.withColumns({n: F.coalesce(self.scaler.scaled(c), F.lit(0.0)) for n, c in zip(names, self.cols)})
+        out = self.model.transform(rows.withColumn("_known", known))
+        return (out.withColumn("y_pred", F.when(F.col("_known"), F.col("y_pred")))
+                .drop(*names, "_known", "_features", "_label", "rawPrediction", "probability", "prediction"))
 
     def importance(self) -> list[tuple[str, float]]:
         """(column, importance): one pair per input column."""
@@ -85,18 +89,16 @@ def _fit(df: DataFrame, cols: Sequence[str], target: str, learner, grid: Mapping
 
 
 def fit_tree(df: DataFrame, cols: Sequence[str], target: str = "target", grid: Mapping | None = None,
-             full_grid: bool = False, folds: int | None = None, parallelism: int = 4,
+             folds: int = FOLDS, parallelism: int = 4,
              fold_key: Sequence[str] | None = None, seed: int = 42) -> TreeClassifier:
-    """Decision tree; ``full_grid`` searches the full grid in 5 folds."""
+    """Decision tree, best of a grid (the full one unless given) by accuracy over the folds."""
     learner = DecisionTreeClassifier(featuresCol="_features", labelCol="_label", seed=seed)
-    chosen = grid or (FULL_TREE_GRID if full_grid else TREE_GRID)
-    return _fit(df, cols, target, learner, chosen, folds or (5 if full_grid else 3), parallelism, fold_key, seed)
+    return _fit(df, cols, target, learner, grid or TREE_GRID, folds, parallelism, fold_key, seed)
 
 
 def fit_forest(df: DataFrame, cols: Sequence[str], target: str = "target", grid: Mapping | None = None,
-               full_grid: bool = False, folds: int | None = None, parallelism: int = 4,
+               folds: int = FOLDS, parallelism: int = 4,
                fold_key: Sequence[str] | None = None, seed: int = 42) -> TreeClassifier:
-    """Random forest; ``full_grid`` searches the full grid in 5 folds."""
+    """Random forest, best of a grid (the full one unless given) by accuracy over the folds."""
     learner = RandomForestClassifier(featuresCol="_features", labelCol="_label", seed=seed)
-    chosen = grid or (FULL_FOREST_GRID if full_grid else FOREST_GRID)
-    return _fit(df, cols, target, learner, chosen, folds or (5 if full_grid else 3), parallelism, fold_key, seed)
+    return _fit(df, cols, target, learner, grid or FOREST_GRID, folds, parallelism, fold_key, seed)

@@ -80,36 +80,62 @@ def _diagonal_weights(projections: np.ndarray, a: int, b: int, L: int) -> np.nda
     return out / max(len(starts), 1)
 
 
+def _complete_mean(stack: np.ndarray, values: np.ndarray, a: int, b: int, L: int) -> np.ndarray:
+    """Reconstructions of points without a null near them; one stack for all rows, or one each."""
+    if stack.ndim == 3:
+        return values @ _diagonal_weights(stack, a, b, L).T
+    return np.einsum("ign,in->ig", np.stack([_diagonal_weights(p, a, b, L) for p in stack]), values)
+
+
+def _partial_mean(stack: np.ndarray, values: np.ndarray, a: int, b: int, L: int) -> np.ndarray:
+    """The same mean over the windows without nulls only; NaN where there is none."""
+    total, count = np.zeros((len(values), 3)), np.zeros((len(values), 1))
+    each = "gn,in->ig" if stack.ndim == 3 else "ign,in->ig"
+    for o in range(-a, b - L + 2):
+        window = values[:, o + a:o + a + L]
+        good = ~np.isnan(window).any(axis=1)[:, None]
+        total += np.where(good, np.einsum(each, stack[..., -o, :], np.nan_to_num(window)), 0.0)
+        count += good
+    return np.where(count > 0, total / np.maximum(count, 1), np.nan)
+
+
 def decompose(df: DataFrame, stats: DataFrame, window: int, f_bound: float, contribution: float,
               key: list[str], order: str, y: str) -> DataFrame:
     """Trend, seasonal and residual parts of the scaled series.
 
     Diagonal averaging makes every reconstructed value a weighted mean of its
-    neighbours within window - 1 rows, so no window is ever exploded.
+    neighbours within window - 1 rows, so no window is ever exploded.  Windows
+    that hold a null count neither for the spectrum nor for any mean; a row that no
+    other window covers, a null one in particular, has null parts.
     """
     L = window
     known = group_sizes(df, key)
     rows = standardise(df, y, "_z", stats, key)
 
     def frames(w):
-        return {"_back": F.collect_list("_z").over(w.rowsBetween(-(L - 1), -1)),
-                "_win": F.collect_list("_z").over(w.rowsBetween(0, L - 1))}
+        # structs keep the places of nulls, which a list of values would close
+        def listed(frame):
+            return F.transform(F.collect_list(F.struct("_z")).over(frame), lambda s: s["_z"])
+
+        return {"_back": listed(w.rowsBetween(-(L - 1), -1)), "_win": listed(w.rowsBetween(0, L - 1))}
 
     rows = over_order(rows, order, frames, key=key, back=L - 1, ahead=L - 1, sizes=known)
-    grams = gram(rows.filter(F.size("_win") == L), "_win", L, key)
+    whole = (F.size("_win") == L) & ~F.exists("_win", lambda z: z.isNull())
+    grams = gram(rows.filter(whole), "_win", L, key)
     result = T.StructType([T.StructField(g, T.DoubleType()) for g in GROUPS])
 
     def reconstruct(back: pd.Series, win: pd.Series, projections) -> pd.DataFrame:
-        """``projections(i)`` is the (3, L, L) stack of row i."""
+        """``projections(at)`` is the (3, L, L) stack of all rows, or of each of the rows ``at``."""
         out = np.full((len(back), 3), np.nan)
         sizes = pd.DataFrame({"a": back.map(len).to_numpy(), "b": win.map(len).to_numpy() - 1})
         for (a, b), at in sizes.groupby(["a", "b"]).indices.items():
             if a + b + 1 < L:
                 continue
-            values = np.stack([np.concatenate([back.iloc[i], win.iloc[i]]) for i in at])
-            stack = projections(at, a, b)
-            out[at] = np.einsum("gn,in->ig", stack, values) if stack.ndim == 2 else np.einsum(
-                "ign,in->ig", stack, values)
+            values = np.stack([np.concatenate([back.iloc[i], win.iloc[i]]) for i in at]).astype(float)
+            broken = np.isnan(values).any(axis=1)
+            for some, mean in ((~broken, _complete_mean), (broken, _partial_mean)):
+                if some.any():
+                    out[at[some]] = mean(projections(at[some]), values[some], a, b, L)
         return pd.DataFrame(out, columns=GROUPS)
 
     if key:
@@ -126,8 +152,7 @@ def decompose(df: DataFrame, stats: DataFrame, window: int, f_bound: float, cont
         @F.pandas_udf(result)
         def parts(back: pd.Series, win: pd.Series, p: pd.Series) -> pd.DataFrame:
             stacks = [np.asarray(v, float).reshape(3, L, L) for v in p]
-            return reconstruct(back, win, lambda at, a, b: np.stack(
-                [_diagonal_weights(stacks[i], a, b, L) for i in at]))
+            return reconstruct(back, win, lambda at: np.stack([stacks[i] for i in at]))
 
         rows = rows.withColumn("_parts", parts("_back", "_win", "_p")).drop("_p")
     else:
@@ -138,7 +163,7 @@ def decompose(df: DataFrame, stats: DataFrame, window: int, f_bound: float, cont
 
         @F.pandas_udf(result)
         def parts(back: pd.Series, win: pd.Series) -> pd.DataFrame:
-            return reconstruct(back, win, lambda at, a, b: _diagonal_weights(stack, a, b, L))
+            return reconstruct(back, win, lambda at: stack)
 
         rows = rows.withColumn("_parts", parts("_back", "_win"))
     return rows.select(*df.columns, *[F.nanvl(F.col(f"_parts.{g}"), F.lit(None).cast("double")).alias(g)

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lynceus.functions.least_squares import dot, least_squares, with_model
 from lynceus.functions.moments import vector_moments
 from lynceus.operators import (arima, bayes_net, density, eda, hidden_markov, isolation_forest, metrics,
-                               multivariate, naive_bayes, series, smoothing, trees, trend_season, windows)
+                               multivariate, naive_bayes, smoothing, trees, trend_season, windows)
 from lynceus.plans import stand_ins as s
 from lynceus.plans.catalog import query, rounded
 from lynceus.plans.queries_shaping import z_sql
@@ -250,7 +249,7 @@ def bayes_net_query(spark, d):
 def hmm_states(spark, d):
     rows = s.events(spark, d).select("event_id", "user_id", "ts", "event_type", "value",
                                      F.log1p("value").alias("log_value"))
-    model = hidden_markov.HiddenMarkov.fit(rows, ["value", "log_value"], 3, ["ts", "event_id"], "user_id", n_iter=5)
+    model = hidden_markov.HiddenMarkov.fit(rows, ["value", "log_value"], 3, ["ts", "event_id"], "user_id")
     return model.transform(rows).select("event_id", "state")
 
 
@@ -277,12 +276,8 @@ def arima_forecast(spark, d):
 t AS (SELECT avg(abs(e)) + 3 * stddev_pop(abs(e)) AS t FROM f)
 SELECT ds, round(y_pred, 2) AS y_pred, abs(e) > t AS is_anomaly FROM f, t""")
 def ar1_anomaly(spark, d):
-    rows = series.lag_features(s.daily_orders(spark, d), 1)
-    design = [F.lit(1.0), F.col("lag_1")]
-    rows = with_model(rows, least_squares(rows, design, F.col("y")), None, ["coef"])
-    rows = rows.withColumn("y_pred", dot(design)).withColumn("error", F.col("y") - F.col("y_pred"))
-    out = series.SigmaRule.fit(rows).apply(rows)
-    return rounded(out.select("ds", "y_pred", "is_anomaly"), 2)
+    found = arima.arima_anomalies(s.daily_orders(spark, d), d=0, start_p=1, max_p=1, start_q=0, max_q=0)
+    return rounded(found.select("ds", "y_pred", "is_anomaly"), 2)
 
 
 @query("exp_smoothing")

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def build_session(app: str = "lynceus", master: str | None = None, **conf) -> SparkSession:
@@ -69,20 +70,31 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-# A side with more rows than this is never broadcast by a hint.
+# A derived side that would take more memory than this is never broadcast by a hint.
+BROADCAST_BYTES = 64 << 20
+# The same for tables whose rows are a few numbers and whose row count is bounded beforehand.
 BROADCAST_ROWS = 100_000
 
 
+def held_bytes(table: DataFrame) -> int:
+    """About what a table takes in memory: every row and field, and what texts, lists and the like hold beyond."""
+    wide = [F.sum(F.length(F.to_json(F.struct(f.name))) if not isinstance(f.dataType, (T.StringType, T.BinaryType))
+                  else F.octet_length(f.name)) for f in table.schema.fields
+            if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
+    n, *more = table.agg(F.count(F.lit(1)), *wide).first()
+    return n * (32 + 8 * len(table.columns)) + sum(x or 0 for x in more)
+
+
 def sized(table: DataFrame) -> DataFrame:
-    """Materialise a derived table and broadcast it when its row count proves small.
+    """Materialise a derived table and broadcast it when its size in memory proves small.
 
     Meant for the small side of a join on few, uneven keys (states, activities,
     series statistics), where the optimizer's size guess for a derived table
-    would shuffle the large side.  A table beyond ``BROADCAST_ROWS`` is joined
+    would shuffle the large side.  A table beyond ``BROADCAST_BYTES`` is joined
     by shuffle, with adaptive skew handling.
     """
     table = durable(table)
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    return F.broadcast(table) if held_bytes(table) <= BROADCAST_BYTES else table
 
 
 def keep_cached(df: DataFrame, rows_per_task: int = 10_000) -> DataFrame:

@@ -26,13 +26,16 @@ def partial_moments(df: DataFrame, by: Sequence[str], y: str) -> DataFrame:
 
 
 def merge_moments(parts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Combine partial moments: total mean, and within plus between deviations."""
+    """Combine partial moments: the total mean first, then deviations within the parts and of their means from it."""
     parts = parts.filter(F.col("n") > 0)
-    total = F.sum("n")
-    mean = F.sum(F.col("n") * F.col("mean")) / total
-    spread = F.sum("m2") + F.sum(F.col("n") * F.pow("mean", 2)) - total * F.pow(mean, 2)
-    return parts.groupBy(*by).agg(total.alias("n"), mean.alias("mean"),
-                                  F.greatest(spread, F.lit(0.0)).alias("m2"))
+    total = (parts.groupBy(*by).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("total_mean"))
+             .select(*[F.col(c).alias(f"_k_{c}") for c in by], "total_mean"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    apart = F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("total_mean"), 2)
+    return (parts.join(total, same).groupBy(*by)
+            .agg(F.sum("n").alias("n"), F.first("total_mean").alias("mean"), F.sum(apart).alias("m2")))
 
 
 def judge(rows: DataFrame, state: DataFrame, by: Sequence[str], y: str, k: float) -> DataFrame:
@@ -50,11 +53,15 @@ def batch_sigma(df: DataFrame, key: str | Sequence[str], batch: str = "batch_no"
     parts = partial_moments(df, [*by, batch], y)
     # one row per series and batch
     earlier = Window.partitionBy(*by).orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)
+    # means count from the series' first one, so that a large offset doesn't swallow the deviations
+    start = F.first("mean", ignorenulls=True).over(
+        Window.partitionBy(*by).orderBy(batch).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    parts = parts.withColumn("_start", start).withColumn("_d", F.col("mean") - F.col("_start"))
     total = F.sum("n").over(earlier)
-    mean = F.sum(F.col("n") * F.col("mean")).over(earlier) / total
-    spread = (F.sum("m2").over(earlier) + F.sum(F.col("n") * F.pow("mean", 2)).over(earlier)
-              - total * F.pow(mean, 2))
-    state = parts.select(*by, batch, total.alias("n"), mean.alias("mean"),
+    shift = F.sum(F.col("n") * F.col("_d")).over(earlier) / total
+    spread = (F.sum("m2").over(earlier) + F.sum(F.col("n") * F.pow("_d", 2)).over(earlier)
+              - total * F.pow(shift, 2))
+    state = parts.select(*by, batch, total.alias("n"), (F.col("_start") + shift).alias("mean"),
                          F.greatest(spread, F.lit(0.0)).alias("m2")).filter("n > 0")
     return judge(df, state, [*by, batch], y, k)
 
