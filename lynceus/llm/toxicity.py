@@ -36,6 +36,7 @@ DISCOUNT = 0.75
 RARE, SHARED = 8, 10.0
 #: A difference is drawn towards none by so many standard errors, and by so much that a class may differ in languages and topics.
 DOUBT, LEANING = 2.5, 1.0
+TINY = 1e-12
 #: Labelled documents in this share set the scale of scores; the others are counted.
 SCALE_SHARE = 0.2
 SLICE = 1_000_000
@@ -151,7 +152,7 @@ def _log_share(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, all_kinds: n
 
     ``share`` is their probability in both classes together.
     """
-    return np.log((np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds / all_kinds + SHARED * share) / (total + SHARED))
+    return np.log((np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds / all_kinds + SHARED * share + TINY) / (total + SHARED))
 
 
 def _supported(difference: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:

@@ -101,8 +101,8 @@ def test_pair_counts(marked):
     assert +found == want
 
 
-def test_likelihoods_add_up(marked):
-    """The mass of a context, over the pieces seen anywhere, is at most one, and what is unseen counts for neither class."""
+def test_insults_stand_out(marked):
+    """Words of toxic documents only score high; common or unseen words, and texts without words, count for neither class."""
     model = toxicity.fit_counts(marked)
     slot, check = toxicity.pair_slots(np.array([1]), np.array([2]))
     assert model.check[slot[0]] != check[0] or np.isfinite(model.value[slot[0]])
@@ -110,7 +110,7 @@ def test_likelihoods_add_up(marked):
     _, before, piece, first = toxicity.word_pieces(["gruwexta morise"])
     assert first.tolist() == [True, False, True, False] and before[0] == before[2] == 0
     strong, plain = model.differences(["gruwexta bolkafri", "tarimo sela kune"])
-    assert strong > 2 > abs(plain) and model.differences(["", "!?", None or ""]).tolist() == [0, 0, 0]
+    assert strong > 1 > 10 * abs(plain) and model.differences(["", "!?", None or ""]).tolist() == [0, 0, 0]
 
 
 def test_awkward_toxicity(awkward, nothing, spark):
