@@ -11,90 +11,81 @@ from lynceus.plans.catalog import query, rounded
 
 # --- itemsets and rules -------------------------------------------------------------------------
 
-PAIRS_SQL = f"""
-WITH b AS ({s.BASKETS_SQL}), n AS (SELECT count(DISTINCT l_orderkey) AS n FROM b),
-sets AS (SELECT p_type AS a, NULL AS b, count(*) AS support FROM b GROUP BY 1
-  UNION ALL SELECT x.p_type, y.p_type, count(*) FROM b x JOIN b y ON x.l_orderkey = y.l_orderkey
-  AND x.p_type < y.p_type GROUP BY 1, 2),
-keep AS (SELECT a, b, support FROM sets, n WHERE support >= ceil(0.1 * n))"""
+def sets_sql(share: float) -> str:
+    """Baskets as bit masks over the part types: s (k, support) holds every frequent set, names (k, txt, bar) its items."""
+    return f"""
+WITH t AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS i FROM (SELECT DISTINCT p_type FROM part)),
+g AS (SELECT m, count(*) AS c FROM (SELECT l_orderkey, sum(1 << i)::bigint AS m FROM ({s.BASKETS_SQL}) x JOIN t
+  ON t.p_type = x.p_type GROUP BY 1) GROUP BY 1),
+k AS (SELECT k FROM range(1, (SELECT 1 << count(*) FROM t)) r(k)),
+s AS (SELECT k, sum(c)::bigint AS support FROM g JOIN k ON (m & k) = k GROUP BY 1
+  HAVING sum(c) >= ceil({share} * (SELECT sum(c) FROM g))),
+names AS (SELECT k, string_agg(p_type, ' ' ORDER BY p_type) AS txt, string_agg(p_type, '|' ORDER BY p_type) AS bar
+  FROM k JOIN t ON ((k >> i) & 1) = 1 GROUP BY 1)"""
+
 
-RULES_SQL = PAIRS_SQL + """,
-sides AS (SELECT a AS x, b AS y, support FROM keep WHERE b IS NOT NULL
-  UNION ALL SELECT b, a, support FROM keep WHERE b IS NOT NULL),
-rules AS (SELECT x, y, sides.support, sides.support / keep.support AS confidence
-  FROM sides JOIN keep ON keep.b IS NULL AND keep.a = x)"""
+def rules_sql(share: float) -> str:
+    return sets_sql(share) + """,
+rules AS (SELECT na.txt AS x, nc.txt AS y, na.bar AS xs, nc.bar AS ys, s.support, s.support / a.support AS confidence
+  FROM s JOIN s a ON (s.k & a.k) = a.k AND a.k <> s.k JOIN names na ON na.k = a.k JOIN names nc ON nc.k = s.k - a.k)"""
 
 
-def _pairs(spark, d):
-    return itemsets.frequent_itemsets(s.type_baskets(spark, d), "items", 0.1, max_len=2)
+def _sets(spark, d, share=0.1):
+    return itemsets.frequent_itemsets(s.type_baskets(spark, d), "items", share)
 
 
-@query("frequent_itemsets", PAIRS_SQL + """
-SELECT a || coalesce('|' || b, '') AS items, support FROM keep""")
+@query("frequent_itemsets", sets_sql(0.1) + """
+SELECT bar AS items, support FROM s JOIN names USING (k)""")
 def frequent_itemsets(spark, d):
-    return _pairs(spark, d).select(F.array_join("items", "|").alias("items"), "support")
+    return _sets(spark, d).select(F.array_join("items", "|").alias("items"), "support")
 
 
-@query("association_rules", RULES_SQL + """
-SELECT x AS antecedent, y AS consequent, support, round(confidence, 6) AS confidence FROM rules
+@query("association_rules", rules_sql(0.1) + """
+SELECT xs AS antecedent, ys AS consequent, support, round(confidence, 6) AS confidence FROM rules
 WHERE confidence >= 0.1""")
 def association_rules(spark, d):
-    rules = itemsets.association_rules(_pairs(spark, d), 0.1)
+    rules = itemsets.association_rules(_sets(spark, d), 0.1)
     return rounded(rules.select(F.array_join("antecedent", "|").alias("antecedent"),
                                 F.array_join("consequent", "|").alias("consequent"), "support", "confidence"))
 
 
-# baskets as bit masks over the part types
-@query("association_rules_long", f"""
-WITH t AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS i FROM (SELECT DISTINCT p_type FROM part)),
-g AS (SELECT m, count(*) AS c FROM (SELECT l_orderkey, sum(1 << i)::bigint AS m FROM ({s.BASKETS_SQL}) x JOIN t
-  ON t.p_type = x.p_type GROUP BY 1) GROUP BY 1),
-k AS (SELECT k FROM range(1, (SELECT 1 << count(*) FROM t)) r(k)),
-s AS (SELECT k, sum(c)::bigint AS support FROM g JOIN k ON (m & k) = k GROUP BY 1
-  HAVING sum(c) >= ceil(0.05 * (SELECT sum(c) FROM g))),
-names AS (SELECT k, string_agg(p_type, ' ' ORDER BY p_type) AS txt FROM k JOIN t ON ((k >> i) & 1) = 1 GROUP BY 1)
-SELECT na.txt || ' ==> ' || nc.txt AS rule, s.support, round(s.support / a.support, 6) AS confidence
-FROM s JOIN s a ON (s.k & a.k) = a.k AND a.k <> s.k JOIN names na ON na.k = a.k JOIN names nc ON nc.k = s.k - a.k
-WHERE s.support / a.support >= 0.1""")
+@query("association_rules_long", rules_sql(0.05) + """
+SELECT x || ' ==> ' || y AS rule, support, round(confidence, 6) AS confidence FROM rules WHERE confidence >= 0.1""")
 def association_rules_long(spark, d):
-    """Rules of every length, with consequents of several items."""
-    sets = itemsets.frequent_itemsets(s.type_baskets(spark, d), "items", 0.05, max_len=6)
-    return rounded(itemsets.rule_text(itemsets.association_rules(sets, 0.1))
+    """Rules of rarer sets, with consequents of several items."""
+    return rounded(itemsets.rule_text(itemsets.association_rules(_sets(spark, d, 0.05), 0.1))
                    .select("rule", "support", "confidence"))
 
 
-@query("top_k_rules", RULES_SQL + """
+@query("top_k_rules", rules_sql(0.0) + """
 SELECT x || ' ==> ' || y AS rule, support, round(confidence, 6) AS confidence FROM rules WHERE confidence >= 0.3
 ORDER BY support DESC, rules.confidence DESC, 1 LIMIT 10""")
 def top_k_rules(spark, d):
-    rules = itemsets.association_rules(_pairs(spark, d), 0.1)
-    return rounded(itemsets.top_k_rules(rules, 10, 0.3).select("rule", "support", "confidence"))
+    rules = itemsets.best_rules(s.type_baskets(spark, d), "items", 10, 0.3)
+    return rounded(rules.select("rule", "support", "confidence"))
 
 
-@query("rule_edges", RULES_SQL + """
+@query("rule_edges", rules_sql(0.1) + """
 SELECT x AS src, y AS dst, support, round(confidence, 6) AS confidence FROM rules WHERE confidence >= 0.1""")
 def rule_edges(spark, d):
-    return rounded(itemsets.rule_edges(itemsets.association_rules(_pairs(spark, d), 0.1)))
+    return rounded(itemsets.rule_edges(itemsets.association_rules(_sets(spark, d), 0.1)))
 
 
 # --- sequences ----------------------------------------------------------------------------------
 
 @query("sequential_patterns", f"""
-WITH e AS (SELECT user_id, day, event_type AS i, row_number() OVER (PARTITION BY user_id, day
+WITH RECURSIVE e AS (SELECT user_id, day, event_type AS i, row_number() OVER (PARTITION BY user_id, day
     ORDER BY ts, event_id) AS p FROM ({s.USER_DAY_SQL})),
 n AS (SELECT count(DISTINCT (user_id, day)) AS n FROM e),
-two AS (SELECT a.user_id, a.day, a.i AS i1, b.i AS i2, b.p FROM e a JOIN e b ON a.user_id = b.user_id
-  AND a.day = b.day AND b.p > a.p AND b.p <= a.p + 3),
-three AS (SELECT t.user_id, t.day, i1, i2, c.i AS i3 FROM two t JOIN e c ON t.user_id = c.user_id
-  AND t.day = c.day AND c.p > t.p AND c.p <= t.p + 3),
-found AS (SELECT i AS pattern, count(DISTINCT (user_id, day)) AS support FROM e GROUP BY 1
-  UNION ALL SELECT i1 || ' ' || i2, count(DISTINCT (user_id, day)) FROM two GROUP BY 1
-  UNION ALL SELECT i1 || ' ' || i2 || ' ' || i3, count(DISTINCT (user_id, day)) FROM three GROUP BY 1)
-SELECT pattern, support FROM found, n WHERE support >= ceil(0.02 * n)""")
+m AS (SELECT user_id, day, i AS pattern, p, 1 AS n FROM e UNION ALL
+  SELECT m.user_id, m.day, m.pattern || ' ' || e.i, e.p, m.n + 1 FROM m JOIN e ON e.user_id = m.user_id
+  AND e.day = m.day AND e.p > m.p AND e.p <= m.p + 3 WHERE m.n < 10),
+found AS (SELECT pattern, count(DISTINCT (user_id, day)) AS support FROM m GROUP BY 1)
+SELECT pattern, support FROM found, n WHERE support >= ceil(0.02 * n.n)""")
 def sequential_patterns(spark, d):
     log = eventlog.order_log(s.user_day_log(spark, d), ["user_id", "day"], ["ts", "event_id"])
     log = log.withColumn("case_id", F.concat_ws("/", "user_id", F.col("day").cast("string")))
-    found = sequences.sequential_patterns(log, "case_id", "event_idx", "event_type", 0.02, max_len=3, max_gap=3)
+    found = sequences.sequential_patterns(log, "case_id", "event_idx", "event_type", 0.02)
     return found.select(F.array_join("pattern", " ").alias("pattern"), "support")
 
 

@@ -282,13 +282,13 @@ def ar1_anomaly(spark, d):
 
 @query("exp_smoothing")
 def exp_smoothing(spark, d):
-    out = smoothing.smoothing_anomalies(s.user_series(spark, d), trend="add", key="series_id", step=0.2)
+    out = smoothing.smoothing_anomalies(s.user_series(spark, d), trend="add", key="series_id")
     return rounded(out.select("series_id", "ds", "y", "y_pred", "is_anomaly"), 4)
 
 
 @query("holt_winters")
 def holt_winters(spark, d):
-    fit = smoothing.exp_smoothing(s.daily_orders(spark, d), trend="add", seasonal="add", seasonal_periods=7, step=0.2)
+    fit = smoothing.exp_smoothing(s.daily_orders(spark, d), trend="add", seasonal="add", seasonal_periods=7)
     return rounded(fit.rows, 2)
 
 
