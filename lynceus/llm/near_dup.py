@@ -11,7 +11,9 @@ Documents with equal sets are one node.  The members of a key are not paired wit
 each other: each is held against the key's most shared member, links are
 confirmed on the full sets, and linked nodes become components.  Only keys
 that then still hold several components are searched for further pairs, between
-different components and within the signature distance.
+different components and within the signature distance; there a second, longer
+signature (1024 symbols of 8 bits, odds of 2e-8 to lose a link) sets aside what is
+merely alike, as large families of altered copies are.
 """
 
 from __future__ import annotations
@@ -34,12 +36,15 @@ PERCENT = 85
 SYMBOLS = 48
 CHUNKS = 11
 DISTANCE = 2 * CHUNKS - 1
+#: Symbols of the longer signature, and how many may differ: 5.5 standard deviations more than at the least similarity.
+LONG = 1024
+LONG_DISTANCE = int(LONG * (1 - PERCENT / 100) + 5.5 * (LONG * (1 - PERCENT / 100) * PERCENT / 100) ** 0.5)
 #: Members of a key that meet in one task at a time.
 BLOCK = 1024
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MULTIPLY, _FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_RANDOM = np.random.default_rng(20240607).integers(1, 2**63, (SYMBOLS, 2), dtype=np.uint64)
+_RANDOM = np.random.default_rng(20240607).integers(1, 2**63, (SYMBOLS + LONG, 2), dtype=np.uint64)
 _CUTS = np.linspace(0, SYMBOLS, CHUNKS + 1).astype(int)
 #: (chunk begin, chunk end, symbol left out) of every key
 _SLOTS = [(a, b, j) for a, b in zip(_CUTS[:-1], _CUTS[1:]) for j in range(a, b)]
@@ -75,19 +80,27 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of SYMBOLS 16-bit values for each set; zeros for an empty one."""
-    out = np.zeros((len(sets), SYMBOLS), np.uint16)
+def _minima(sets: list[np.ndarray], functions: np.ndarray, bits: int, kind: type) -> np.ndarray:
+    """One row for each set: the last ``bits`` bits of its MinHash by every function; zeros for an empty set."""
+    out = np.zeros((len(sets), len(functions)), kind)
     full = [i for i, s in enumerate(sets) if len(s)]
     if full:
         flat = np.concatenate([sets[i] for i in full])
         starts = np.concatenate(([0], np.cumsum([len(sets[i]) for i in full])))[:-1]
-        for k, (c, m) in enumerate(_RANDOM):
+        for k, (c, m) in enumerate(functions):
             least = np.minimum.reduceat((flat ^ c) * (m | np.uint64(1)), starts)
-            out[full, k] = (_mix(least) >> np.uint64(48)).astype(np.uint16)
+            out[full, k] = (_mix(least) >> np.uint64(64 - bits)).astype(kind)
     return out
 
 
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    return _minima(sets, _RANDOM[:SYMBOLS], 16, np.uint16)
+
+
+def long_signatures(sets: list[np.ndarray]) -> np.ndarray:
+    return _minima(sets, _RANDOM[SYMBOLS:], 8, np.uint8)
+
+
 def _described(docs: DataFrame, at: str, id_col: str, text_col: str) -> DataFrame:
     """(row_at, id, n_shingles, digest, signature) for every row; the digest names the set."""
     rows = docs.select(F.col(at).alias("row_at"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -148,10 +161,8 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             .select("a", "b", "s_a", "s_b").mapInArrow(keep, "a long, b long"))
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, at: str, text_col: str) -> DataFrame:
-    """The pairs whose full sets reach the similarity.  The texts of their nodes are read again for it."""
-    pairs = durable(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _from_texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, at: str, text_col: str, name: str, make) -> DataFrame:
+    """(node, ``name``): ``make`` of the shingle set of every wanted node, as bytes.  The texts of these nodes are read again."""
     wanted = sized(nodes.join(wanted, "node", "left_semi").select("node", F.col("row_at.file").alias("f"), F.col("row_at.row").alias("r")))
     texts = docs.select(F.col(at).alias("row_at"), F.col(text_col).alias("text"))
     texts = texts.join(wanted, (texts["row_at.file"] == wanted["f"]) & (texts["row_at.row"] == wanted["r"])).select("node", "text")
@@ -160,10 +171,18 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, at: str, tex
         for batch in batches:
             node, all_texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(all_texts):
-                yield pa.RecordBatch.from_arrays([node.slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(all_texts[a:b])],
-                                                                                 pa.binary())], names=["node", "members"])
+                made = make(shingle_sets(all_texts[a:b]))
+                yield pa.RecordBatch.from_arrays([node.slice(a, b - a), pa.array([x.tobytes() for x in made], pa.binary())],
+                                                 names=["node", name])
+
+    return durable(texts.mapInArrow(collect, f"node long, {name} binary"))
 
-    sets = durable(texts.mapInArrow(collect, "node long, members binary"))
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, at: str, text_col: str) -> DataFrame:
+    """The pairs whose full sets reach the similarity."""
+    pairs = durable(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _from_texts(wanted, nodes, docs, at, text_col, "members", lambda sets: sets)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,10 +199,20 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, at: str, tex
     return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
 
 
+def _at_first_key(differ: np.ndarray, key: int) -> np.ndarray:
+    """For rows of differing symbols: whether ``key`` is the first key that the two signatures share."""
+    a, b, left_out = _SLOTS[key]
+    wrong = np.add.reduceat(differ, _CUTS[:-1], axis=1, dtype=np.int64)
+    chunk = int(np.searchsorted(_CUTS, a, side="right")) - 1
+    here = np.where(wrong[:, chunk] == 0, left_out == a, (wrong[:, chunk] == 1) & differ[:, left_out])
+    return here & (wrong[:, :chunk] > 1).all(axis=1)
+
+
 def _meet(rows: pa.Table, edges: list[int]) -> tuple[list[int], list[int]]:
     """The pairs within each run of rows between two ``edges``."""
     key, node, root, size, side = (rows.column(c).to_numpy() for c in ("key", "node", "root", "n_shingles", "side"))
     signed = _symbols(rows.column("signature"))
+    long = np.frombuffer(b"".join(rows.column("long").to_pylist()), np.uint8).reshape(-1, LONG)
     a, b = [], []
     for begin, end in zip(edges[:-1], edges[1:]):
         for i in range(begin, end - 1):
@@ -191,19 +220,18 @@ def _meet(rows: pa.Table, edges: list[int]) -> tuple[list[int], list[int]]:
             ok = (root[others] != root[i]) & ((side[others] != side[i]) | (side[i] == 0))
             ok &= 100 * np.minimum(size[others], size[i]) >= PERCENT * np.maximum(size[others], size[i])
             places = np.flatnonzero(ok) + i + 1
-            if not len(places):
-                continue
-            differ = signed[places] != signed[i]
-            near = differ.sum(axis=1) <= DISTANCE
-            for j, d in zip(places[near].tolist(), differ[near]):
-                if _first_key(d) == key[i] & 63:
-                    a.append(int(min(node[i], node[j])))
-                    b.append(int(max(node[i], node[j])))
+            if len(places):
+                differ = signed[places] != signed[i]
+                near = (differ.sum(axis=1) <= DISTANCE) & _at_first_key(differ, int(key[i] & 63))
+                places = places[near]
+                places = places[(long[places] != long[i]).sum(axis=1) <= LONG_DISTANCE]
+                a += np.minimum(node[places], node[i]).tolist()
+                b += np.maximum(node[places], node[i]).tolist()
     return a, b
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) under the keys of (key, node, root, n, n_shingles, signature): of different components, near by size and signature.
+    """Pairs (a, b) under the keys of (key, node, root, n, n_shingles, signature, long): of different components, near by size and signatures.
 
     Keys with many members are cut into blocks, and every two blocks meet in a
     run of their own.  A pair comes from the first key only that it shares.
@@ -212,7 +240,7 @@ def _across(members: DataFrame) -> DataFrame:
     met = (members.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
            .select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
-                   "node", "root", "n_shingles", "signature",
+                   "node", "root", "n_shingles", "signature", "long",
                    F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side")))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,15 +266,6 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
     yield None, True
 
 
-def _first_key(differ: np.ndarray) -> int:
-    """The first key that two signatures share, by the places where they differ; -1 without any."""
-    for a, b in zip(_CUTS[:-1], _CUTS[1:]):
-        wrong = np.flatnonzero(differ[a:b])
-        if len(wrong) < 2:
-            return int(a + (wrong[0] if len(wrong) else 0))
-    return -1
-
-
 def _stars(filed: DataFrame) -> DataFrame:
     """Pairs (a, b) of each member of a key with the one that shares the most keys with others."""
     shared = filed.groupBy("node").agg(F.sum(F.col("n") - 1).alias("weight"))
@@ -266,8 +285,9 @@ def _links(nodes: DataFrame, docs: DataFrame, at: str, text_col: str) -> DataFra
     links = durable(_confirmed(tried, nodes, docs, at, text_col))
     rooted = filed.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     divided = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-    members = (rooted.join(divided, "key", "left_semi")
-               .join(nodes.select("node", "n_shingles", "signature"), "node"))
+    open_keys = durable(rooted.join(divided, "key", "left_semi"))
+    long = _from_texts(open_keys.select("node").distinct(), nodes, docs, at, text_col, "long", long_signatures)
+    members = open_keys.join(nodes.select("node", "n_shingles", "signature").join(long, "node"), "node")
     more = _across(members).distinct().join(tried, ["a", "b"], "left_anti")
     return links.unionByName(_confirmed(more, nodes, docs, at, text_col))
 
