@@ -155,13 +155,15 @@ TOP_K_ROWS = 100_000
 
 
 def tail_window(df: DataFrame, order: str | Sequence[str], n: int) -> DataFrame:
-    """The last ``n`` rows along ``order``; 0 keeps all rows."""
+    """The last ``n`` rows along ``order``, ties by a hash of the whole row; 0 keeps all rows."""
     if n == 0:
         return df
+    hashed = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    rows, order = df.withColumn("_tie", F.xxhash64(*hashed)), [*as_list(order), "_tie"]
     if n <= TOP_K_ROWS:
-        return df.orderBy(*[F.col(c).desc() for c in as_list(order)]).limit(n)
-    sizes = group_sizes(df)
-    return (row_index(df, order, name="_row", sizes=sizes).filter(F.col("_row") >= sizes[1] - n).drop("_row"))
+        return rows.orderBy(*[F.col(c).desc() for c in order]).limit(n).drop("_tie")
+    sizes = group_sizes(rows)
+    return row_index(rows, order, name="_row", sizes=sizes).filter(F.col("_row") >= sizes[1] - n).drop("_row", "_tie")
 
 
 def join_history(train: DataFrame, new: DataFrame, order: str | Sequence[str],

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from lynceus.operators import eda, metrics, shaping
 from lynceus.plans import lifecycle, store
 from lynceus.plans.registry import Layout, get
-from lynceus.sources.messages import explode_records
+from lynceus.sources.messages import decode_columnar_json, explode_records
 
 # Class names a configuration may use for the four families.
 FAMILIES = {
@@ -72,7 +72,11 @@ class Experiment:
         return shape(data, self.cfg.get("setup") or {}, self.family)
 
     def predict(self, data: DataFrame) -> DataFrame:
-        return self.model.transform(self.shape(data))
+        """Scored rows of a batch; with ``predict_window`` the last ones only."""
+        rows = self.model.transform(self.shape(data))
+        n = int((self.cfg.get("setup") or {}).get("predict_window") or 0)
+        order = shaping.as_list((self.cfg.get("setup") or {}).get("order")) or ["ds"]
+        return shaping.tail_window(rows, order, n) if n and set(order) <= set(rows.columns) else rows
 
     def score(self, predicted: DataFrame) -> DataFrame | None:
         """Metrics of one batch in long form (metric, value); none for the unsupervised families."""
@@ -98,6 +102,13 @@ def shape(data: DataFrame, setup: Mapping, family: str) -> DataFrame:
             # sensor names of a plant: a short list
             names = sorted(r[0] for r in data.select(column).distinct().collect())
         data = shaping.pivot_sensors(data, index, column, values, names, agg=fmt.get("agg", "strict"))
+    elif "body" in data.columns and setup.get("body"):
+        # column-oriented JSON, one message per row; ``body`` declares the columns
+        message = [c for c in data.columns if c != "body"]
+        if not message:
+            message, data = ["_message"], data.withColumn("_message", F.xxhash64("body"))
+        schema = T.StructType.fromDDL(setup["body"])
+        data = decode_columnar_json(data, "body", schema, message).select(*[f.name for f in schema.fields])
     ds = setup.get("datetime_column")
     if ds:
         data = shaping.normalize_ts(data, ds, setup.get("datetime_format"))
@@ -163,6 +174,11 @@ def _create_model(exp: Experiment) -> None:
         exp.reports.update(fitted)
         return
     exp.model = fitted
+    if hasattr(fitted, "horizon"):
+        given = options.get("params") or {}
+        ahead = int(given.get("forecast_window") or given.get("periods") or 0)
+        if ahead:
+            exp.reports["forecast"] = fitted.horizon(exp.data, ahead)
     scored = fitted.transform(exp.data)
     exp.reports["training"] = scored
     if "is_anomaly" in scored.columns:
@@ -175,7 +191,10 @@ def score(predicted: DataFrame, family: str) -> DataFrame | None:
     if family == "isolation":
         same = predicted.select(F.col("target").cast("string").alias("target"),
                                 F.col("y_pred").cast("string").alias("y_pred"))
-        wide = metrics.classification_metrics(same, positive="1")
+        labels = same.select(F.explode(F.array("target", "y_pred")).alias("label")).filter("label IS NOT NULL").distinct().limit(3).collect()
+        # 1 is the positive class of two; of other labels every class counts alike
+        wide = (metrics.classification_metrics(same, positive="1") if {r["label"] for r in labels} <= {"0", "1"}
+                else metrics.macro_metrics(same))
         return wide.unpivot([], lifecycle.CLASSIFICATION, "metric", "value")
     if family == "series":
         guess = next((c for c in ("y_pred", "yhat") if c in predicted.columns), None)

@@ -1,5 +1,6 @@
 """Running limits on large offsets, series with nulls, rules of any length, null inputs, and names of shipped configurations."""
 
+import json
 import random
 from itertools import combinations
 
@@ -7,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lynceus.operators import arima, hidden_markov, itemsets, smoothing, trees, windows
-from lynceus.plans import registry
+from lynceus.operators import arima, hidden_markov, itemsets, shaping, smoothing, trees, windows
+from lynceus.plans import experiment, registry
 from lynceus.plans.params import translate
 from lynceus.session import held_bytes
 from lynceus.streaming import sigma_monitor
@@ -156,3 +157,30 @@ def test_size_in_memory(spark):
     small = held_bytes(spark.range(1000))
     wide = held_bytes(spark.range(1000).withColumn("a", F.array_repeat(F.lit(1.5), 200)))
     assert small < 100_000 and wide > 600_000
+
+
+def test_column_oriented_bodies_and_predict_window(spark, tmp_path):
+    body = [{"ds": {str(i): 1_600_000_000_000 + 3_600_000 * i for i in range(40)}, "x": {str(i): float(i % 9) for i in range(40)},
+             "label": {str(i): int(i % 9 > 4) for i in range(40)}}]
+    batch = spark.createDataFrame([(json.dumps(b),) for b in body], "body string")
+    cfg = {"load_object": {"name": "isolation"}, "create_model": {"model": "nb", "params": None}}
+    cfg = {**cfg, "setup": {"datetime_column": "ds", "datetime_format": "ms", "target": "label", "predict_window": 7,
+                            "body": "ds long, x double, label int"}}
+    cfg = {k: cfg[k] for k in ("load_object", "setup", "create_model")}
+    experiment.train(spark, str(tmp_path), "columns", cfg, batch)
+    found = experiment.load(spark, str(tmp_path), "columns").predict(batch)
+    rows = found.orderBy("ds").collect()
+    assert len(rows) == 7 and rows[-1]["x"] == 39 % 9 and all(r["y_pred"] is not None for r in rows)
+
+
+def test_metrics_of_more_than_two_classes(spark):
+    df = spark.createDataFrame([("a", "a"), ("b", "b"), ("c", "a"), ("c", "c")], "target string, y_pred string")
+    found = {r["metric"]: r["value"] for r in experiment.score(df, "isolation").collect()}
+    assert found["accuracy"] == 0.75 and found["recall"] == pytest.approx(2.5 / 3)
+
+
+def test_tail_window_does_not_depend_on_ties(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 3, i) for i in range(100)], "t int, x int")
+    first = sorted(map(tuple, shaping.tail_window(df.repartition(3), "t", 10).collect()))
+    monkeypatch.setattr(shaping, "TOP_K_ROWS", 1)
+    assert sorted(map(tuple, shaping.tail_window(df.repartition(5), "t", 10).collect())) == first
