@@ -101,12 +101,20 @@ class _Segments:
                 .filter((F.col("_n") - F.col("_rn") < back) | (F.col("_rn") <= ahead))
                 .withColumn("_idx", F.col("_before") + F.col("_rn"))
                 .drop("_rn", "_n", "_before"))
-        target = self.pieces.select(*[F.col(k).alias(f"_k_{k}") for k in self.key],
-                                    F.col("_seg").alias("_to"), F.col("_before").alias("_first"),
-                                    (F.col("_before") + F.col("_n")).alias("_last"))
+        # row numbers in buckets as long as the reach: what a segment lacks lies in the buckets of its ends,
+        # so that the join has an equality even where there is no key
+        reach = max(back, ahead, 1)
+        bucket = lambda c: F.floor(c / F.lit(reach)).cast("long")
+        first, last = F.col("_first"), F.col("_last")
+        target = (self.pieces.select(*[F.col(k).alias(f"_k_{k}") for k in self.key],
+                                     F.col("_seg").alias("_to"), F.col("_before").alias("_first"),
+                                     (F.col("_before") + F.col("_n")).alias("_last"))
+                  .withColumn("_k_bucket", F.explode(F.array_distinct(F.array(
+                      bucket(first - back + 1), bucket(first), bucket(last + 1), bucket(last + ahead))))))
+        edge = edge.withColumn("_bucket", bucket(F.col("_idx")))
         near = (((F.col("_idx") > F.col("_first") - back) & (F.col("_idx") <= F.col("_first")))
                 | ((F.col("_idx") > F.col("_last")) & (F.col("_idx") <= F.col("_last") + ahead)))
-        halo = (edge.join(self._hinted(target), _same_as(edge, self.key) & near)
+        halo = (edge.join(self._hinted(target), _same_as(edge, self.key) & (F.col("_bucket") == F.col("_k_bucket")) & near)
                 .withColumn("_seg", F.col("_to")).select(*cols, F.lit(True).alias("_halo")))
         return body.unionByName(halo)
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lynceus.operators import arima, hidden_markov, itemsets, shaping, smoothing, trees, windows
+from lynceus.operators.ordering import over_order
 from lynceus.plans import experiment, registry
 from lynceus.plans.params import translate
 from lynceus.session import held_bytes
@@ -184,3 +185,13 @@ def test_tail_window_does_not_depend_on_ties(spark, monkeypatch):
     first = sorted(map(tuple, shaping.tail_window(df.repartition(3), "t", 10).collect()))
     monkeypatch.setattr(shaping, "TOP_K_ROWS", 1)
     assert sorted(map(tuple, shaping.tail_window(df.repartition(5), "t", 10).collect())) == first
+
+
+@pytest.mark.parametrize("back, ahead", [(3, 0), (0, 5), (40, 25)])
+def test_windows_over_segments_join_by_equality(spark, back, ahead):
+    df = spark.createDataFrame([(i, i * i % 101) for i in range(300)], "t int, v int")
+    def columns(w):
+        return {"s": F.sum("v").over(w.rowsBetween(-back, ahead))}
+    cut = over_order(df, "t", columns, back=back, ahead=ahead, limit=20)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, over_order(df, "t", columns).collect()))
+    assert "NestedLoop" not in cut._jdf.queryExecution().toString() and "Cartesian" not in cut._jdf.queryExecution().toString()
