@@ -1,20 +1,30 @@
-"""Decision tree and random forest with a grid search over hash-assigned folds."""
+"""Decision tree and random forest with a grid search over hash-assigned folds.
+
+A tree of less depth, or with a larger least gain, is a larger tree cut short,
+and a forest of fewer trees is the first ones of a larger forest.  So each fold grows the
+largest candidate once, and the held-out rows are scored for all of its cuts in one pass.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.operators.eda import Scaler
-from lynceus.session import keep_cached
+from lynceus.session import keep_cached, new_folder
 
 # The full search grids.  Log loss and entropy are the same
 # criterion; cost-complexity pruning is stood in for by a minimum gain.
@@ -53,6 +63,82 @@ class TreeClassifier:
         return list(zip(self.cols, map(float, self.model.stages[1].featureImportances.toArray())))
 
 
+#: Parameters whose candidates are cuts of one model, beside the impurity.
+CUTS = ("numTrees", "minInfoGain", "maxDepth")
+
+
+def _nodes(model, spark) -> list[dict[str, np.ndarray]]:
+    """The nodes of each tree, as arrays by node number, from the model's stored form."""
+    path = new_folder(spark, "trees")
+    model.write().save(path)
+    rows = spark.read.parquet(f"{path}/data")
+    rows = rows.select("treeID", "nodeData.*") if "nodeData" in rows.columns else rows.withColumn("treeID", F.lit(0))
+    found = rows.select("treeID", "id", "impurityStats", "gain", "leftChild", "rightChild", F.col("split.featureIndex").alias("feature"),
+                        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("at")).toPandas()
+    out = []
+    for _, tree in found.sort_values(["treeID", "id"]).groupby("treeID"):
+        votes = np.stack(tree["impurityStats"].to_numpy())
+        out.append({"votes": votes / np.maximum(votes.sum(axis=1, keepdims=True), 1e-300),
+                    **{c: tree[c].to_numpy() for c in ("gain", "leftChild", "rightChild", "feature")},
+                    "at": tree["at"].fillna(0.0).to_numpy()})
+    return out
+
+
+def cut_hits(x: np.ndarray, label: np.ndarray, trees: list[dict], counts: Sequence[int], gains: Sequence[float],
+             depths: Sequence[int]) -> np.ndarray:
+    """Right predictions of every cut: counts x gains x depths."""
+    hits, row = np.zeros((len(counts), len(gains), len(depths)), np.int64), np.arange(len(x))
+    for g, gain in enumerate(gains):
+        votes = np.zeros((len(depths), len(x), trees[0]["votes"].shape[1]))
+        for number, tree in enumerate(trees, 1):
+            node = np.zeros(len(x), np.int64)
+            for level in range(max(depths) + 1):
+                if level in depths:
+                    votes[depths.index(level)] += tree["votes"][node]
+                split = (tree["leftChild"][node] >= 0) & (tree["gain"][node] >= gain)
+                left = x[row, np.maximum(tree["feature"][node], 0)] <= tree["at"][node]
+                node = np.where(split, np.where(left, tree["leftChild"][node], tree["rightChild"][node]), node)
+            if number in counts:
+                hits[counts.index(number), g] = (votes.argmax(axis=2) == label).sum(axis=1)
+    return hits
+
+
+def _accuracies(prepared: DataFrame, learner, grid: Mapping[str, Sequence], folds: int, parallelism: int) -> dict[tuple, float]:
+    """Mean accuracy over the folds of every combination (impurity, numTrees, minInfoGain, maxDepth)."""
+    spark = prepared.sparkSession
+    def default(name):
+        return learner.getOrDefault(name) if learner.hasParam(name) else 1
+    values = {name: sorted(grid.get(name, [default(name)])) for name in CUTS}
+    counts, gains, depths = (values[name] for name in CUTS)
+
+    def one(impurity: str, fold: int) -> np.ndarray | None:
+        largest = {"impurity": impurity, "minInfoGain": gains[0], "maxDepth": depths[-1], "numTrees": counts[-1]}
+        model = learner.copy({learner.getParam(n): v for n, v in largest.items() if learner.hasParam(n)}).fit(
+            prepared.filter(F.col("_fold") != fold))
+        trees = _nodes(model, spark)
+
+        def score(batches):
+            for pdf in batches:
+                if len(pdf):
+                    found = cut_hits(np.stack(pdf["x"].to_numpy()), pdf["label"].to_numpy(), trees, counts, gains, depths).ravel()
+                    yield pd.DataFrame({"cut": np.arange(len(found)), "hits": found, "n": len(pdf)})
+
+        held = prepared.filter(F.col("_fold") == fold).select(vector_to_array("_features").alias("x"), F.col("_label").alias("label"))
+        sums = held.mapInPandas(score, "cut int, hits long, n long").groupBy("cut").agg(F.sum("hits").alias("h"), F.sum("n").alias("n"))
+        rows = sums.orderBy("cut").collect()
+        return np.array([r["h"] / r["n"] for r in rows]) if rows else None
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        impurities = list(grid.get("impurity", [default("impurity")]))
+        jobs = {i: [pool.submit(one, i, fold) for fold in range(folds)] for i in impurities}
+        out = {}
+        for impurity, parts in jobs.items():
+            found = [r for r in (job.result() for job in parts) if r is not None]
+            for key, mean in zip(product(counts, gains, depths), np.mean(found, axis=0)):
+                out[(impurity, *key)] = float(mean)
+    return out
+
+
 def _fit(df: DataFrame, cols: Sequence[str], target: str, learner, grid: Mapping[str, Sequence],
          folds: int, parallelism: int, fold_key: Sequence[str] | None, seed: int) -> TreeClassifier:
     scaler = Scaler.fit(df, cols)
@@ -72,6 +158,13 @@ def _fit(df: DataFrame, cols: Sequence[str], target: str, learner, grid: Mapping
         if len(choices) == 1:
             fitted = learner.fit(prepared, choices[0])
             best = choices[0]
+        elif set(grid) <= {"impurity", *CUTS}:
+            found = _accuracies(prepared, learner, grid, folds, parallelism)
+            of = [{p.name: v for p, v in c.items()} for c in choices]
+            def full(c):
+                return tuple(c.get(n, learner.getOrDefault(n) if learner.hasParam(n) else 1) for n in ("impurity", *CUTS))
+            best = choices[max(range(len(choices)), key=lambda i: (found[full(of[i])], -i))]
+            fitted = learner.fit(prepared, best)
         else:
             search = CrossValidator(
                 estimator=learner, estimatorParamMaps=choices, numFolds=folds, foldCol="_fold",

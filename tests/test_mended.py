@@ -2,7 +2,7 @@
 
 import json
 import random
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -195,3 +195,39 @@ def test_windows_over_segments_join_by_equality(spark, back, ahead):
     cut = over_order(df, "t", columns, back=back, ahead=ahead, limit=20)
     assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, over_order(df, "t", columns).collect()))
     assert "NestedLoop" not in cut._jdf.queryExecution().toString() and "Cartesian" not in cut._jdf.queryExecution().toString()
+
+
+def test_cuts_of_a_tree_are_the_trees_of_the_grid(spark):
+    """Accuracies by cutting one large tree against fitting every candidate."""
+    r = random.Random(6)
+    rows = [(r.random(), r.random(), i % 3) for i in range(300)]
+    rows = [(i, a, b, str(int((a > 0.4) + (b > 0.6) * (a < 0.8) + (r.random() < 0.1)))) for i, (a, b, _) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, target string")
+    seen = {}
+    inner = trees._accuracies
+    def kept(prepared, learner, grid, folds, parallelism):
+        seen["found"] = inner(prepared, learner, grid, folds, parallelism)
+        for choice in product(grid["impurity"], grid["minInfoGain"], grid["maxDepth"]):
+            params = dict(zip(("impurity", "minInfoGain", "maxDepth"), choice))
+            mean = []
+            for fold in range(folds):
+                model = learner.copy({learner.getParam(n): v for n, v in params.items()}).fit(prepared.filter(F.col("_fold") != fold))
+                held = model.transform(prepared.filter(F.col("_fold") == fold))
+                mean.append(held.agg(F.avg((F.col("prediction") == F.col("_label")).cast("double"))).first()[0])
+            assert seen["found"][choice[0], 1, choice[1], choice[2]] == pytest.approx(np.mean(mean))
+        return seen["found"]
+    trees._accuracies = kept
+    try:
+        trees.fit_tree(df, ["a", "b"], grid={"impurity": ["gini", "entropy"], "minInfoGain": [0.05, 0.01], "maxDepth": [2, 5]},
+                       folds=2, fold_key=["id"])
+    finally:
+        trees._accuracies = inner
+    assert len(seen["found"]) == 8
+
+
+def test_forest_search(spark):
+    df = spark.createDataFrame([(i, float(i % 10), float(i % 7), str(int(i % 10 > 4))) for i in range(200)],
+                               "id int, a double, b double, target string")
+    model = trees.fit_forest(df, ["a", "b"], grid={"numTrees": [3, 6], "maxDepth": [1, 3]}, folds=2, fold_key=["id"])
+    assert set(model.best) == {"numTrees", "maxDepth"}
+    assert model.transform(df).filter("y_pred = target").count() > 190
