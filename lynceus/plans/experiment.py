@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from lynceus.operators import eda, metrics, shaping
 from lynceus.plans import lifecycle, store
 from lynceus.plans.registry import Layout, get
+from lynceus.session import scoped_steps
 from lynceus.sources.messages import decode_columnar_json, explode_records
 
 # Class names a configuration may use for the four families.
@@ -207,7 +208,15 @@ def score(predicted: DataFrame, family: str) -> DataFrame | None:
 # --- training and prediction against the store --------------------------------------------------
 
 def train(spark: SparkSession, root: str, name: str, cfg: dict, data: DataFrame) -> str:
-    """Run an experiment on a batch and store model, reports, training data and the run; returns the run id."""
+    """Run an experiment on a batch and store model, reports, training data and the run; returns the run id.
+
+    Intermediate tables of the fit are deleted when all that is stored.
+    """
+    with scoped_steps(spark):
+        return _train(spark, root, name, cfg, data)
+
+
+def _train(spark: SparkSession, root: str, name: str, cfg: dict, data: DataFrame) -> str:
     exp = Experiment(cfg).run(data)
     run_id = uuid.uuid4().hex
     if exp.model is not None:
@@ -243,6 +252,11 @@ def predict_batch(spark: SparkSession, root: str, name: str, batch: DataFrame, b
     Every write is keyed by the batch id, and a batch is never scored by a run
     that it caused, so a repeated batch replaces itself.
     """
+    with scoped_steps(spark):
+        _predict_batch(spark, root, name, batch, batch_id)
+
+
+def _predict_batch(spark: SparkSession, root: str, name: str, batch: DataFrame, batch_id: int) -> None:
     exp = load(spark, root, name, batch_id=batch_id)
     shaped = exp.shape(batch)
     store.write_batch(shaped, root, "new_data", name, batch_id)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,16 +49,31 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
 
 
 _STEPS: list[str] = []
+#: The list that collects the intermediate tables of the running scope, if any; each thread has its own.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("steps", default=None)
 
 
-def drop_steps(spark: SparkSession) -> None:
-    """Delete the intermediate tables this process has written, when no model or result needs them any more."""
+def drop_steps(spark: SparkSession, steps: list[str] | None = None) -> None:
+    """Delete intermediate tables (all that this process has written outside of scopes, unless given)."""
+    steps = _STEPS if steps is None else steps
     hadoop = spark._jvm.org.apache.hadoop.fs
-    while _STEPS:
-        path = hadoop.Path(_STEPS.pop())
+    while steps:
+        path = hadoop.Path(steps.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scoped_steps(spark: SparkSession):
+    """Intermediate tables written inside are deleted at the end; only for work whose results are stored elsewhere by then."""
+    steps: list[str] = []
+    token = _SCOPE.set(steps)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        drop_steps(spark, steps)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the shared folder once and go on from the written table.
 
@@ -66,7 +83,8 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, "step")
     df.write.parquet(path)
-    _STEPS.append(path)
+    scope = _SCOPE.get()
+    (_STEPS if scope is None else scope).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,6 +3,7 @@
 import json
 import random
 from itertools import combinations, product
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from lynceus.operators import arima, hidden_markov, itemsets, shaping, smoothing
 from lynceus.operators.ordering import over_order
 from lynceus.plans import experiment, registry
 from lynceus.plans.params import translate
-from lynceus.session import held_bytes
+from lynceus.session import durable, held_bytes, scoped_steps, work_folder
 from lynceus.streaming import sigma_monitor
 
 
@@ -231,3 +232,19 @@ def test_forest_search(spark):
     model = trees.fit_forest(df, ["a", "b"], grid={"numTrees": [3, 6], "maxDepth": [1, 3]}, folds=2, fold_key=["id"])
     assert set(model.best) == {"numTrees", "maxDepth"}
     assert model.transform(df).filter("y_pred = target").count() > 190
+
+
+def test_intermediate_tables_go_with_their_run(spark, tmp_path):
+    here = Path(work_folder(spark).removeprefix("file:"))
+    before = {p.name for p in here.iterdir()}
+    with scoped_steps(spark):
+        table = durable(spark.range(3))
+        assert table.count() == 3 and {p.name for p in here.iterdir()} > before
+    assert {p.name for p in here.iterdir()} == before
+    rows = [(1_600_000_000_000 + 3_600_000 * i, float(i % 5), float(i % 3)) for i in range(60)]
+    batch = spark.createDataFrame(rows, "ds long, a double, b double")
+    cfg = {"load_object": {"name": "detection"}, "setup": {"datetime_column": "ds", "datetime_format": "ms"},
+           "create_model": {"model": "dbscan", "params": {"eps": 2, "min_samples": None}}}
+    experiment.train(spark, str(tmp_path), "steps", cfg, batch)
+    assert {p.name for p in here.iterdir()} == before
+    assert experiment.load(spark, str(tmp_path), "steps").predict(batch).count() == 60
