@@ -12,8 +12,8 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 
-#: Cached pieces of a worker; a full cache is emptied.  Longer pieces are never kept.
-CACHE_ENTRIES = 600_000
+#: Cached pieces of a worker, the first that it meets.  Longer pieces are never kept.
+CACHE_ENTRIES = 1_000_000
 CACHE_PIECE = 64
 
 _LOADED: dict[str, object] = {}
@@ -38,9 +38,7 @@ class PieceCache(dict):
 
     def __missing__(self, piece):
         found = self.make(piece)
-        if len(piece) <= CACHE_PIECE:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
+        if len(piece) <= CACHE_PIECE and len(self) < CACHE_ENTRIES:
             self[piece] = found
         return found
 
@@ -52,8 +50,8 @@ def worker_cache(name: str, make) -> PieceCache:
     return _LOADED[name]
 
 
-# a space is the first character of a new piece only where something other than white space follows
-_LOOSE_SPACE = re.compile(r" (?=\s|\Z)")
+# a space or line end is the first character of a new piece only where something other than white space follows
+_LOOSE_SPACE = re.compile(r"[ \n](?=\s|\Z)")
 _PIECES = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _OTHER_SPACE = re.compile(r"[^\S \t-\r]")
 
@@ -66,8 +64,12 @@ def pieces(text: str) -> Iterable[str]:
     """
     if _LOOSE_SPACE.search(text):
         return [text] if _OTHER_SPACE.search(text) else _PIECES.findall(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+    out = []
+    for line in text.split("\n"):
+        first, *rest = line.split(" ")
+        out.append("\n" + first if out else first)
+        out += [" " + x for x in rest]
+    return out
 
 
 def slices(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
