@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lynceus.llm.rows import addressed, free_name
-from lynceus.session import durable
+from lynceus.session import durable, sized
 
 LOW, HIGH = 1024, 8192
 
@@ -95,5 +95,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` with one row of each group of equal texts, all columns as they are."""
     at = free_name(docs, "row_at")
     rows = addressed(docs, at)
-    stay = _marked(rows, at, id_col, text_col, LOW, HIGH, F.xxhash64).filter("kept").select(F.col("row_at").alias(at))
-    return rows.join(durable(stay), at, "left_semi").select(docs.columns)
+    go = _marked(rows, at, id_col, text_col, LOW, HIGH, F.xxhash64).filter("NOT kept").select(F.col("row_at").alias(at))
+    # the rows that go are the fewer ones: while they are small in memory, no text is shuffled again
+    return rows.join(sized(go), at, "left_anti").select(docs.columns)

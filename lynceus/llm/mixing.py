@@ -176,5 +176,5 @@ def mixed_documents(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text
     rows = addressed(docs, at)
     often = _mixed(rows, at, seed, BLOCK, WEIGHTS, 3.0, id_col, text_col, source_col).filter("repeats > 0")
     n, copies = free_name(docs, "mix_repeats"), free_name(docs, "mix_copy")
-    often = durable(often.select(F.col("row_at").alias(at), F.col("repeats").alias(n)))
+    often = sized(often.select(F.col("row_at").alias(at), F.col("repeats").alias(n)))
     return (rows.join(often, at).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(n)))).select(docs.columns))

@@ -181,7 +181,7 @@ def _from_texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, at: str, t
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, at: str, text_col: str) -> DataFrame:
     """The pairs whose full sets reach the similarity."""
     pairs = durable(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
     sets = _from_texts(wanted, nodes, docs, at, text_col, "members", lambda sets: sets)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,5 +328,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with the first row of each component, all columns as they are."""
     at = free_name(docs, "row_at")
     rows = addressed(docs, at)
-    stay = _grouped(rows, at, id_col, text_col).filter("first").select(F.col("row_at").alias(at))
-    return rows.join(durable(stay), at, "left_semi").select(docs.columns)
+    go = _grouped(rows, at, id_col, text_col).filter("NOT first").select(F.col("row_at").alias(at))
+    return rows.join(sized(go), at, "left_anti").select(docs.columns)
