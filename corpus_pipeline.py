@@ -15,6 +15,10 @@ from lynceus.llm import exact_dedup, language_id, mixing, near_dup, packing
 from lynceus.session import new_folder
 
 
+#: Documents of the pipeline whose shingle sets are this similar, in percent, are near copies; op4_hamming_join asks for more.
+NEAR_PERCENT = 80
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language the classifier names; it learns from those that state theirs."""
     return language_id.accepted_documents(docs, language_id.fit(docs))
@@ -25,7 +29,7 @@ def no_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dup.drop_near_duplicates(docs)
+    return near_dup.drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
