@@ -2,41 +2,41 @@
 
 Words are cut into pieces of up to four characters; a piece follows the piece
 before it in its word, or the start of the word.  Each class has its own counts of
-pairs, absolutely discounted; the mass that this frees goes, as in Kneser and
-Ney, by the number of different continuations, which is shared by the
-classes, and contexts with few counts lean on both classes together.
-Continuations that are rare in both are one event of their context, so that a rare expression
-counts for neither class by itself, and differences that the counts leave in
+pairs, absolutely discounted; the mass that this frees goes, evenly
+to the pairs of the context, and contexts with few counts lean on both classes together.  Every pair has a value
+of its own, however rare; differences that the counts leave in
 doubt are drawn towards none, so that ordinary words of any language add nothing.  A text's score is the mean, per word, of the
 difference of its log-likelihoods, mapped to a probability on labelled
 documents that the counts have not seen.
 
-All labelled documents are counted, in Spark.  What the tasks receive is bounded: arrays with
-one cell per piece slot, and a table of pairs with a fixed number of slots, each
-checked by 16 more bits; pairs that collide leave the place to the most frequent one.
+All labelled documents are counted, in Spark; pieces and pairs are named by 64 bits.  What counts
+is one table of additive values, a row for each context (any continuation) and pair (what it adds to its
+context) other than zero.  Tasks receive the most frequent row of each of a fixed number of slots, and the other rows
+too if they are small; if not, scoring joins the distinct ones of each document to the table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lynceus.llm.rows import addressed, free_name
 from lynceus.llm.tokens import slices
-from lynceus.session import durable, sized
+from lynceus.session import BROADCAST_BYTES, durable, held_bytes, sized
 
 PIECE = 4
-PIECE_BITS, PAIR_BITS = 18, 22
+#: Slots of what every task receives, for contexts and for pairs.
+CONTEXT_BITS, PAIR_BITS = 16, 20
 DISCOUNT = 0.75
-#: A continuation seen less often, in both classes together, is rare; and the weight of the shared distribution, in counts.
-RARE, SHARED = 8, 10.0
+#: The weight of the lower order beside what discounting frees, in counts.
+SHARED = 10.0
 #: A difference is drawn towards none by so many standard errors, and by so much that a class may differ in languages and topics.
 DOUBT, LEANING = 2.5, 1.0
-TINY = 1e-12
 #: Labelled documents in this share set the scale of scores; the others are counted.
 SCALE_SHARE = 0.2
 SLICE = 1_000_000
@@ -48,7 +48,7 @@ _ALNUM = np.array([chr(i).isalnum() for i in range(0xD800)] + [False] * 0x800 +
 
 
 def word_pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, piece before, piece, is first of a word) of all pieces; slot 0 stands for the start of a word."""
+    """(text number, piece before, piece, is first of a word) of all pieces, named by 64 bits; 0 stands for the start of a word."""
     low = [t.lower() for t in texts]
     codes = np.frombuffer((" " + "".join(t + " " * PIECE for t in low)).encode("utf-32-le", "surrogatepass"), "<u4")
     starts = np.concatenate(([1], 1 + np.cumsum([len(t) + PIECE for t in low])))[:-1]
@@ -63,35 +63,48 @@ def word_pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         still = still & inside[at + j]
         h = h * _SPREAD + np.where(still, codes[at + j], 0).astype(np.uint64)
         h ^= h >> np.uint64(31)
-    piece = ((h * _SPREAD) >> np.uint64(64 - PIECE_BITS)).astype(np.int64)
+    piece = (h * _SPREAD).view(np.int64)
     piece[piece == 0] = 1
     before = np.where(first, 0, np.concatenate(([0], piece[:-1])) if len(piece) else piece)
     return np.searchsorted(starts, at, side="right") - 1, before, piece, first
 
 
-def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-    return keys, np.bincount(where, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+def pair_keys(before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """The names of pairs; piece 0 stands for any continuation."""
+    h = before.astype(np.int64).view(np.uint64) * _SPREAD
+    h = ((h ^ (h >> np.uint64(32))) + piece.astype(np.int64).view(np.uint64)) * _SPREAD
+    h = (h ^ (h >> np.uint64(29))) * _SPREAD
+    return np.maximum(h ^ (h >> np.uint64(32)), np.uint64(1))
+
+
+def pair_slots(before: np.ndarray, piece: np.ndarray, bits: int = PAIR_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Slot and name of a pair; name 0 marks an empty slot."""
+    keys = pair_keys(before, piece)
+    return (keys >> np.uint64(64 - bits)).astype(np.int64), keys
+
+
+def _merged(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Columns (key, before, piece, toxic, ordinary) with each key once, counts added."""
+    key, before, piece, toxic, ordinary = (np.concatenate(c) for c in zip(*held))
+    key, first, where = np.unique(key, return_index=True, return_inverse=True)
+    return [key, before[first], piece[first], *(np.bincount(where, n, len(key)).astype(np.int64) for n in (toxic, ordinary))]
 
 
 def count_pairs(labelled: DataFrame) -> DataFrame:
     """(before, piece, toxic, ordinary): pair counts of the rows (text, toxic)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            keys, n = _merged(held)
-            toxic = (keys & 1) == 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array((keys >> 1 >> PIECE_BITS).astype(np.int32)), pa.array((keys >> 1 & (1 << PIECE_BITS) - 1).astype(np.int32)),
-                 pa.array(np.where(toxic, n, 0)), pa.array(np.where(toxic, 0, n))], names=["before", "piece", "toxic", "ordinary"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in _merged(held)[1:]], names=["before", "piece", "toxic", "ordinary"])
 
         for batch in batches:
             texts, label = [t or "" for t in batch.column(0).to_pylist()], batch.column(1).to_numpy(zero_copy_only=False)
             for a, b in slices(texts, SLICE):
                 text, before, piece, _ = word_pieces(texts[a:b])
-                held.append(np.unique(((before << PIECE_BITS) + piece) * 2 + (label[a:b][text] == 1), return_counts=True))
-                if sum(len(k) for k, _ in held) > HELD:
+                toxic = (label[a:b][text] == 1).astype(np.int64)
+                held.append(_merged([[pair_keys(before, piece), before, piece, toxic, 1 - toxic]]))
+                if sum(len(h[0]) for h in held) > HELD:
                     held = [_merged(held)]
                     if len(held[0][0]) > HELD // 2:
                         yield out()
@@ -100,117 +113,170 @@ def count_pairs(labelled: DataFrame) -> DataFrame:
             yield out()
 
     return (labelled.select("text", F.col("toxic").cast("int").alias("toxic"))
-            .mapInArrow(count, "before int, piece int, toxic long, ordinary long")
+            .mapInArrow(count, "before long, piece long, toxic long, ordinary long")
             .groupBy("before", "piece").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
 
 
-def _dense(rows: DataFrame, columns: list[str]) -> list[np.ndarray]:
-    """Columns of a table keyed by slot, as arrays over all slots."""
-    found = rows.toArrow()
-    out = []
-    for name in columns:
-        array = np.zeros(1 << PIECE_BITS)
-        array[found["slot"].to_numpy()] = found[name].to_numpy()
-        out.append(array)
-    return out
+def _empty(kind: type) -> np.ndarray:
+    return np.zeros(0, kind)
 
 
 @dataclass
 class ToxicModel:
-    """Differences of log-likelihoods: of pairs (``value`` where ``check`` agrees), else of a rare continuation of the context; and the scale."""
+    """Additive differences of log-likelihoods, of contexts and of pairs, where ``check`` holds their name; and the scale.
+
+    Rows whose slot holds another one are in ``more_keys`` (sorted) and ``more``, or, where these are many, in ``table`` (key, value).
+    """
 
     context: np.ndarray
+    context_check: np.ndarray
     value: np.ndarray
     check: np.ndarray
+    more_keys: np.ndarray = field(default_factory=lambda: _empty(np.uint64))
+    more: np.ndarray = field(default_factory=lambda: _empty(np.float64))
     slope: float = 1.0
     offset: float = 0.0
+    table: DataFrame | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
+
+    def _looked_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per text the sum of what tasks hold and the number of words; (text, key) of what only ``table`` could tell."""
+        text, before, piece, first = word_pieces(texts)
+        total, left = np.zeros(len(texts)), []
+        for value, check, after in ((self.context, self.context_check, np.zeros_like(piece)), (self.value, self.check, piece)):
+            slot, keys = pair_slots(before, after, len(value).bit_length() - 1)
+            there = check[slot]
+            total += np.bincount(text, np.where(there == keys, value[slot], 0), len(texts))
+            other = np.flatnonzero((there != keys) & (there != 0))
+            left.append((text[other], keys[other]))
+        text_left, keys = (np.concatenate(c) for c in zip(*left))
+        if len(self.more_keys):
+            place = np.minimum(np.searchsorted(self.more_keys, keys), len(self.more_keys) - 1)
+            total += np.bincount(text_left, np.where(self.more_keys[place] == keys, self.more[place], 0), len(texts))
+        return total, np.bincount(text, first, len(texts)).astype(float), text_left, keys
 
     def differences(self, texts: list[str]) -> np.ndarray:
         """Per text the mean difference per word, 0 without words."""
         out = np.zeros(len(texts))
         for a, b in slices(texts, SLICE):
-            text, before, piece, first = word_pieces(texts[a:b])
-            slot, check = pair_slots(before, piece)
-            each = np.where(self.check[slot] == check, self.value[slot], self.context[before])
-            total, words = np.bincount(text, each, b - a), np.bincount(text, first, b - a)
+            total, words, text, keys = self._looked_up(texts[a:b])
+            if self.table is not None and len(keys):
+                wanted = self.table.sparkSession.createDataFrame([(k,) for k in np.unique(keys).view(np.int64).tolist()], "key long")
+                found = dict(map(tuple, self.table.join(wanted, "key").select("key", "value").collect()))
+                total += np.bincount(text, [found.get(k, 0.0) for k in keys.view(np.int64).tolist()], b - a)
             out[a:b] = total / np.maximum(words, 1)
         return out
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.differences(texts) + self.offset, -500, 500)))
-
 
-def pair_slots(before: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and check of a pair; check 0 marks an empty slot."""
-    h = ((before.astype(np.uint64) << np.uint64(PIECE_BITS)) + piece.astype(np.uint64)) * _SPREAD
-    check = (h >> np.uint64(64 - PAIR_BITS - 16)).astype(np.uint16)
-    return (h >> np.uint64(64 - PAIR_BITS)).astype(np.int64), np.maximum(check, 1)
+def _log_share(n: Column, total: str, kinds: str) -> Column:
+    """Log-probability of an event with ``n`` counts in a class whose context has ``total`` counts of ``kinds`` pairs.
 
-
-def _log_share(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, all_kinds: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Log-probability of events with ``n`` counts in a class whose context has ``total``, over ``kinds`` of ``all_kinds`` events.
-
-    ``share`` is their probability in both classes together.
+    What discounting frees goes evenly over the pairs of the context; ``SHARED`` counts more by ``share``, the pair's part of both classes together.
     """
-    return np.log((np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds / all_kinds + SHARED * share + TINY) / (total + SHARED))
+    return F.log((F.greatest(n - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(kinds) / F.col("k_both") + SHARED * F.col("share")) / (F.col(total) + SHARED))
 
 
-def _supported(difference: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+def _supported(difference: Column, toxic: str, ordinary: str) -> Column:
     """Differences of log-likelihoods, less what the counts leave in doubt or the make-up of the classes explains."""
-    error = np.sqrt(1 / (toxic + 0.5) + 1 / (ordinary + 0.5))
-    return np.sign(difference) * np.maximum(np.abs(difference) - LEANING - DOUBT * error, 0)
+    error = F.sqrt(1 / (F.col(toxic) + 0.5) + 1 / (F.col(ordinary) + 0.5))
+    return F.signum(difference) * F.greatest(F.abs(difference) - LEANING - DOUBT * error, F.lit(0.0))
+
+
+def _values(pairs: DataFrame) -> DataFrame:
+    """(before, piece, value, n): what differs from zero, of contexts (piece 0) and of pairs beyond their context."""
+    contexts = sized(pairs.groupBy("before").agg(
+        F.sum("toxic").alias("n_toxic"), F.sum("ordinary").alias("n_ordinary"), F.count(F.lit(1)).alias("k_both"),
+        F.sum((F.col("toxic") > 0).cast("long")).alias("k_toxic"), F.sum((F.col("ordinary") > 0).cast("long")).alias("k_ordinary"))
+        .withColumn("unseen", _supported(
+            F.log((DISCOUNT * F.col("k_toxic") + SHARED) / (F.col("n_toxic") + SHARED) / (DISCOUNT * F.col("k_ordinary") + SHARED)
+                  * (F.col("n_ordinary") + SHARED)), "k_toxic", "k_ordinary")))
+    logs = [_log_share(F.col(c), f"n_{c}", f"k_{c}") for c in ("toxic", "ordinary")]
+    each = (pairs.join(contexts, "before")
+            .withColumn("share", (F.col("toxic") + F.col("ordinary")) / (F.col("n_toxic") + F.col("n_ordinary")))
+            .select("before", "piece", (_supported(logs[0] - logs[1], "toxic", "ordinary") - F.col("unseen")).alias("value"),
+                    (F.col("toxic") + F.col("ordinary")).alias("n")))
+    any_piece = contexts.select("before", F.lit(0).cast("long").alias("piece"), F.col("unseen").alias("value"),
+                                (F.col("n_toxic") + F.col("n_ordinary")).alias("n"))
+    return each.unionByName(any_piece).filter("value <> 0")
 
 
 def fit_counts(labelled: DataFrame) -> ToxicModel:
     """The model without its scale, from the rows (text, toxic)."""
-    pairs = durable(count_pairs(labelled).withColumn("rare", F.col("toxic") + F.col("ordinary") < RARE))
-    def where(condition: str, value: str = "1"):
-        return F.sum(F.expr(f"CASE WHEN {condition} THEN {value} ELSE 0 END"))
-    columns = {"toxic": F.sum("toxic"), "ordinary": F.sum("ordinary"), "rare_toxic": where("rare", "toxic"),
-               "rare_ordinary": where("rare", "ordinary"), "kinds": where("NOT rare"), "kinds_toxic": where("NOT rare AND toxic > 0"),
-               "kinds_ordinary": where("NOT rare AND ordinary > 0")}
-    of = dict(zip(columns, _dense(pairs.groupBy(F.col("before").alias("slot")).agg(*[c.alias(n) for n, c in columns.items()]), list(columns))))
-    # the rare continuations of a context are one kind of event more
-    rare, both = of["rare_toxic"] + of["rare_ordinary"], np.maximum(of["toxic"] + of["ordinary"], 1)
-    kinds = np.maximum(of["kinds"] + (rare > 0), 1)
-    logs = []
-    for name in ("toxic", "ordinary"):
-        of[f"kinds_{name}"] = of[f"kinds_{name}"] + (of[f"rare_{name}"] > 0)
-        logs.append(_log_share(of[f"rare_{name}"], of[name], of[f"kinds_{name}"], kinds, rare / both))
-    context = np.where(rare > 0, _supported(logs[0] - logs[1], of["rare_toxic"], of["rare_ordinary"]), 0.0).astype(np.float32)
-    sent = labelled.sparkSession.sparkContext.broadcast((of, kinds, both))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, kinds, both = sent.value
+    context_bits, pair_bits = CONTEXT_BITS, PAIR_BITS
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             before, piece = batch.column("before").to_numpy(), batch.column("piece").to_numpy()
-            n = {name: batch.column(name).to_numpy() for name in ("toxic", "ordinary")}
-            total = n["toxic"] + n["ordinary"]
-            logs = [_log_share(n[c], of[c][before], of[f"kinds_{c}"][before], kinds[before], total / both[before]) for c in n]
-            slot, check = pair_slots(before, piece)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(check.astype(np.int32)), pa.array(_supported(logs[0] - logs[1], *n.values())),
-                                              pa.array(total)],
-                                             names=["slot", "check", "value", "n"])
-
-    best = (pairs.filter("NOT rare").mapInArrow(compare, "slot long, check int, value double, n long").groupBy("slot")
-            .agg(F.max(F.struct("n", "check", "value")).alias("best")).select("slot", "best.check", "best.value").toArrow())
-    value, check = np.zeros(1 << PAIR_BITS, np.float32), np.zeros(1 << PAIR_BITS, np.uint16)
-    value[best["slot"].to_numpy()] = best["value"].to_numpy()
-    check[best["slot"].to_numpy()] = best["check"].to_numpy()
-    return ToxicModel(context, value, check)
+            keys = pair_keys(before, piece)
+            bits = np.where(piece == 0, context_bits, pair_bits).astype(np.uint64)
+            slot = (keys >> (np.uint64(64) - bits)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.where(piece == 0, -1 - slot, slot)),
+                                              batch.column("value"), batch.column("n")], names=["key", "slot", "value", "n"])
+
+    values = durable(_values(durable(count_pairs(labelled))).mapInArrow(name, "key long, slot long, value double, n long"))
+    best = durable(values.groupBy("slot").agg(F.max(F.struct("n", "key", "value")).alias("best"))
+                   .select("slot", F.col("best.key").alias("held"), F.col("best.value").alias("value")))
+    tables = []
+    held = best.toArrow()
+    slots, keys, found = (held[c].to_numpy() for c in ("slot", "held", "value"))
+    for bits, mine, places in ((context_bits, slots < 0, -1 - slots), (pair_bits, slots >= 0, slots)):
+        value, check = np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.uint64)
+        value[places[mine]], check[places[mine]] = found[mine], keys[mine].view(np.uint64)
+        tables += [value, check]
+    model = ToxicModel(*tables)
+    if values.count() > len(keys):
+        more = durable(values.join(best.select("slot", "held"), "slot").filter("key <> held").select("key", "value"))
+        if held_bytes(more) <= BROADCAST_BYTES:
+            rows = more.toArrow()
+            names = rows["key"].to_numpy().view(np.uint64)
+            order = np.argsort(names)
+            model.more_keys, model.more = names[order], rows["value"].to_numpy()[order]
+        else:
+            model.table = more
+    return model
 
 
-def _scaled(model: ToxicModel, held: DataFrame, bins: int = 4_000, reach: float = 4.0) -> ToxicModel:
-    """Fit slope and offset on (text, toxic) rows, by a histogram of their differences."""
-    sent = held.sparkSession.sparkContext.broadcast(model)
+def _rated(rows: DataFrame, model: ToxicModel, at: str) -> DataFrame:
+    """``rows`` (text and others) with ``difference`` in place of text; ``at`` names a column that tells the rows apart."""
+    sent, large = rows.sparkSession.sparkContext.broadcast(model), model.table is not None
+    others = [f for f in rows.schema.fields if f.name != "text"]
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for a, b in slices(texts, SLICE):
+                total, words, _, _ = sent.value._looked_up(texts[a:b])
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name).slice(a, b - a) for f in others), pa.array(total), pa.array(np.maximum(words, 1))],
+                                                 names=[*(f.name for f in others), "total", "words"])
+
+    def missed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = sent.value.differences([t or "" for t in batch.column(0).to_pylist()])
-            cell = np.clip((d + reach) / (2 * reach) * bins, 0, bins - 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(1)], names=["cell", "toxic"])
+            texts, rest = [t or "" for t in batch.column("text").to_pylist()], batch.column(at)
+            for a, b in slices(texts, SLICE):
+                _, _, text, keys = sent.value._looked_up(texts[a:b])
+                pairs, times = np.unique(np.column_stack((text.astype(np.uint64), keys)), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([rest.take(pa.array(pairs[:, 0].astype(np.int64) + a)), pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64)),
+                                                  pa.array(times)], names=[at, "key", "times"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
+    out = rows.mapInArrow(rate, f"{kinds}, total double, words double")
+    if large:
+        of = next(f for f in others if f.name == at)
+        more = (rows.mapInArrow(missed, f"`{at}` {of.dataType.simpleString()}, key long, times long").join(model.table, "key")
+                .groupBy(at).agg(F.sum(F.col("times") * F.col("value")).alias("more")))
+        out = out.join(more, at, "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0.0)))
+    return out.select(*(f.name for f in others), (F.col("total") / F.col("words")).alias("difference"))
+
 
-    rows = (held.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(place, "cell int, toxic int")
+def _scaled(model: ToxicModel, held: DataFrame, bins: int = 4_000, reach: float = 4.0) -> ToxicModel:
+    """Fit slope and offset on (text, toxic) rows, by a histogram of their differences."""
+    held = held.select("text", F.col("toxic").cast("int").alias("toxic"))
+    if model.table is not None:
+        held = durable(held.withColumn("row_at", F.monotonically_increasing_id()))
+    cell = F.least(F.greatest((F.col("difference") + reach) / (2 * reach) * bins, F.lit(0)), F.lit(bins - 1)).cast("int")
+    rows = (_rated(held, model, "row_at").select(cell.alias("cell"), "toxic")
             .groupBy("cell").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).toArrow())
     x = (rows["cell"].to_numpy() + 0.5) / bins * 2 * reach - reach
     t, n = rows["t"].to_numpy().astype(float), rows["n"].to_numpy().astype(float)
@@ -249,13 +315,11 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
     results.  An empty table gives an empty result; other columns are ignored,
     whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = sent.value.scores([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["id", "score"])
-
-    return (rows.mapInArrow(rate, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    if model.table is None:
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    else:
+        at = free_name(docs, "row_at")
+        rows = addressed(docs, at).select(F.col(at).alias("row_at"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    x = F.greatest(F.least(model.slope * F.col("difference") + model.offset, F.lit(500.0)), F.lit(-500.0))
+    return (_rated(rows, model, "row_at").select("id", (1 / (1 + F.exp(-x))).alias("score"))
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
