@@ -2,8 +2,9 @@
 
 Words are cut into pieces of up to four characters; a piece follows the piece
 before it in its word, or the start of the word.  Each class has its own counts of
-pairs, absolutely discounted; the mass that this frees goes, evenly
-to the pairs of the context, and contexts with few counts lean on both classes together.  Every pair has a value
+pairs, absolutely discounted; the mass that this frees goes, as in Kneser and
+Ney, by the number of different contexts that a piece follows, counted over both
+classes, and contexts with few counts lean on it further.  Every pair has a value
 of its own, however rare; differences that the counts leave in
 doubt are drawn towards none, so that ordinary words of any language add nothing.  A text's score is the mean, per word, of the
 difference of its log-likelihoods, mapped to a probability on labelled
@@ -173,9 +174,9 @@ class ToxicModel:
 def _log_share(n: Column, total: str, kinds: str) -> Column:
     """Log-probability of an event with ``n`` counts in a class whose context has ``total`` counts of ``kinds`` pairs.
 
-    What discounting frees goes evenly over the pairs of the context; ``SHARED`` counts more by ``share``, the pair's part of both classes together.
+    What discounting frees, and ``SHARED`` counts more, go by ``share``, the part of all different pairs, of both classes, that end in the piece.
     """
-    return F.log((F.greatest(n - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(kinds) / F.col("k_both") + SHARED * F.col("share")) / (F.col(total) + SHARED))
+    return F.log((F.greatest(n - DISCOUNT, F.lit(0.0)) + (DISCOUNT * F.col(kinds) + SHARED) * F.col("share")) / (F.col(total) + SHARED))
 
 
 def _supported(difference: Column, toxic: str, ordinary: str) -> Column:
@@ -187,14 +188,15 @@ def _supported(difference: Column, toxic: str, ordinary: str) -> Column:
 def _values(pairs: DataFrame) -> DataFrame:
     """(before, piece, value, n): what differs from zero, of contexts (piece 0) and of pairs beyond their context."""
     contexts = sized(pairs.groupBy("before").agg(
-        F.sum("toxic").alias("n_toxic"), F.sum("ordinary").alias("n_ordinary"), F.count(F.lit(1)).alias("k_both"),
+        F.sum("toxic").alias("n_toxic"), F.sum("ordinary").alias("n_ordinary"),
         F.sum((F.col("toxic") > 0).cast("long")).alias("k_toxic"), F.sum((F.col("ordinary") > 0).cast("long")).alias("k_ordinary"))
         .withColumn("unseen", _supported(
             F.log((DISCOUNT * F.col("k_toxic") + SHARED) / (F.col("n_toxic") + SHARED) / (DISCOUNT * F.col("k_ordinary") + SHARED)
                   * (F.col("n_ordinary") + SHARED)), "k_toxic", "k_ordinary")))
+    # how many different contexts a piece follows, in both classes together
+    follows = sized(pairs.groupBy("piece").agg((F.count(F.lit(1)) / F.lit(max(pairs.count(), 1))).alias("share")))
     logs = [_log_share(F.col(c), f"n_{c}", f"k_{c}") for c in ("toxic", "ordinary")]
-    each = (pairs.join(contexts, "before")
-            .withColumn("share", (F.col("toxic") + F.col("ordinary")) / (F.col("n_toxic") + F.col("n_ordinary")))
+    each = (pairs.join(contexts, "before").join(follows, "piece")
             .select("before", "piece", (_supported(logs[0] - logs[1], "toxic", "ordinary") - F.col("unseen")).alias("value"),
                     (F.col("toxic") + F.col("ordinary")).alias("n")))
     any_piece = contexts.select("before", F.lit(0).cast("long").alias("piece"), F.col("unseen").alias("value"),
@@ -222,7 +224,7 @@ def fit_counts(labelled: DataFrame) -> ToxicModel:
     held = best.toArrow()
     slots, keys, found = (held[c].to_numpy() for c in ("slot", "held", "value"))
     for bits, mine, places in ((context_bits, slots < 0, -1 - slots), (pair_bits, slots >= 0, slots)):
-        value, check = np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.uint64)
+        value, check = np.zeros(1 << bits), np.zeros(1 << bits, np.uint64)
         value[places[mine]], check[places[mine]] = found[mine], keys[mine].view(np.uint64)
         tables += [value, check]
     model = ToxicModel(*tables)
@@ -275,7 +277,7 @@ def _scaled(model: ToxicModel, held: DataFrame, bins: int = 4_000, reach: float
     held = held.select("text", F.col("toxic").cast("int").alias("toxic"))
     if model.table is not None:
         held = durable(held.withColumn("row_at", F.monotonically_increasing_id()))
-    cell = F.least(F.greatest((F.col("difference") + reach) / (2 * reach) * bins, F.lit(0)), F.lit(bins - 1)).cast("int")
+    cell = F.least(F.greatest((F.col("difference") + reach + 1e-9) / (2 * reach) * bins, F.lit(0)), F.lit(bins - 1)).cast("int")
     rows = (_rated(held, model, "row_at").select(cell.alias("cell"), "toxic")
             .groupBy("cell").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).toArrow())
     x = (rows["cell"].to_numpy() + 0.5) / bins * 2 * reach - reach
