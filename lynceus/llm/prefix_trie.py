@@ -49,7 +49,7 @@ def digested(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> Da
     spoken = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (role, text)]
     return (turns.filter(F.col(conv).isNotNull())
             .select(F.col(conv).cast("long").alias("conv"), F.col(turn).alias("turn"),
-                    F.sha2(F.concat(F.length(spoken[0]).cast("string"), F.lit(":"), *spoken), 256).alias("digest"),
+                    F.unhex(F.sha2(F.concat(F.length(spoken[0]).cast("string"), F.lit(":"), *spoken), 256)).alias("digest"),
                     F.size(F.regexp_extract_all(spoken[1], F.lit(WORD), F.lit(0))).alias("words")))
 
 
@@ -264,7 +264,8 @@ def trie(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", ro
     kind = turns.schema[conv_col].dataType
     if not isinstance(kind, T.IntegralType):
         raise ValueError(f"{conv_col} must hold integers, not {kind.simpleString()}")
-    placed = rebuilt(digested(turns, conv_col, turn_col, role_col, text_col))
+    # written, since ordering the rows samples them first
+    placed = rebuilt(durable(digested(turns, conv_col, turn_col, role_col, text_col)))
     edges = sized(edge_conversations(placed))
     for salt in range(0, 2 * TRIES, 2):
         rows = in_depth(placed, edges, salt)
