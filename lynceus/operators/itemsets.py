@@ -15,14 +15,14 @@ KEY_MARK = "\u0001"
 
 def frequent_itemsets(baskets: DataFrame, items: str, min_support: float, min_len: int = 1,
                       max_len: int | None = None) -> DataFrame:
-    """(items sorted, support count) of the itemsets in at least min_support * n baskets."""
+    """(items sorted, support count) of the itemsets in at least min_support * n baskets; none where no basket has items."""
     every = durable(baskets.select(F.array_distinct(items).alias("items")))
     n, n_sets = every.agg(F.count(F.lit(1)), F.count(F.when(F.size("items") > 0, 1))).first()
     sets = every.filter(F.size("items") > 0)
     # FPGrowth compares counts with share * n; the basket total includes empty baskets
     wanted = ceil(min_support * n - 1e-9)
     if not n_sets:
-        raise ValueError("no basket has items")
+        return sets.select("items", F.lit(0).cast("long").alias("support")).limit(0)
     share = min(1.0, max(0.0, (wanted - 0.5) / n_sets))
     found = FPGrowth(itemsCol="items", minSupport=share).fit(sets).freqItemsets
     size = F.size("items")
@@ -82,17 +82,6 @@ def top_k_rules(rules: DataFrame, k: int = 10, min_conf: float = 0.8) -> DataFra
             .orderBy(F.col("support").desc(), F.col("confidence").desc(), "rule").limit(k))
 
 
-def best_rules(baskets: DataFrame, items: str, k: int = 10, min_conf: float = 0.8, start: float = 0.25) -> DataFrame:
-    """The k best rules without a least support: it is lowered until k rules are found, or a single basket suffices."""
-    n = max(1, baskets.count())
-    support = max(start, 1 / n)
-    while True:
-        rules = durable(association_rules(frequent_itemsets(baskets, items, support), min_conf))
-        if support <= 1 / n or rules.count() >= k:
-            return top_k_rules(rules, k, min_conf)
-        support = max(support / 2, 1 / n)
-
-
 def rule_edges(rules: DataFrame) -> DataFrame:
     """Network of rules: one edge from each antecedent node to each consequent node."""
     return rules.select(F.array_join("antecedent", " ").alias("src"),

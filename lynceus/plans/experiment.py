@@ -73,17 +73,18 @@ class Experiment:
         return shape(data, self.cfg.get("setup") or {}, self.family)
 
     def predict(self, data: DataFrame) -> DataFrame:
-        """Scored rows of a batch; with ``predict_window`` the last ones only."""
-        rows = self.model.transform(self.shape(data))
-        n = int((self.cfg.get("setup") or {}).get("predict_window") or 0)
-        order = shaping.as_list((self.cfg.get("setup") or {}).get("order")) or ["ds"]
-        return shaping.tail_window(rows, order, n) if n and set(order) <= set(rows.columns) else rows
+        """All scored rows of a batch; ``predict_window`` limits what ``recent_predictions`` shows, not what is scored."""
+        return self.model.transform(self.shape(data))
 
     def score(self, predicted: DataFrame) -> DataFrame | None:
         """Metrics of one batch in long form (metric, value); none for the unsupervised families."""
         return score(predicted, self.family)
 
 
+#: Sensors of a plant that are found by looking at the data, at most; more must be named.
+MOST_SENSORS = 10_000
+
+
 def store_families() -> dict[str, str]:
     return {**FAMILIES, **{f: f for f in FAMILIES.values()}}
 
@@ -100,14 +101,16 @@ def shape(data: DataFrame, setup: Mapping, family: str) -> DataFrame:
         column, index, values = (fmt.get(k, v) for k, v in (("columns", "target"), ("index", "date"),
                                                             ("values", "value")))
         if not names:
-            # sensor names of a plant: a short list
-            names = sorted(r[0] for r in data.select(column).distinct().collect())
+            names = sorted(r[0] for r in data.select(column).distinct().limit(MOST_SENSORS + 1).collect())
+            if len(names) > MOST_SENSORS:
+                raise ValueError(f"column {column} has more than {MOST_SENSORS} names: it doesn't name sensors; give format.sensors")
         data = shaping.pivot_sensors(data, index, column, values, names, agg=fmt.get("agg", "strict"))
     elif "body" in data.columns and setup.get("body"):
         # column-oriented JSON, one message per row; ``body`` declares the columns
         message = [c for c in data.columns if c != "body"]
         if not message:
-            message, data = ["_message"], data.withColumn("_message", F.xxhash64("body"))
+            # equal bodies are two messages
+            message, data = ["_message"], data.withColumn("_message", F.monotonically_increasing_id())
         schema = T.StructType.fromDDL(setup["body"])
         data = decode_columnar_json(data, "body", schema, message).select(*[f.name for f in schema.fields])
     ds = setup.get("datetime_column")
@@ -277,6 +280,15 @@ def _predict_batch(spark: SparkSession, root: str, name: str, batch: DataFrame,
             retrain(spark, root, name, batch_id)
 
 
+def recent_predictions(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The last ``predict_window`` scored rows over all batches of an experiment (0 or none: all), for display."""
+    setup = store.current_run(spark, root, name)["config"].get("setup") or {}
+    rows = store.read_batches(spark, root, "predictions", name)
+    order = shaping.as_list(setup.get("order")) or ["ds"]
+    n = int(setup.get("predict_window") or 0)
+    return shaping.tail_window(rows, order, n) if n and set(order) <= set(rows.columns) else rows
+
+
 def retrain(spark: SparkSession, root: str, name: str, after_batch: int = -1) -> str:
     """Fit again on the training rows plus all new batches, cut to the retrain window; becomes current."""
     run = store.current_run(spark, root, name)

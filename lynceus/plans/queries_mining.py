@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lynceus.operators import eda, eventlog, itemsets, markov, metrics, process_graph, sequences, series
+from lynceus.operators import eda, eventlog, itemsets, markov, metrics, process_graph, sequences, series, top_rules
 from lynceus.plans import lifecycle
 from lynceus.plans import stand_ins as s
 from lynceus.plans.catalog import query, rounded
@@ -61,7 +61,7 @@ def association_rules_long(spark, d):
 SELECT x || ' ==> ' || y AS rule, support, round(confidence, 6) AS confidence FROM rules WHERE confidence >= 0.3
 ORDER BY support DESC, rules.confidence DESC, 1 LIMIT 10""")
 def top_k_rules(spark, d):
-    rules = itemsets.best_rules(s.type_baskets(spark, d), "items", 10, 0.3)
+    rules = top_rules.best_rules(s.type_baskets(spark, d), "items", 10, 0.3)
     return rounded(rules.select("rule", "support", "confidence"))
 
 

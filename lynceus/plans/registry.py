@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.operators import (arima, bayes_net, density, eventlog, hidden_markov, isolation_forest, itemsets,
-                               markov, multivariate, naive_bayes, process_graph, sequences, smoothing, trees,
-                               trend_season, windows)
+                               markov, multivariate, naive_bayes, process_graph, sequences, smoothing, top_rules,
+                               trees, trend_season, windows)
 from lynceus.plans.params import names_of, translate
 
 
@@ -172,7 +172,7 @@ def _apriori(df, layout, params):
 @register("mining", "topk", more=("k", "min_conf"))
 def _top_rules(df, layout, params):
     p = {"k": 10, "min_conf": 0.8, **params}
-    rules = itemsets.best_rules(_baskets(df, layout), "items", p["k"], p["min_conf"])
+    rules = top_rules.best_rules(_baskets(df, layout), "items", p["k"], p["min_conf"])
     return {"rules": rules, "association_rules": itemsets.rule_edges(rules)}
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lynceus.operators import arima, hidden_markov, itemsets, shaping, smoothing, trees, windows
+from lynceus.operators import arima, hidden_markov, itemsets, shaping, smoothing, top_rules, trees, windows
 from lynceus.operators.ordering import over_order
 from lynceus.plans import experiment, registry
 from lynceus.plans.params import translate
@@ -82,7 +82,7 @@ def test_rules_against_all_subsets(spark):
             if support[s] / support[a] >= 0.5}
     got = itemsets.association_rules(sets, 0.5).collect()
     assert {(tuple(r["antecedent"]), tuple(r["consequent"])) for r in got} == want and len(got) == len(want)
-    best = itemsets.best_rules(df, "items", 25, 0.5).collect()
+    best = top_rules.best_rules(df, "items", 25, 0.5).collect()
     assert len(best) == min(25, len(want))
     assert [r["support"] for r in best] == sorted((support[tuple(sorted(a + c))] for a, c in want), reverse=True)[:25]
 
@@ -172,7 +172,12 @@ def test_column_oriented_bodies_and_predict_window(spark, tmp_path):
     experiment.train(spark, str(tmp_path), "columns", cfg, batch)
     found = experiment.load(spark, str(tmp_path), "columns").predict(batch)
     rows = found.orderBy("ds").collect()
-    assert len(rows) == 7 and rows[-1]["x"] == 39 % 9 and all(r["y_pred"] is not None for r in rows)
+    assert len(rows) == 40 and rows[-1]["x"] == 39 % 9 and all(r["y_pred"] is not None for r in rows)
+    assert experiment.load(spark, str(tmp_path), "columns").predict(batch.unionByName(batch)).count() == 80
+    for batch_id in (0, 1):
+        experiment.predict_batch(spark, str(tmp_path), "columns", batch, batch_id)
+    shown = experiment.recent_predictions(spark, str(tmp_path), "columns").orderBy("ds").collect()
+    assert len(shown) == 7 and shown[-1]["ds"] == rows[-1]["ds"] == shown[-2]["ds"] and {r["batch_id"] for r in shown} == {0, 1}
 
 
 def test_metrics_of_more_than_two_classes(spark):
