@@ -1,14 +1,18 @@
 """Hidden Markov model with Gaussian-mixture emissions (diagonal covariances).
 
-Sequences are cut into chunks of consecutive rows, one grouped task each.  The
-exact forward and backward messages at the chunk edges come from chaining the
-chunks' transfer matrices (states x states each), so cutting a sequence changes
-neither the likelihood nor the decoded path.
+Sequences are cut into chunks of consecutive rows, many to a task, which steps
+through all of them together.  The exact forward and backward messages at the chunk
+edges come from chaining the chunks' transfer matrices (states x states each), so
+cutting a sequence changes neither the likelihood nor the decoded path.
+
+EM is accelerated by squared extrapolation: two rounds give a direction and its
+change, from which a longer step follows.  The step is kept when the next round
+finds that it has at least the likelihood of the round before, else the plain one is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lynceus.functions.markov_steps import TINY, Chunks, backward, best_paths, best_transfers, forward, transfers
 from lynceus.operators.eda import Scaler
-from lynceus.operators.ordering import as_list, group_sizes, max_rows_per_task, row_index, spread
-from lynceus.session import durable, keep_cached
+from lynceus.operators.ordering import as_list, group_sizes, max_rows_per_task, row_index
+from lynceus.session import BROADCAST_BYTES, durable, held_bytes, keep_cached
 
 VARIANCE_FLOOR = 1e-3
-TINY = 1e-300
+#: Rounds of the k-means that gives the first means; each is a job, and EM moves the means anyway.
+START_ROUNDS = 20
 
 
 @dataclass
@@ -54,49 +60,29 @@ def _emission(params: Parameters, x: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.exp(log_b - scale[:, None]), scale, np.exp(parts - log_b[:, :, None])
 
 
-def transfer(params: Parameters, x: np.ndarray, first: bool) -> np.ndarray:
-    """Normalised product of the steps through one chunk."""
-    b, _, _ = _emission(params, x)
-    out = np.diag(b[0]) if first else params.move * b[0]
-    for row in b[1:]:
-        out = (out @ params.move) * row
-        out /= out.sum() + TINY
-    return out / (out.sum() + TINY)
+def expectations(params: Parameters, x: np.ndarray, lengths: np.ndarray, first: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """Sufficient statistics of many chunks, added up and flattened.
 
-
-def expectations(params: Parameters, x: np.ndarray, first: bool, ahead: np.ndarray,
-                 behind: np.ndarray) -> np.ndarray:
-    """Sufficient statistics of one chunk, flattened.
-
-    ``ahead``: forward message before the chunk (the start distribution for the
-    first chunk); ``behind``: backward message at its last row.
+    For each chunk, ``first``: it begins its sequence; ``ahead``: forward message before it (the start
+    distribution for a first one); ``behind``: backward message at its last row.
     """
+    c = Chunks.of(lengths)
+    first, ahead, behind = first[c.place], ahead[c.place], behind[c.place]
     b, scale, share = _emission(params, x)
-    n, s = b.shape
-    alpha, norm = np.empty((n, s)), np.empty(n)
-    state = (ahead if first else ahead @ params.move) * b[0]
-    for t in range(n):
-        if t:
-            state = (alpha[t - 1] @ params.move) * b[t]
-        norm[t] = state.sum() + TINY
-        alpha[t] = state / norm[t]
-    beta = np.empty((n, s))
-    beta[-1] = behind / (behind.sum() + TINY)
-    for t in range(n - 2, -1, -1):
-        back = params.move @ (b[t + 1] * beta[t + 1])
-        beta[t] = back / (back.sum() + TINY)
+    alpha, norm = forward(c, b, params.move, first, ahead)
+    beta = backward(c, b, params.move, behind)
     gamma = alpha * beta
     gamma /= gamma.sum(axis=1, keepdims=True) + TINY
-    before = alpha[:-1] if first else np.vstack([ahead, alpha[:-1]])
-    after = b * beta
-    after = after[1:] if first else after
-    pairs = before @ params.move * after
-    weights = 1 / (pairs.sum(axis=1) + TINY)
+    before = np.vstack([alpha[:1], alpha[:-1]])
+    before[c.starts] = ahead
+    inner = np.ones(len(x), bool)
+    inner[c.starts[first]] = False
+    before, after = before[inner], (b * beta)[inner]
+    weights = 1 / ((before @ params.move * after).sum(axis=1) + TINY)
     xi = params.move * ((before * weights[:, None]).T @ after)
-    post = gamma[:, :, None] * share
-    flat = post.reshape(n, -1)
+    flat = (gamma[:, :, None] * share).reshape(len(x), -1)
     return np.concatenate([
-        gamma[0] if first else np.zeros(s), xi.ravel(), flat.sum(axis=0), (flat.T @ x).ravel(),
+        gamma[c.starts[first]].sum(axis=0), xi.ravel(), flat.sum(axis=0), (flat.T @ x).ravel(),
         (flat.T @ x ** 2).ravel(), [np.log(norm).sum() + scale.sum()]])
 
 
@@ -112,45 +98,97 @@ def maximise(stats: np.ndarray, s: int, m: int, p: int) -> tuple[Parameters, flo
                       (post + 1e-10) / (post + 1e-10).sum(axis=1, keepdims=True), mean, var), float(likelihood[0])
 
 
-def best_transfer(params: Parameters, x: np.ndarray, first: bool) -> np.ndarray:
-    """Best log score from the state before the chunk to the state at its end."""
-    b, scale, _ = _emission(params, x)
-    log_b, log_a = np.log(b + TINY) + scale[:, None], np.log(params.move + TINY)
-    out = np.where(np.eye(len(log_a), dtype=bool), log_b[0], -np.inf) if first else log_a + log_b[0]
-    for row in log_b[1:]:
-        out = (out[:, :, None] + log_a[None]).max(axis=1) + row
-    return out
+def _free(params: Parameters) -> np.ndarray:
+    """Parameters as one vector without constraints: logs of shares and variances."""
+    return np.concatenate([np.log(params.start + TINY), np.log(params.move + TINY).ravel(), np.log(params.weight + TINY).ravel(),
+                           params.mean.ravel(), np.log(params.var).ravel()])
 
 
-def best_path(params: Parameters, x: np.ndarray, first: bool, before: np.ndarray,
-              last: int | None) -> np.ndarray:
-    """Viterbi path of one chunk; ``before``: log scores ahead of it, ``last``: fixed final state."""
-    b, scale, _ = _emission(params, x)
-    log_b, log_a = np.log(b + TINY) + scale[:, None], np.log(params.move + TINY)
-    n, s = b.shape
-    came = np.zeros((n, s), int)
-    score = before + log_b[0] if first else (before[:, None] + log_a).max(axis=0) + log_b[0]
-    for t in range(1, n):
-        options = score[:, None] + log_a
-        came[t] = options.argmax(axis=0)
-        score = options[came[t], np.arange(s)] + log_b[t]
-    path = np.empty(n, int)
-    path[-1] = int(score.argmax()) if last is None else last
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = came[t, path[t]]
-    return path
+def _bound(v: np.ndarray, like: Parameters) -> Parameters:
+    """The parameters of a free vector; shares are made to add up to one."""
+    s, m, p = like.mean.shape
+    start, move, weight, mean, var = np.split(v, np.cumsum([s, s * s, s * m, s * m * p]))
 
+    def shares(log: np.ndarray) -> np.ndarray:
+        out = np.exp(log - log.max(axis=-1, keepdims=True)) + 1e-12
+        return out / out.sum(axis=-1, keepdims=True)
+    return Parameters(shares(start), shares(move.reshape(s, s)), shares(weight.reshape(s, m)), mean.reshape(s, m, p),
+                      np.maximum(np.exp(np.clip(var, -50.0, 50.0)).reshape(s, m, p), VARIANCE_FLOOR))
 
-def _by_position(data: pa.Table) -> np.ndarray:
-    return np.argsort(data.column("_i").to_numpy(), kind="stable")
 
+def extrapolate(a: Parameters, b: Parameters, c: Parameters) -> Parameters | None:
+    """The squared step from three successive rounds; none when it is no longer than they are."""
+    x, y, z = map(_free, (a, b, c))
+    r, v = y - x, z - 2 * y + x
+    length = -np.sqrt((r @ r) / max(v @ v, TINY))
+    return _bound(x - 2 * length * r + length ** 2 * v, a) if length < -1 else None
 
-def _vectors(data: pa.Table) -> np.ndarray:
-    return data.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(data.num_rows, -1)
 
+def squared_em(round_of: Callable[[Parameters], tuple[Parameters, float]], params: Parameters, n_iter: int,
+               tol: float) -> tuple[Parameters, list[float]]:
+    """(parameters, likelihoods of the rounds kept, never falling).  ``round_of``: the next parameters, and the likelihood of the given ones.
 
-#: Rows that one Python task walks through at a time; longer series are cut, with the same result.
-CHUNK_ROWS = 50_000
+    Ends when a cycle of three rounds gains less than ``tol`` (a share of the likelihood), or after ``n_iter`` rounds.
+    """
+    kept: list[float] = []
+    path, best, guess = [params], params, False  # the last of ``path`` is judged next; ``best`` has been judged
+    plain = params
+    for _ in range(n_iter):
+        found, likelihood = round_of(path[-1])
+        if guess and not likelihood >= kept[-1]:
+            path, guess = [plain], False  # the longer step is worse: on from the plain round
+            continue
+        gain = likelihood - kept[-1] if kept else np.inf
+        kept.append(likelihood)
+        # a plain round after a long step gains little: what counts is the gain of a whole cycle, or of the first rounds
+        cycle = likelihood - kept[-4] if len(kept) > 3 else gain
+        if not guess and abs(cycle) < tol * max(1.0, abs(likelihood)):
+            return path[-1], kept
+        best, path, guess = path[-1], [*path, found], False
+        if len(path) == 3:
+            plain, longer = found, extrapolate(*path)
+            path, guess = ([longer], True) if longer else ([plain], False)
+    return best, kept
+
+
+def _tables(rows: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    """Chunks side by side, sorted: a task for each core at most, of a quarter of a table or more, but none of too many rows."""
+    spark = rows.sparkSession
+    parts = max(1, min(spark.sparkContext.defaultParallelism, 4 * n // TABLE_ROWS), -(-n // max_rows_per_task(spark)))
+    return rows.repartition(parts, *by).sortWithinPartitions(*by, "_i")
+
+
+def _vectors(table: pa.Table) -> np.ndarray:
+    return table.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
+
+def _rows_by_chunk(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows and the lengths of their chunks, about ``most`` rows at a time; the input is sorted by key, chunk and position."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(table: pa.Table) -> np.ndarray:
+        i, chunk = table.column("_i").to_numpy(), table.column("_chunk").to_numpy()
+        return np.flatnonzero(np.concatenate([[True], (np.diff(i) != 1) | (np.diff(chunk) != 0)]))
+
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+        if sum(map(len, held)) >= most:
+            table = pa.Table.from_batches(held)
+            edges = cut(table)
+            if len(edges) > 1:
+                # the last chunk may go on in the next batch
+                yield table.slice(0, edges[-1]), np.diff(edges)
+                held = table.slice(edges[-1]).to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, np.diff(np.append(cut(table), len(table)))
+
+
+#: Rows of a chunk; longer series are cut, with the same result.  A task steps through the chunks of about TABLE_ROWS rows together.
+CHUNK_ROWS, TABLE_ROWS = 4_096, 65_536
+#: Up to so many tasks send their statistics to the driver; those of more are added up in Spark first.
+FEW_TASKS = 256
 
 
 @dataclass
@@ -171,7 +209,8 @@ class HiddenMarkov:
         x = F.array(*[self.scaler.scaled(c) for c in self.scaler.cols])
         one = [] if self.key else [F.lit(0).alias("_one")]
         rows = rows.select(*keep, *one, "_i", F.floor(F.col("_i") / self.chunk).alias("_chunk"), x.alias("_x"))
-        return spread(rows, [*self._by, "_chunk"], sizes[1]), sizes[0] > self.chunk
+        by = [*self._by, "_chunk"]
+        return _tables(rows, by, sizes[1]), sizes[0] > self.chunk
 
     @property
     def _by(self) -> list[str]:
@@ -181,7 +220,7 @@ class HiddenMarkov:
     def fit(cls, df: DataFrame, cols: Sequence[str], n_states: int, order: str | Sequence[str],
             key: str | Sequence[str] | None = None, n_mix: int = 10, n_iter: int = 1000, tol: float = 1e-4,
             chunk: int | None = None, seed: int = 42, target: str | None = None) -> HiddenMarkov:
-        """EM on complete rows until the likelihood gains less than ``tol`` (a share of it), or ``n_iter`` rounds.
+        """EM on complete rows until three rounds gain less than ``tol`` of the likelihood, or ``n_iter`` rounds; one job a round.
 
         With ``target`` the states are named by their majority label.
         """
@@ -191,17 +230,15 @@ class HiddenMarkov:
         chunk = chunk or min(CHUNK_ROWS, max_rows_per_task(df.sparkSession))
         model = cls(scaler, _start(df, scaler, n_states, n_mix, seed), key, order, chunk)
         rows, split = model._chunks(df, key)
-        rows = durable(rows) if split else rows.persist()
+        rows = rows.persist()
         p = len(cols)
-        for _ in range(n_iter):
-            stats = model._e_step(rows, split)
-            params, likelihood = maximise(stats, n_states, n_mix, p)
-            model.history.append(likelihood)
-            gain = likelihood - model.log_likelihood
-            model.log_likelihood = likelihood
-            if abs(gain) < tol * max(1.0, abs(likelihood)):
-                break
+
+        def round_of(params: Parameters) -> tuple[Parameters, float]:
             model.params = params
+            return maximise(model._e_step(rows, split), n_states, n_mix, p)
+
+        model.params, model.history = squared_em(round_of, model.params, n_iter, tol)
+        model.log_likelihood = model.history[-1] if model.history else model.log_likelihood
         rows.unpersist()
         if target:
             named = (model.transform(df).groupBy("state", target).agg(F.count(F.lit(1)).alias("n"))
@@ -211,26 +248,28 @@ class HiddenMarkov:
         return model
 
     def _messages(self, rows: DataFrame, best: bool) -> DataFrame:
-        """Per chunk: message before it and behind it (sum-product), or before it and its final state."""
+        """Per chunk (by, _i of its first row): message before it and behind it (sum-product), or before it and its final state."""
         params, by = self.params, self._by
         s = len(params.start)
-        fields = [rows.schema[k] for k in by] + [T.StructField("_chunk", T.LongType())]
-        numbers = T.ArrayType(T.DoubleType())
-        step_schema = T.StructType(fields + [T.StructField("_m", numbers)])
-
-        def step(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = np.stack(pdf.sort_values("_i")["_x"].to_numpy())
-            first = int(pdf["_chunk"].iloc[0]) == 0
-            m = (best_transfer if best else transfer)(params, x, first)
-            out = pdf[[*by, "_chunk"]].head(1).copy()
-            out["_m"] = [m.ravel().tolist()]
-            return out
+        kinds = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in by]
+        log_move = np.log(params.move + TINY)
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table, lengths in _rows_by_chunk(batches, TABLE_ROWS):
+                c, heads = Chunks.of(lengths), table.take(np.cumsum(lengths) - lengths)
+                first = (heads.column("_chunk").to_numpy() == 0)[c.place]
+                b, scale, _ = _emission(params, _vectors(table))
+                found = best_transfers(c, np.log(b + TINY) + scale[:, None], log_move, first) if best else transfers(c, b, params.move, first)
+                m = np.empty_like(found)
+                m[c.place] = found
+                out = heads.select([*by, "_i"]).append_column("_m", pa.array(list(m.reshape(len(m), -1)), pa.list_(pa.float64())))
+                yield from out.to_batches()
 
         def chain(pdf: pd.DataFrame) -> pd.DataFrame:
             """One small matrix per chunk of one sequence."""
-            pdf = pdf.sort_values("_chunk")
+            pdf = pdf.sort_values("_i")
             ms = [np.asarray(m, float).reshape(s, s) for m in pdf["_m"]]
-            out = pdf[[*by, "_chunk"]].copy()
+            out = pdf[[*by, "_i"]].copy()
             ahead = [np.log(params.start + TINY) if best else params.start]
             for m in ms:
                 nxt = (ahead[-1][:, None] + m).max(axis=0) if best else ahead[-1] @ m
@@ -251,35 +290,43 @@ class HiddenMarkov:
             out["_behind"] = behind[::-1]
             return out
 
-        ends = T.StructType(fields + [T.StructField("_ahead", numbers), T.StructField("_behind", numbers)])
-        steps = rows.groupBy(*by, "_chunk").applyInPandas(step, step_schema)
-        return durable(steps.groupBy(*by).applyInPandas(chain, ends))
+        steps = rows.select(*by, "_i", "_chunk", "_x").mapInArrow(step, ", ".join([*kinds, "_i long", "_m array<double>"]))
+        return durable(steps.groupBy(*by).applyInPandas(chain, ", ".join([*kinds, "_i long", "_ahead array<double>", "_behind array<double>"])))
+
+    def _with_messages(self, rows: DataFrame, split: bool, best: bool) -> DataFrame:
+        """Rows with (_ahead, _behind) at the first row of each chunk, sorted as before; without them where sequences are whole."""
+        if not split:
+            return rows
+        edges = self._messages(rows, best).withColumnsRenamed({k: f"_edge{n}" for n, k in enumerate([*self._by, "_i"])})
+        by = [*self._by, "_chunk"]
+        same = [rows[k].eqNullSafe(edges[f"_edge{n}"]) for n, k in enumerate([*self._by, "_i"])]
+        if held_bytes(edges) <= BROADCAST_BYTES:
+            joined = rows.join(F.broadcast(edges), same, "left")
+        else:
+            joined = _tables(rows.join(edges, same, "left"), by, rows.count())
+        return joined.drop(*edges.columns[:len(same)]).sortWithinPartitions(*by, "_i")
 
     def _e_step(self, rows: DataFrame, split: bool) -> np.ndarray:
-        params, by = self.params, self._by
+        params = self.params
         even = np.full(len(params.start), 1.0 / len(params.start))
 
-        def statistics(data: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-            data = data.sort_values("_i")
-            x = np.stack(data["_x"].to_numpy())
-            first = int(data["_chunk"].iloc[0]) == 0
-            ahead, behind = (np.asarray(edges[c].iloc[0], float) for c in ("_ahead", "_behind"))
-            return pd.DataFrame({"_s": [expectations(params, x, first, ahead, behind)]})
-
-        def whole(data: pa.Table) -> pa.Table:
-            x = _vectors(data.take(_by_position(data)))
-            found = expectations(params, x, True, params.start, even)
-            return pa.table({"_s": pa.array([found], pa.list_(pa.float64()))})
-
-        if split:
-            edges = self._messages(rows, best=False)
-            parts = (rows.groupBy(*by, "_chunk").cogroup(edges.groupBy(*by, "_chunk"))
-                     .applyInPandas(statistics, "_s array<double>"))
-        else:
-            parts = rows.groupBy(*by, "_chunk").applyInArrow(whole, "_s array<double>")
-        # sums of a fixed number of statistics
-        sums = (parts.select(F.posexplode("_s").alias("_pos", "_v")).groupBy("_pos")
-                .agg(F.sum("_v").alias("_v")).orderBy("_pos").collect())
+        def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0
+            for table, lengths in _rows_by_chunk(batches, TABLE_ROWS):
+                heads = table.take(np.cumsum(lengths) - lengths)
+                first = heads.column("_chunk").to_numpy() == 0
+                ahead, behind = (np.array(heads.column(c).to_pylist(), float) if split else np.tile(d, (len(lengths), 1))
+                                 for c, d in (("_ahead", params.start), ("_behind", even)))
+                total = total + expectations(params, _vectors(table), lengths, first, ahead, behind)
+            if np.ndim(total):
+                yield pa.RecordBatch.from_pydict({"_s": pa.array([total], pa.list_(pa.float64()))})
+
+        ready = self._with_messages(rows, split, best=False).select("_i", "_chunk", "_x", *(["_ahead", "_behind"] if split else []))
+        parts = ready.mapInArrow(statistics, "_s array<double>")
+        if rows.rdd.getNumPartitions() <= FEW_TASKS:
+            # a fixed number of statistics from each of a few tasks
+            return np.sum([r["_s"] for r in parts.collect()], axis=0)
+        sums = (parts.select(F.posexplode("_s").alias("_pos", "_v")).groupBy("_pos").agg(F.sum("_v").alias("_v")).orderBy("_pos").collect())
         return np.array([r["_v"] for r in sums])
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -287,36 +334,30 @@ class HiddenMarkov:
 
         The path runs over complete rows; a row with a missing sensor has null there.
         """
-        params, by = self.params, self._by
+        params = self.params
         keep = list(df.columns)
         complete = F.lit(True)
         for c in self.scaler.cols:
             complete = complete & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
         rows, split = self._chunks(df.filter(complete), keep)
         schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("state", T.IntegerType())])
-        log_start = np.log(params.start + TINY)
-
-        def decode(data: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-            data = data.sort_values("_i")
-            x = np.stack(data["_x"].to_numpy())
-            first = int(data["_chunk"].iloc[0]) == 0
-            before, last = np.asarray(edges["_ahead"].iloc[0], float), int(edges["_behind"].iloc[0][0])
-            out = data[keep].copy()
-            out["state"] = best_path(params, x, first, before, last)
-            return out
-
-        def decode_whole(data: pa.Table) -> pa.Table:
-            data = data.take(_by_position(data))
-            path = best_path(params, _vectors(data), True, log_start, None)
-            return data.select(keep).append_column("state", pa.array(path, pa.int32()))
+        log_start, log_move = np.log(params.start + TINY), np.log(params.move + TINY)
+
+        def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table, lengths in _rows_by_chunk(batches, TABLE_ROWS):
+                c, heads = Chunks.of(lengths), table.take(np.cumsum(lengths) - lengths)
+                first = heads.column("_chunk").to_numpy() == 0
+                before = np.array(heads.column("_ahead").to_pylist(), float) if split else np.tile(log_start, (len(lengths), 1))
+                last = np.array([v[0] for v in heads.column("_behind").to_pylist()], int) if split else np.full(len(lengths), -1)
+                b, scale, _ = _emission(params, _vectors(table))
+                path = best_paths(c, np.log(b + TINY) + scale[:, None], log_move, first[c.place], before[c.place], last[c.place])
+                yield from table.select(keep).append_column("state", pa.array(path, pa.int32())).to_batches()
 
         if split:
+            by = [*self._by, "_chunk"]
             rows = durable(rows)
-            edges = self._messages(rows, best=True)
-            done = (rows.groupBy(*by, "_chunk").cogroup(edges.groupBy(*by, "_chunk"))
-                    .applyInPandas(decode, schema))
-        else:
-            done = rows.groupBy(*by, "_chunk").applyInArrow(decode_whole, schema)
+            rows = _tables(rows, by, rows.count())
+        done = self._with_messages(rows, split, best=True).mapInArrow(decode, schema)
         done = done.unionByName(df.filter(~complete).withColumn("state", F.lit(None).cast("int")))
         if not self.labels:
             return done
@@ -332,7 +373,7 @@ def _start(df: DataFrame, scaler: Scaler, s: int, m: int, seed: int) -> Paramete
     scaled = df.select(*[scaler.scaled(c).alias(n) for c, n in zip(scaler.cols, names)])
     ready = keep_cached(VectorAssembler(inputCols=names, outputCol="_v").transform(scaled).select("_v"))
     try:
-        found = KMeans(k=s * m, featuresCol="_v", seed=seed, maxIter=300).fit(ready).clusterCenters()
+        found = KMeans(k=s * m, featuresCol="_v", seed=seed, maxIter=START_ROUNDS).fit(ready).clusterCenters()
     finally:
         ready.unpersist()
     centres = np.array(sorted(map(tuple, found)))

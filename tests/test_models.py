@@ -339,3 +339,60 @@ def test_lag_forecaster_flags_the_spike(season, learner):
     assert {(1, 100), (2, 100)} <= hits
     with pytest.raises(ValueError, match="unknown learner"):
         windows.LagForecaster.fit(season, 7, "cells", key="series_id")
+
+
+def test_markov_steps_of_many_chunks(spark):
+    """All chunks together against one after the other, row by row."""
+    from lynceus.functions import markov_steps as steps
+
+    r = np.random.default_rng(3)
+    lengths, s = np.array([4, 1, 7, 7, 2]), 3
+    b, move = r.random((21, s)) + 0.1, r.dirichlet(np.ones(s), s)
+    first, ahead, behind = np.array([True, False, True, False, False]), r.dirichlet(np.ones(s), 5), r.dirichlet(np.ones(s), 5)
+    c = steps.Chunks.of(lengths)
+    alpha, norm = steps.forward(c, b, move, first[c.place], ahead[c.place])
+    beta = steps.backward(c, b, move, behind[c.place])
+    through = steps.transfers(c, b, move, first[c.place])
+    log_b, log_move = np.log(b), np.log(move)
+    last = np.array([-1, 2, -1, 0, 1])
+    path = steps.best_paths(c, log_b, log_move, first[c.place], np.log(ahead)[c.place], last[c.place])
+    scores = steps.best_transfers(c, log_b, log_move, first[c.place])
+    for k, (a, n) in enumerate(zip(np.cumsum(lengths) - lengths, lengths)):
+        message, total, score, came = ahead[k], np.eye(s), np.log(ahead[k]), []
+        for t in range(n):
+            step = np.eye(s) if first[k] and t == 0 else move
+            message = message @ step * b[a + t]
+            assert np.allclose(alpha[a + t], message / message.sum()) and np.isclose(norm[a + t], message.sum())
+            message, total = message / message.sum(), total @ step * b[a + t]
+            options = score[:, None] + np.log(step + 1e-300)
+            came.append(options.argmax(axis=0))
+            score = options.max(axis=0) + log_b[a + t]
+        assert np.allclose(through[list(c.place).index(k)], total / total.sum())
+        assert np.allclose((np.log(ahead[k])[:, None] + scores[list(c.place).index(k)]).max(axis=0), score)
+        state = score.argmax() if last[k] < 0 else last[k]
+        for t in range(n - 1, -1, -1):
+            assert path[a + t] == state
+            state = came[t][state]
+        back = behind[k] / behind[k].sum()
+        for t in range(n - 1, -1, -1):
+            assert np.allclose(beta[a + t], back)
+            back = move @ (b[a + t] * back)
+            back = back / back.sum()
+
+
+def test_squared_em_climbs_faster_and_never_falls():
+    """A slow linear map: the longer steps need a fraction of the rounds, and a worse one is taken back."""
+    like = hidden_markov.Parameters(np.array([1.0]), np.array([[1.0]]), np.array([[1.0]]), np.zeros((1, 1, 2)), np.ones((1, 1, 2)))
+    rates, goal, rounds = np.array([0.97, 0.6]), np.array([3.0, -2.0]), []
+
+    def round_of(p):
+        rounds.append(1)
+        mean = p.mean[0, 0]
+        return hidden_markov.Parameters(p.start, p.move, p.weight, (goal + rates * (mean - goal)).reshape(1, 1, 2), p.var), -1e3 - ((mean - goal) ** 2).sum()
+
+    best, kept = hidden_markov.squared_em(round_of, like, 1000, 1e-9)
+    assert all(b >= a for a, b in zip(kept, kept[1:])) and np.abs(best.mean[0, 0] - goal).max() < 0.01 and len(rounds) < 60
+    plain, n = like, 0
+    while np.abs(plain.mean[0, 0] - goal).max() >= 0.01:
+        plain, n = round_of(plain)[0], n + 1
+    assert n > 3 * (len(rounds) - n)
