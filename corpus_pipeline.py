@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lynceus.llm import exact_dedup, language_id, mixing, near_dup, packing
-from lynceus.session import new_folder
+from lynceus.session import new_folder, scoped_steps
 
 
 #: Documents of the pipeline whose shingle sets are this similar, in percent, are near copies; op4_hamming_join asks for more.
@@ -57,10 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of a folder, each written to the shared folder and read again."""
+    """All stages on the documents of a folder, each written to the shared folder and read again; a stage's own tables go with it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = new_folder(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scoped_steps(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

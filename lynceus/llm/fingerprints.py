@@ -7,6 +7,8 @@ a phrase begins at each label that exceeds both neighbours, and is named by a
 hash of its symbols.  Phrases are the next level's symbols.  Boundaries depend on
 near symbols only, so equal passages get equal phrases inside, wherever they
 stand.  The fingerprint is a bottom-k sketch of the phrase names from the third level up.
+A text with too few of those takes the names of the first two levels too, and one of a
+word or a few, with still too few, those of its pairs of neighbouring characters.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 from lynceus.llm.rows import addressed, free_name, number_rows
 from lynceus.llm.tokens import slices
 
-#: Names in a fingerprint, levels whose names are not used, and levels in all.
+#: Names in a fingerprint, the first level that every text takes names from, and levels in all.
 SKETCH, BELOW, LEVELS = 64, 3, 12
+#: A text with fewer names than this from all levels takes those of its character pairs.
+FEW = 16
 SLICE = 1_000_000
 #: Rows of a block at least, and blocks at most: a bound on what the driver holds of the order.
 BLOCK_ROWS, MOST_BLOCKS = 2_048, 20_000
@@ -89,12 +93,24 @@ def sketches(texts: list[str]) -> list[np.ndarray]:
         x = np.frombuffer("".join(texts[i] for i in given).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         x = _mix(x + np.uint64(1))
         first = np.concatenate(([0], np.cumsum([len(texts[i]) for i in given])))[:-1]
-        text, found = np.arange(len(given)), []
+        text, found, low = np.arange(len(given)), [], []
+
+        def named(x: np.ndarray, count: np.ndarray, level: int) -> np.ndarray:
+            """Each symbol's text in the upper half, a name of the symbol at this level in the lower."""
+            return (np.repeat(text, count).astype(np.uint64) << np.uint64(32)) | (_mix(x + np.uint64(level)) >> np.uint64(32))
+
+        count, ends = np.diff(first, append=len(x)), np.append(first[1:], len(x)) - 1
+        right = np.append(x[1:], x[:1])
+        right[ends] = 0
+        # the last character of a text has no right neighbour; it counts only where it is the only one
+        whole = np.ones(len(x), bool)
+        whole[ends] = count == 1
+        pairs = named(_mix(x * _PLACES[0] + right * _PLACES[1]), count, 0)[whole]
         for level in range(1, LEVELS + 1):
             x, first = _parsed(x, first)
             count = np.diff(first, append=len(x))
+            (found if level >= BELOW else low).append(named(x, count, level))
             if level >= BELOW:
-                found.append((np.repeat(text, count).astype(np.uint64) << np.uint64(32)) | (_mix(x + np.uint64(level)) >> np.uint64(32)))
                 # a text that is one phrase has no more to say
                 stay = count > 1
                 if not stay.any():
@@ -103,6 +119,9 @@ def sketches(texts: list[str]) -> list[np.ndarray]:
                     x = x[np.repeat(stay, count)]
                     text, first = text[stay], np.concatenate(([0], np.cumsum(count[stay])))[:-1]
         names = np.unique(np.concatenate(found))
+        for more, enough in ((np.concatenate(low), SKETCH), (pairs, FEW)):
+            wanted = np.bincount((names >> np.uint64(32)).astype(np.int64), minlength=len(given)) < enough
+            names = np.unique(np.concatenate([names, more[wanted[(more >> np.uint64(32)).astype(np.int64)]]]))
         edges = np.searchsorted(names, np.arange(len(given) + 1, dtype=np.uint64) << np.uint64(32))
         for k, i in enumerate(given):
             out[i] = names[edges[k]:min(edges[k + 1], edges[k] + SKETCH)].astype(np.uint32)

@@ -141,10 +141,10 @@ def best_fit(lengths: list[int], capacity: int, open_bins: int, slack: int, last
     return where, offset
 
 
-def _packer(level: int, few: bool, last: bool, capacity: int, open_bins: int, per_packer: int, slack: int):
+def _packer(level: int, last: bool, capacity: int, open_bins: int, per_packer: int, slack: int):
     """What one packer does with its rows."""
     def packed(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("length", "descending"), ("row_no", "ascending")] if few else "row_no")
+        group = group.sort_by("row_no")
         number = group["row_no"][0].as_py() // per_packer
         where, offset = best_fit(group["length"].to_pylist(), capacity, open_bins, slack, last)
         where = np.asarray(where, np.int64)
@@ -167,13 +167,12 @@ def pack(cut: DataFrame, capacity: int, open_bins: int = 1024, per_packer: int =
         numbered = number_rows(todo.withColumn("turn", F.xxhash64(F.lit(seed + level), "id", "piece", "ids_crc32")),
                                [F.col("turn"), F.col("row_at"), F.col("piece")], "row_no")
         n = numbered.count()
-        # few pieces fill best when the longest come first; else the last packer is the one that gets nowhere
-        few = n <= 2 * open_bins
-        last = few or (n <= per_packer and before is not None and 2 * n > before)
+        # one packer ends the work when another random order doesn't halve what stays open
+        last = n <= per_packer and before is not None and 2 * n >= before
         before = n
         run = F.call_function("div", F.col("row_no"), F.lit(per_packer))
         done = durable(numbered.withColumn("packer", run).groupBy("packer").applyInArrow(
-            _packer(level, few, last, capacity, open_bins, per_packer, slack), schema))
+            _packer(level, last, capacity, open_bins, per_packer, slack), schema))
         placed = done.filter("sequence_id >= 0")
         kept = placed if kept is None else kept.unionByName(placed)
         if last:

@@ -12,7 +12,7 @@ from lynceus.llm.catalog import query, table
 def hamming_join(spark, d):
     rows = near_dup.group_near_duplicates(table(spark, d, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id",
-                       (F.col("id") == F.col("component_id")).alias("kept"))
+                       F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 @query("op10_local_parsing")

@@ -132,3 +132,31 @@ def test_frequent_pieces_are_the_frequent_ones(documents):
     true = Counter(x for r in documents.collect() for x in r["text"].split(" "))
     top = [r["piece"] for r in token_counts.frequent_pieces(documents, "text", 64).orderBy("n", ascending=False).limit(10).collect()]
     assert set(top) == {x for x, _ in true.most_common(10)}
+
+
+def naive_best_fit(lengths, capacity, open_bins):
+    """Search all open sequences for the tightest (of equally tight ones the last touched); the fullest closes when there are too many."""
+    bins, out = [], []  # [free, touched, name]
+    made = 0
+    for at, need in enumerate(lengths):
+        fits = [b for b in bins if b[0] >= need]
+        if fits:
+            chosen = min(fits, key=lambda b: (b[0], -b[1]))
+            bins.remove(chosen)
+        else:
+            if len(bins) == open_bins:
+                bins.remove(min(bins, key=lambda b: (b[0], -b[1])))
+            chosen, made = [capacity, 0, made], made + 1
+        out.append((chosen[2], capacity - chosen[0]))
+        if chosen[0] > need:
+            bins.append([chosen[0] - need, at, chosen[2]])
+    return out
+
+
+@pytest.mark.parametrize("capacity,open_bins,n", [(10, 3, 200), (64, 1, 100), (1024, 50, 700), (7, 100, 60)])
+def test_best_fit_against_a_naive_search(capacity, open_bins, n):
+    r = np.random.default_rng(capacity + n)
+    lengths = np.minimum(capacity, r.geometric(3 / capacity, n)).tolist()
+    assert list(zip(*packing.best_fit(lengths, capacity, open_bins, 4, True))) == naive_best_fit(lengths, capacity, open_bins)
+    where, offset = packing.best_fit(lengths, capacity, open_bins, 4, False)
+    assert all(w in (-1, x) and o == y for w, o, (x, y) in zip(where, offset, naive_best_fit(lengths, capacity, open_bins)))

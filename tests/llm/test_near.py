@@ -17,7 +17,7 @@ def shingles(text):
     return frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def brute(rows):
+def brute(rows, percent=85):
     """Component id and set size of every row, by comparing all pairs."""
     sets = [shingles(r["text"]) for r in rows]
     root = list(range(len(rows)))
@@ -29,7 +29,7 @@ def brute(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             both = len(a & sets[j])
-            if a and sets[j] and 100 * both >= 85 * (len(a) + len(sets[j]) - both):
+            if a and sets[j] and 100 * both >= percent * (len(a) + len(sets[j]) - both):
                 root[find(i)] = find(j)
     least = {}
     for i, r in enumerate(rows):
@@ -121,6 +121,21 @@ def test_equal_passages_share_phrases_at_any_offset():
     a, b = fingerprints.sketches([sentence(2, 50) + passage, "x" + passage + sentence(3, 60)])
     assert fingerprints.likeness(a, b) > 0.5
     assert fingerprints.likeness(*fingerprints.sketches([passage, sentence(4, 400)])) < 0.1
-    assert fingerprints.sketches(["aaaa" * 5000])[0].size == 1
+    # a run is one symbol: one name at each of three levels, and one pair of characters
+    assert fingerprints.sketches(["aaaa" * 5000])[0].size == 4
     one, many = fingerprints.sketches([passage])[0], fingerprints.sketches(["q", passage, "", sentence(5, 9)])[1]
     assert (one == many).all()
+
+
+def test_short_texts_share_names_with_their_halves():
+    """Whenever half of a text of two words or more is kept, however short, some name is kept; strangers share few."""
+    r, strange = random.Random(9), []
+    for words in (*range(2, 13), 20, 40):
+        for _ in range(60):
+            text, after = (" ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(words)) for _ in "ab")
+            a, b, c = fingerprints.sketches([text, fingerprints.edited(text, after), after])
+            assert fingerprints.likeness(a, b) > 0, text
+            strange.append(fingerprints.likeness(a, c))
+    assert np.mean(strange) < 0.05
+    alone = [fingerprints.sketches([t])[0] for t in ("x", "a b", "", "xy" * 300)]
+    assert all(np.array_equal(p, q) for p, q in zip(alone, fingerprints.sketches(["x", "a b", "", "xy" * 300])))

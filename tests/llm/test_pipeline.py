@@ -25,7 +25,7 @@ def test_stages(spark, tmp_path):
     for r in language:
         last[r["text"]] = max(last.get(r["text"], -1), r["doc_id"])
     assert {r["doc_id"] for r in exact} == set(last.values())
-    assert {r["doc_id"] for r in near} == {c for _, _, c in brute(exact)}
+    assert {r["doc_id"] for r in near} == {c for _, _, c in brute(exact, corpus_pipeline.NEAR_PERCENT)}
     assert {r["doc_id"] for r in mixed} <= {r["doc_id"] for r in near}
     assert Counter(r["doc_id"] for r in mixed) == Counter(r["doc_id"] for r in packed if r["piece"] == 0)
 
