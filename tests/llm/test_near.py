@@ -3,8 +3,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from lynceus.llm import components as links_of
 from lynceus.llm import fingerprints, near_dup
 from lynceus.llm.components import components
 from tests.llm.conftest import sentence
@@ -93,6 +95,26 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("bound", [2, 256])
+def test_components_with_hot_nodes(spark, monkeypatch, bound):
+    """Nodes of more links than the bound get their least neighbour by broadcast; components are the same."""
+    monkeypatch.setattr(links_of, "HOT_LINKS", bound)
+    r = random.Random(5)
+    pairs = [(7, i) for i in range(100, 420)] + [(i, i + 1) for i in range(500, 520)] + [(419, 2), (3, 3), (None, 4), (9, None)]
+    pairs += [(r.randrange(1000, 1100), r.randrange(1000, 1100)) for _ in range(60)] + pairs[:5]
+    root = {n: n for p in pairs if None not in p and p[0] != p[1] for n in p}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if a in root and b in root and root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    found = components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {(r["node"], r["root"]) for r in found} == set(root.items()) and len(found) == len(root)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_fingerprints(documents, awkward, nothing):
     for docs in (documents, awkward):
         rows = docs.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit("")))).collect()
