@@ -1,8 +1,10 @@
 """Decision tree and random forest with a grid search over hash-assigned folds.
 
-A tree of less depth, or with a larger least gain, is a larger tree cut short,
-and a forest of fewer trees is the first ones of a larger forest.  So each fold grows the
-largest candidate once, and the held-out rows are scored for all of its cuts in one pass.
+A tree of less depth, or with a larger least gain, is a larger tree cut short, and
+cost-complexity pruning (``ccp_alpha``) cuts it further from its node statistics.  So each fold
+grows the largest candidate once, and the held-out rows are scored for all of its cuts in one
+pass.  A forest of fewer trees is taken for the first ones of a larger forest, which
+approximates a search that fits each of them.
 """
 
 from __future__ import annotations
@@ -19,15 +21,15 @@ from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassi
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.operators.eda import Scaler
-from lynceus.session import keep_cached, new_folder
+from lynceus.session import drop_steps, keep_cached, new_folder
 
 # The full search grids.  Log loss and entropy are the same
-# criterion; cost-complexity pruning is stood in for by a minimum gain.
+# criterion; a minimum gain stands in for ccp_alpha unless a grid names that.
 TREE_GRID = {"impurity": ["gini", "entropy"], "minInfoGain": [0.1, 0.01, 0.001],
              "maxDepth": [2, 3, 4, 5, 6, 7, 8, 9]}
 FOREST_GRID = {"numTrees": [10, 50, 100], "minInfoGain": [0.1, 0.01, 0.001], "maxDepth": [2, 3, 4, 5]}
@@ -65,62 +67,166 @@ class TreeClassifier:
 
 #: Parameters whose candidates are cuts of one model, beside the impurity.
 CUTS = ("numTrees", "minInfoGain", "maxDepth")
+PRUNING = "ccp_alpha"
+
+
+def _stored(model, spark, path: str) -> DataFrame:
+    model.write().overwrite().save(path)
+    rows = spark.read.parquet(f"{path}/data")
+    return rows.select("treeID", "nodeData.*") if "nodeData" in rows.columns else rows.withColumn("treeID", F.lit(0))
 
 
 def _nodes(model, spark) -> list[dict[str, np.ndarray]]:
-    """The nodes of each tree, as arrays by node number, from the model's stored form."""
+    """The nodes of each tree, as arrays by node number (parents before children), from the model's stored form."""
     path = new_folder(spark, "trees")
-    model.write().save(path)
-    rows = spark.read.parquet(f"{path}/data")
-    rows = rows.select("treeID", "nodeData.*") if "nodeData" in rows.columns else rows.withColumn("treeID", F.lit(0))
-    found = rows.select("treeID", "id", "impurityStats", "gain", "leftChild", "rightChild", F.col("split.featureIndex").alias("feature"),
-                        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("at")).toPandas()
+    try:
+        found = _stored(model, spark, path).select(
+            "treeID", "id", "impurity", "impurityStats", "gain", "leftChild", "rightChild", F.col("split.featureIndex").alias("feature"),
+            F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("at")).toPandas()
+    finally:
+        drop_steps(spark, [path])
     out = []
     for _, tree in found.sort_values(["treeID", "id"]).groupby("treeID"):
         votes = np.stack(tree["impurityStats"].to_numpy())
-        out.append({"votes": votes / np.maximum(votes.sum(axis=1, keepdims=True), 1e-300),
+        weight = votes.sum(axis=1)
+        out.append({"votes": votes / np.maximum(weight[:, None], 1e-300), "risk": tree["impurity"].to_numpy() * weight / max(weight[0], 1e-300),
                     **{c: tree[c].to_numpy() for c in ("gain", "leftChild", "rightChild", "feature")},
                     "at": tree["at"].fillna(0.0).to_numpy()})
     return out
 
 
-def cut_hits(x: np.ndarray, label: np.ndarray, trees: list[dict], counts: Sequence[int], gains: Sequence[float],
-             depths: Sequence[int]) -> np.ndarray:
-    """Right predictions of every cut: counts x gains x depths."""
-    hits, row = np.zeros((len(counts), len(gains), len(depths)), np.int64), np.arange(len(x))
-    for g, gain in enumerate(gains):
-        votes = np.zeros((len(depths), len(x), trees[0]["votes"].shape[1]))
-        for number, tree in enumerate(trees, 1):
-            node = np.zeros(len(x), np.int64)
-            for level in range(max(depths) + 1):
-                if level in depths:
-                    votes[depths.index(level)] += tree["votes"][node]
-                split = (tree["leftChild"][node] >= 0) & (tree["gain"][node] >= gain)
-                left = x[row, np.maximum(tree["feature"][node], 0)] <= tree["at"][node]
-                node = np.where(split, np.where(left, tree["leftChild"][node], tree["rightChild"][node]), node)
-            if number in counts:
-                hits[counts.index(number), g] = (votes.argmax(axis=2) == label).sum(axis=1)
+def splitting(tree: Mapping[str, np.ndarray], gain: float, depth: int) -> np.ndarray:
+    """Which nodes split in the tree of this least gain and depth; a split into leaves of one prediction is none, as in a fitted tree."""
+    left, right, best = tree["leftChild"], tree["rightChild"], tree["votes"].argmax(axis=1)
+    splits, level = np.zeros(len(left), bool), np.full(len(left), depth)
+    level[0] = 0
+    for i in range(len(left)):
+        if left[i] >= 0 and tree["gain"][i] >= gain and level[i] < depth:
+            splits[i] = True
+            level[left[i]] = level[right[i]] = level[i] + 1
+    for i in np.flatnonzero(splits)[::-1]:
+        splits[i] = splits[left[i]] or splits[right[i]] or best[left[i]] != best[right[i]]
+    return splits
+
+
+def pruning_strengths(tree: Mapping[str, np.ndarray], splits: np.ndarray) -> np.ndarray:
+    """For every node that splits, the least alpha of cost-complexity pruning that makes it go; -1 for others.
+
+    The weakest link goes first: the node whose subtree lowers the risk (impurity
+    by share of rows) least for each leaf that it adds.  What hangs below it goes with it.
+    """
+    left, right, risk = tree["leftChild"], tree["rightChild"], tree["risk"]
+    alive, strength = splits.copy(), np.full(len(left), -1.0)
+    leaves, below, parent = np.ones(len(left)), risk.astype(float), np.full(len(left), -1)
+    for i in np.flatnonzero(splits)[::-1]:
+        parent[left[i]] = parent[right[i]] = i
+        leaves[i], below[i] = leaves[left[i]] + leaves[right[i]], below[left[i]] + below[right[i]]
+    reached = 0.0
+    while alive.any():
+        at = np.flatnonzero(alive)
+        links = (risk[at] - below[at]) / (leaves[at] - 1)
+        weakest = int(at[links.argmin()])
+        reached = max(reached, float(links.min()))
+        fewer, more, above = leaves[weakest] - 1, risk[weakest] - below[weakest], weakest
+        while above >= 0:
+            leaves[above], below[above], above = leaves[above] - fewer, below[above] + more, parent[above]
+        going = [weakest]
+        while going:
+            i = going.pop()
+            if alive[i]:
+                alive[i], strength[i] = False, reached
+                going += [left[i], right[i]]
+    return strength
+
+
+def _leaf_of(tree: Mapping[str, np.ndarray], splits: np.ndarray) -> np.ndarray:
+    """For every node, the leaf of the cut tree that its rows fall into."""
+    out = np.zeros(len(splits), np.int64)
+    for i in range(len(splits)):
+        for child in (tree["leftChild"][i], tree["rightChild"][i]):
+            if child >= 0:
+                out[child] = child if out[i] == i and splits[i] else out[i]
+    return out
+
+
+def cut_leaves(tree: Mapping[str, np.ndarray], gains: Sequence[float], depths: Sequence[int], alphas: Sequence[float]) -> np.ndarray:
+    """gains x depths x alphas x nodes: the leaf of every node in every cut.  An alpha of 0 prunes nothing."""
+    out = np.empty((len(gains), len(depths), len(alphas), len(tree["gain"])), np.int64)
+    for (g, gain), (d, depth) in product(enumerate(gains), enumerate(depths)):
+        splits = splitting(tree, gain, depth)
+        strength = pruning_strengths(tree, splits) if any(alphas) else None
+        for a, alpha in enumerate(alphas):
+            out[g, d, a] = _leaf_of(tree, splits & (strength > alpha) if alpha else splits)
+    return out
+
+
+def cut_hits(x: np.ndarray, label: np.ndarray, trees: list[dict], leaves: list[np.ndarray], counts: Sequence[int]) -> np.ndarray:
+    """Right predictions of every cut: counts x gains x depths x alphas.  Rows walk each tree once, to its last leaf."""
+    shape, row = leaves[0].shape[:3], np.arange(len(x))
+    hits, votes = np.zeros((len(counts), *shape), np.int64), np.zeros((*shape, len(x), trees[0]["votes"].shape[1]))
+    for number, (tree, cuts) in enumerate(zip(trees, leaves), 1):
+        node = np.zeros(len(x), np.int64)
+        while (split := tree["leftChild"][node] >= 0).any():
+            left = x[row, np.maximum(tree["feature"][node], 0)] <= tree["at"][node]
+            node = np.where(split, np.where(left, tree["leftChild"][node], tree["rightChild"][node]), node)
+        for cut in np.ndindex(shape):
+            votes[cut] += tree["votes"][cuts[cut][node]]
+        if number in counts:
+            hits[counts.index(number)] = (votes.argmax(axis=4) == label).sum(axis=3)
     return hits
 
 
+def pruned(model, alpha: float, spark):
+    """The fitted tree or forest after cost-complexity pruning of every tree; the model itself where alpha is 0."""
+    if not alpha:
+        return model
+    keeps = []
+    for tree in _nodes(model, spark):
+        leaf = _leaf_of(tree, pruning_strengths(tree, tree["leftChild"] >= 0) > alpha)
+        kept = np.flatnonzero(leaf == np.arange(len(leaf)))
+        # children of a kept node are kept both or not at all
+        keeps.append({int(old): new for new, old in enumerate(kept)})
+    path = new_folder(spark, "pruned")
+    try:
+        model.write().save(path)
+        stored = spark.read.parquet(f"{path}/data")
+        rows = []
+        for row in stored.collect():
+            row = row.asDict(recursive=True)
+            node, names = row.get("nodeData", row), keeps[row.get("treeID", 0)]
+            if node["id"] not in names:
+                continue
+            if node["leftChild"] not in names:
+                node.update(leftChild=-1, rightChild=-1, gain=-1.0,
+                            split={"featureIndex": -1, "leftCategoriesOrThreshold": [], "numCategories": -1})
+            node.update(id=names[node["id"]], leftChild=names.get(node["leftChild"], -1), rightChild=names.get(node["rightChild"], -1))
+            rows.append(row)
+        spark.createDataFrame(rows, stored.schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/data")
+        return type(model).load(path)
+    finally:
+        drop_steps(spark, [path])
+
+
 def _accuracies(prepared: DataFrame, learner, grid: Mapping[str, Sequence], folds: int, parallelism: int) -> dict[tuple, float]:
-    """Mean accuracy over the folds of every combination (impurity, numTrees, minInfoGain, maxDepth)."""
+    """Mean accuracy over the folds of every combination (impurity, numTrees, minInfoGain, maxDepth), and ccp_alpha if the grid has it."""
     spark = prepared.sparkSession
     def default(name):
         return learner.getOrDefault(name) if learner.hasParam(name) else 1
     values = {name: sorted(grid.get(name, [default(name)])) for name in CUTS}
     counts, gains, depths = (values[name] for name in CUTS)
+    alphas = sorted(grid.get(PRUNING, [0.0]))
 
     def one(impurity: str, fold: int) -> np.ndarray | None:
         largest = {"impurity": impurity, "minInfoGain": gains[0], "maxDepth": depths[-1], "numTrees": counts[-1]}
         model = learner.copy({learner.getParam(n): v for n, v in largest.items() if learner.hasParam(n)}).fit(
             prepared.filter(F.col("_fold") != fold))
         trees = _nodes(model, spark)
+        leaves = [cut_leaves(tree, gains, depths, alphas) for tree in trees]
 
         def score(batches):
             for pdf in batches:
                 if len(pdf):
-                    found = cut_hits(np.stack(pdf["x"].to_numpy()), pdf["label"].to_numpy(), trees, counts, gains, depths).ravel()
+                    found = cut_hits(np.stack(pdf["x"].to_numpy()), pdf["label"].to_numpy(), trees, leaves, counts).ravel()
                     yield pd.DataFrame({"cut": np.arange(len(found)), "hits": found, "n": len(pdf)})
 
         held = prepared.filter(F.col("_fold") == fold).select(vector_to_array("_features").alias("x"), F.col("_label").alias("label"))
@@ -134,7 +240,7 @@ def _accuracies(prepared: DataFrame, learner, grid: Mapping[str, Sequence], fold
         out = {}
         for impurity, parts in jobs.items():
             found = [r for r in (job.result() for job in parts) if r is not None]
-            for key, mean in zip(product(counts, gains, depths), np.mean(found, axis=0)):
+            for key, mean in zip(product(counts, gains, depths, *([alphas] if PRUNING in grid else [])), np.mean(found, axis=0)):
                 out[(impurity, *key)] = float(mean)
     return out
 
@@ -151,20 +257,21 @@ def _fit(df: DataFrame, cols: Sequence[str], target: str, learner, grid: Mapping
     index = StringIndexer(inputCol="_target", outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
     prepared = keep_cached(index.transform(assemble.transform(rows)).select("_features", "_label", "_fold"))
     try:
-        builder = ParamGridBuilder()
-        for name, values in grid.items():
-            builder = builder.addGrid(learner.getParam(name), list(values))
-        choices = builder.build()
-        if len(choices) == 1:
+        of = [dict(zip(grid, values)) for values in product(*grid.values())]
+        choices = [{learner.getParam(n): v for n, v in c.items() if n != PRUNING} for c in of]
+        if len(of) == 1:
+            best = of[0]
             fitted = learner.fit(prepared, choices[0])
-            best = choices[0]
-        elif set(grid) <= {"impurity", *CUTS}:
+        elif set(grid) <= {"impurity", PRUNING, *CUTS}:
             found = _accuracies(prepared, learner, grid, folds, parallelism)
-            of = [{p.name: v for p, v in c.items()} for c in choices]
+            names = ("impurity", *CUTS, *([PRUNING] if PRUNING in grid else []))
             def full(c):
-                return tuple(c.get(n, learner.getOrDefault(n) if learner.hasParam(n) else 1) for n in ("impurity", *CUTS))
-            best = choices[max(range(len(choices)), key=lambda i: (found[full(of[i])], -i))]
-            fitted = learner.fit(prepared, best)
+                return tuple(c.get(n, learner.getOrDefault(n) if learner.hasParam(n) else 1) for n in names)
+            chosen = max(range(len(of)), key=lambda i: (found[full(of[i])], -i))
+            best = of[chosen]
+            fitted = learner.fit(prepared, choices[chosen])
+        elif PRUNING in grid:
+            raise ValueError(f"{PRUNING} is searched beside {', '.join(('impurity', *CUTS))}, not beside {sorted(set(grid) - {PRUNING})}")
         else:
             search = CrossValidator(
                 estimator=learner, estimatorParamMaps=choices, numFolds=folds, foldCol="_fold",
@@ -173,12 +280,13 @@ def _fit(df: DataFrame, cols: Sequence[str], target: str, learner, grid: Mapping
             result = search.fit(prepared)
             fitted = result.bestModel
             scores = result.avgMetrics
-            best = choices[max(range(len(scores)), key=lambda i: (scores[i], -i))]
+            best = of[max(range(len(scores)), key=lambda i: (scores[i], -i))]
+        fitted = pruned(fitted, best.get(PRUNING, 0.0), df.sparkSession)
     finally:
         prepared.unpersist()
     back = IndexToString(inputCol="prediction", outputCol="y_pred", labels=index.labels)
     model = PipelineModel([assemble, fitted, back])
-    return TreeClassifier(scaler, model, {p.name: v for p, v in best.items()})
+    return TreeClassifier(scaler, model, dict(best))
 
 
 def fit_tree(df: DataFrame, cols: Sequence[str], target: str = "target", grid: Mapping | None = None,
