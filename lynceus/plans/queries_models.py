@@ -198,7 +198,7 @@ def _binned(spark, d):
 
 @query("bn_structure")
 def bn_structure(spark, d):
-    rows = eda.QuantileBinner.fit(s.unit_days(spark, d), s.UNIT_FEATURES, 5).transform(s.unit_days(spark, d))
+    rows = eda.QuantileBinner.fit(s.unit_days(spark, d), s.UNIT_FEATURES).transform(s.unit_days(spark, d))
     edges = bayes_net.learn_structure(rows.select(*s.UNIT_FEATURES), s.UNIT_FEATURES)
     return spark.createDataFrame(edges, "parent string, child string")
 
@@ -241,7 +241,7 @@ def bn_predict(spark, d):
 @query("bayes_net")
 def bayes_net_query(spark, d):
     rows = s.unit_days(spark, d).withColumn("target", F.expr(NB_CLASS))
-    out = bayes_net.BayesNet.fit(rows, NB_COLS, bins=5).transform(rows)
+    out = bayes_net.BayesNet.fit(rows, NB_COLS).transform(rows)
     return metrics.confusion(out, "target", "y_pred")
 
 
