@@ -4,7 +4,7 @@ A tree of less depth, or with a larger least gain, is a larger tree cut short, a
 cost-complexity pruning (``ccp_alpha``) cuts it further from its node statistics.  So each fold
 grows the largest candidate once, and the held-out rows are scored for all of its cuts in one
 pass.  A forest of fewer trees is taken for the first ones of a larger forest, which
-approximates a search that fits each of them.
+approximates a search that fits each of them.  Long tables are merged into weighted cells first (``tree_cells``).
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.operators.eda import Scaler
+from lynceus.operators.tree_cells import blocks_of, grow, merged, one_of_each
 from lynceus.session import drop_steps, keep_cached, new_folder
 
 # The full search grids.  Log loss and entropy are the same
@@ -160,8 +161,8 @@ def cut_leaves(tree: Mapping[str, np.ndarray], gains: Sequence[float], depths: S
     return out
 
 
-def cut_hits(x: np.ndarray, label: np.ndarray, trees: list[dict], leaves: list[np.ndarray], counts: Sequence[int]) -> np.ndarray:
-    """Right predictions of every cut: counts x gains x depths x alphas.  Rows walk each tree once, to its last leaf."""
+def cut_hits(x: np.ndarray, label: np.ndarray, n: np.ndarray, trees: list[dict], leaves: list[np.ndarray], counts: Sequence[int]) -> np.ndarray:
+    """Right predictions of every cut: counts x gains x depths x alphas.  Rows, each standing for ``n``, walk each tree once, to its last leaf."""
     shape, row = leaves[0].shape[:3], np.arange(len(x))
     hits, votes = np.zeros((len(counts), *shape), np.int64), np.zeros((*shape, len(x), trees[0]["votes"].shape[1]))
     for number, (tree, cuts) in enumerate(zip(trees, leaves), 1):
@@ -172,7 +173,7 @@ def cut_hits(x: np.ndarray, label: np.ndarray, trees: list[dict], leaves: list[n
         for cut in np.ndindex(shape):
             votes[cut] += tree["votes"][cuts[cut][node]]
         if number in counts:
-            hits[counts.index(number)] = (votes.argmax(axis=4) == label).sum(axis=3)
+            hits[counts.index(number)] = (votes.argmax(axis=4) == label) @ n
     return hits
 
 
@@ -215,27 +216,33 @@ def _accuracies(prepared: DataFrame, learner, grid: Mapping[str, Sequence], fold
     values = {name: sorted(grid.get(name, [default(name)])) for name in CUTS}
     counts, gains, depths = (values[name] for name in CUTS)
     alphas = sorted(grid.get(PRUNING, [0.0]))
+    impurities = list(grid.get("impurity", [default("impurity")]))
+    cells = "_n" in prepared.columns
+    grown = _grown(prepared, learner, [(i, fold) for i in impurities for fold in range(folds)], counts[-1], depths[-1], gains[0]) if cells and forest(learner) else None
 
     def one(impurity: str, fold: int) -> np.ndarray | None:
         largest = {"impurity": impurity, "minInfoGain": gains[0], "maxDepth": depths[-1], "numTrees": counts[-1]}
-        model = learner.copy({learner.getParam(n): v for n, v in largest.items() if learner.hasParam(n)}).fit(
-            prepared.filter(F.col("_fold") != fold))
-        trees = _nodes(model, spark)
+        if grown:
+            trees = grown[impurity, fold]
+        else:
+            trees = _nodes(learner.copy({learner.getParam(n): v for n, v in largest.items() if learner.hasParam(n)}).fit(
+                prepared.filter(F.col("_fold") != fold)), spark)
         leaves = [cut_leaves(tree, gains, depths, alphas) for tree in trees]
 
         def score(batches):
             for pdf in batches:
                 if len(pdf):
-                    found = cut_hits(np.stack(pdf["x"].to_numpy()), pdf["label"].to_numpy(), trees, leaves, counts).ravel()
-                    yield pd.DataFrame({"cut": np.arange(len(found)), "hits": found, "n": len(pdf)})
+                    n = pdf["n"].to_numpy()
+                    found = cut_hits(np.stack(pdf["x"].to_numpy()), pdf["label"].to_numpy(), n, trees, leaves, counts).ravel()
+                    yield pd.DataFrame({"cut": np.arange(len(found)), "hits": found, "n": n.sum()})
 
-        held = prepared.filter(F.col("_fold") == fold).select(vector_to_array("_features").alias("x"), F.col("_label").alias("label"))
+        held = prepared.filter(F.col("_fold") == fold).select(vector_to_array("_features").alias("x"), F.col("_label").alias("label"),
+                                                              (F.col("_n") if cells else F.lit(1)).cast("long").alias("n"))
         sums = held.mapInPandas(score, "cut int, hits long, n long").groupBy("cut").agg(F.sum("hits").alias("h"), F.sum("n").alias("n"))
         rows = sums.orderBy("cut").collect()
         return np.array([r["h"] / r["n"] for r in rows]) if rows else None
 
     with ThreadPoolExecutor(parallelism) as pool:
-        impurities = list(grid.get("impurity", [default("impurity")]))
         jobs = {i: [pool.submit(one, i, fold) for fold in range(folds)] for i in impurities}
         out = {}
         for impurity, parts in jobs.items():
@@ -245,6 +252,65 @@ def _accuracies(prepared: DataFrame, learner, grid: Mapping[str, Sequence], fold
     return out
 
 
+def forest(learner) -> bool:
+    return isinstance(learner, RandomForestClassifier)
+
+
+def _grown(cells: DataFrame, learner, models: list[tuple[str, int]], n_trees: int, depth: int, least: float) -> dict:
+    p = len(cells.select("_features").first()[0])
+    classes = len(cells.schema["_label"].metadata["ml_attr"]["vals"])
+    blocks = blocks_of(cells).persist()
+    try:
+        return grow(blocks, p, learner.getMaxBins(), classes, models, n_trees, depth, least, learner.getSeed() & 0x7FFFFFFF)
+    finally:
+        blocks.unpersist()
+
+
+def _fit_cells(cells: DataFrame, cuts: list[list[float]], learner, choice: Mapping):
+    """The model of one candidate, fitted to cells, with its thresholds among the values."""
+    spark, chosen = cells.sparkSession, learner.copy(choice)
+    trees = None
+    if forest(learner):
+        impurity, depth, least = chosen.getImpurity(), chosen.getMaxDepth(), chosen.getMinInfoGain()
+        trees = _grown(cells, chosen, [(impurity, -1)], chosen.getNumTrees(), depth, least)[impurity, -1]
+        labels = cells.schema["_label"].metadata
+        model = chosen.fit(one_of_each(cells).withMetadata("_label", labels))
+    else:
+        model = chosen.fit(cells)
+    path = new_folder(spark, "cells")
+    try:
+        model.write().save(path)
+        stored = spark.read.parquet(f"{path}/data")
+        if trees is None:
+            rows = [r.asDict(recursive=True) for r in stored.collect()]
+        else:
+            rows = [{"treeID": t, "nodeData": node} for t, tree in enumerate(trees) for node in _stored_nodes(tree, least, depth)]
+        for row in rows:
+            split = row.get("nodeData", row)["split"]
+            if split["featureIndex"] >= 0:
+                # a threshold between two codes is the cut above the lower one
+                split["leftCategoriesOrThreshold"] = [cuts[split["featureIndex"]][int(np.floor(split["leftCategoriesOrThreshold"][0]))]]
+        spark.createDataFrame(rows, stored.schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/data")
+        return type(model).load(path)
+    finally:
+        drop_steps(spark, [path])
+
+
+def _stored_nodes(tree: Mapping[str, np.ndarray], least: float, depth: int) -> list[dict]:
+    """The nodes of a grown tree as a model stores them; splits into leaves of one prediction are undone, as in a fitted tree."""
+    splits = splitting(tree, least, depth)
+    kept = np.flatnonzero(_leaf_of(tree, splits) == np.arange(len(splits))).tolist()
+    name = {old: new for new, old in enumerate(kept)}
+    out = []
+    for i in kept:
+        split = bool(splits[i])
+        out.append({"id": name[i], "prediction": float(tree["votes"][i].argmax()), "impurity": float(tree["impurity"][i]),
+                    "impurityStats": tree["counts"][i].tolist(), "rawCount": int(tree["counts"][i].sum()), "gain": float(tree["gain"][i]) if split else -1.0,
+                    "leftChild": name[int(tree["leftChild"][i])] if split else -1, "rightChild": name[int(tree["rightChild"][i])] if split else -1,
+                    "split": {"featureIndex": int(tree["feature"][i]) if split else -1, "leftCategoriesOrThreshold": [float(tree["at"][i])] if split else [], "numCategories": -1}})
+    return out
+
+
 def _fit(df: DataFrame, cols: Sequence[str], target: str, learner, grid: Mapping[str, Sequence],
          folds: int, parallelism: int, fold_key: Sequence[str] | None, seed: int) -> TreeClassifier:
     scaler = Scaler.fit(df, cols)
@@ -255,13 +321,21 @@ def _fit(df: DataFrame, cols: Sequence[str], target: str, learner, grid: Mapping
                      .cast("int").alias("_fold")).na.drop()
     assemble = VectorAssembler(inputCols=names, outputCol="_features")
     index = StringIndexer(inputCol="_target", outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
-    prepared = keep_cached(index.transform(assemble.transform(rows)).select("_features", "_label", "_fold"))
+    whole = merged(rows, names, "_target", "_fold", learner.getMaxBins(), folds * len(index.labels)) if set(grid) <= {"impurity", PRUNING, *CUTS} else None
+    cells, cuts = whole or (rows, None)
+    if cuts is not None and not forest(learner):
+        learner = learner.copy({learner.weightCol: "_n"})
+    prepared = keep_cached(index.transform(assemble.transform(cells)).select("_features", "_label", "_fold", *(["_n"] if cuts is not None else [])))
+
+    def fit_one(choice: Mapping):
+        return learner.fit(prepared, choice) if cuts is None else _fit_cells(prepared, cuts, learner, choice)
+
     try:
         of = [dict(zip(grid, values)) for values in product(*grid.values())]
         choices = [{learner.getParam(n): v for n, v in c.items() if n != PRUNING} for c in of]
         if len(of) == 1:
             best = of[0]
-            fitted = learner.fit(prepared, choices[0])
+            fitted = fit_one(choices[0])
         elif set(grid) <= {"impurity", PRUNING, *CUTS}:
             found = _accuracies(prepared, learner, grid, folds, parallelism)
             names = ("impurity", *CUTS, *([PRUNING] if PRUNING in grid else []))
@@ -269,7 +343,7 @@ def _fit(df: DataFrame, cols: Sequence[str], target: str, learner, grid: Mapping
                 return tuple(c.get(n, learner.getOrDefault(n) if learner.hasParam(n) else 1) for n in names)
             chosen = max(range(len(of)), key=lambda i: (found[full(of[i])], -i))
             best = of[chosen]
-            fitted = learner.fit(prepared, choices[chosen])
+            fitted = fit_one(choices[chosen])
         elif PRUNING in grid:
             raise ValueError(f"{PRUNING} is searched beside {', '.join(('impurity', *CUTS))}, not beside {sorted(set(grid) - {PRUNING})}")
         else:
