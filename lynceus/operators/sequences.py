@@ -7,7 +7,8 @@ of a pattern are such a bitmap too, and a pattern grows by shifting it over the
 intersecting it with the next item's.  A level is one job over the segments, and only
 candidates that pass three tests are counted: their last two items are frequent within
 the gap, each item is frequently followed by the last one at all (the co-occurrence
-map), and the pattern without its first item is frequent.
+map), and the pattern without its first item is frequent.  Sequences of one segment and the
+same events are one row with their number, and are matched once.
 """
 
 from __future__ import annotations
@@ -30,20 +31,23 @@ Pattern = tuple[int, ...]
 
 
 def segments(rows: DataFrame, reach: int, size: int = SEGMENT) -> DataFrame:
-    """(_s, many, own, p, i) from rows (_s, _p, _i): positions from the segment's start and items, in no order.
+    """(_s, many, own, p, i, n) from rows (_s, _p, _i): positions from the segment's start and items, by position.
 
-    Positions from ``own`` on belong to the halo.  ``many``: the sequence has several segments.
+    Positions from ``own`` on belong to the halo.  ``many``: the sequence has several segments.  Sequences of one
+    segment with the same events are one row: ``n`` of them, without a name.
     """
     size = max(size, reach, 1)
     at = F.floor((F.col("_p") - F.lit(1)) / size).cast("long")
     # a row near the start of a segment is seen from the one before, too
     homes = F.when((F.col("_p") - 1 - at * size < reach), F.array(at - 1, at)).otherwise(F.array(at))
     placed = rows.withColumn("seg", F.explode(homes))
-    kept = (placed.groupBy("_s", "seg").agg(F.collect_list(F.struct((F.col("_p") - 1 - F.col("seg") * size).cast("int").alias("p"), "_i")).alias("e"))
+    kept = (placed.groupBy("_s", "seg").agg(F.array_sort(F.collect_list(F.struct((F.col("_p") - 1 - F.col("seg") * size).cast("int").alias("p"), "_i"))).alias("e"))
             .filter(F.exists("e", lambda x: x["p"] < size)))
     spread = sized(rows.select("_s", at.alias("seg")).distinct().groupBy("_s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_s", F.lit(True).alias("many")))
-    return durable(kept.join(spread, "_s", "left").select("_s", F.coalesce("many", F.lit(False)).alias("many"), F.lit(size).alias("own"),
-                                                          F.col("e.p").alias("p"), F.col("e._i").alias("i")))
+    named = kept.join(spread, "_s", "left").select(F.when(F.col("many"), F.col("_s")).alias("_s"), F.when(F.col("many"), F.col("seg")).alias("seg"),
+                                                   F.coalesce("many", F.lit(False)).alias("many"), F.col("e.p").alias("p"), F.col("e._i").alias("i"))
+    alike = named.groupBy("_s", "seg", "many", "p", "i").agg(F.count(F.lit(1)).alias("n"))
+    return durable(alike.select("_s", "many", F.lit(size).alias("own"), "p", "i", "n"))
 
 
 def bitmaps(p: np.ndarray, i: np.ndarray) -> dict[int, int]:
@@ -95,7 +99,7 @@ def _count(cut: DataFrame, measure) -> dict[Pattern, int]:
         seqs: list = []
         pairs: list = []
         for batch in batches:
-            names, many, own = (batch.column(c) for c in ("_s", "many", "own"))
+            names, many, own, n = (batch.column(c) for c in ("_s", "many", "own", "n"))
             for at in range(len(batch)):
                 p, i = (batch.column(c)[at].values.to_numpy() for c in ("p", "i"))
                 found = measure(bitmaps(p, i), own[at].as_py())
@@ -104,7 +108,8 @@ def _count(cut: DataFrame, measure) -> dict[Pattern, int]:
                     seqs += [names[at].as_py()] * len(found)
                     pairs += found
                 else:
-                    sums.update(found)
+                    for pattern in found:
+                        sums[pattern] += n[at].as_py()
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(seqs, batch.schema.field("_s").type), pa.array(pairs, pa.list_(pa.int32())),
                                                   pa.array([1] * len(pairs), pa.int64())], names=["_s", "pattern", "n"])

@@ -69,3 +69,15 @@ def test_required_items_gaps_and_empty_tables(spark):
     assert mined(spark, [], 0.5, 3, 2) == {}
     with pytest.raises(ValueError):
         mined(spark, rows, 0.5, 3, 0)
+
+
+def test_equal_sequences_are_matched_once(spark, monkeypatch):
+    rows = [(s, p + 1, x) for s in range(300) for p, x in enumerate(("abc", "abd", "ca")[s % 3])]
+    held, inner = [], sequences.segments
+
+    def kept(*args):
+        held.append(inner(*args))
+        return held[-1]
+    monkeypatch.setattr(sequences, "segments", kept)
+    assert mined(spark, rows, 0.3, 3, 2) == plain(rows, 0.3, 3, 2)
+    assert sorted(r["n"] for r in held[0].collect()) == [100, 100, 100]
