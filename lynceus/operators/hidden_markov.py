@@ -1,7 +1,9 @@
 """Hidden Markov model with Gaussian-mixture emissions (diagonal covariances).
 
 Sequences are cut into chunks of consecutive rows, many to a task, which steps
-through all of them together.  The exact forward and backward messages at the chunk
+through all of them together.  They are packed once, before the rounds: a block of
+chunks holds its distinct vectors and a code for each row, in the order of the steps,
+so that a round computes densities once for equal vectors and slices arrays.  The exact forward and backward messages at the chunk
 edges come from chaining the chunks' transfer matrices (states x states each), so
 cutting a sequence changes neither the likelihood nor the decoded path.
 
@@ -18,6 +20,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -42,48 +45,75 @@ class Parameters:
     mean: np.ndarray  # S x M x p
     var: np.ndarray  # S x M x p
 
-    def mixture_log(self, x: np.ndarray) -> np.ndarray:
-        """log(weight * density): n x S x M."""
-        s, m, p = self.mean.shape
-        flat, var = self.mean.reshape(s * m, p), self.var.reshape(s * m, p)
-        square = (x ** 2) @ (1 / var).T - 2 * x @ (flat / var).T + (flat ** 2 / var).sum(axis=1)
-        out = -0.5 * (square + np.log(2 * np.pi * var).sum(axis=1))
-        return out.reshape(len(x), s, m) + np.log(self.weight + TINY)
 
+#: exp of less is slow to compute and nothing beside the 1 of the nearest mixture.
+LEAST_LOG = -700.0
 
-def _emission(params: Parameters, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Emission likelihoods scaled by their row maximum, the log scale, and mixture shares."""
-    parts = params.mixture_log(x)
-    top = parts.max(axis=2, keepdims=True)
-    log_b = (top + np.log(np.exp(parts - top).sum(axis=2, keepdims=True)))[:, :, 0]
-    scale = log_b.max(axis=1)
-    return np.exp(log_b - scale[:, None]), scale, np.exp(parts - log_b[:, :, None])
 
+def _emission(params: Parameters, x: np.ndarray, shares: bool = False) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Emission likelihoods (states x rows) scaled by their largest mixture, the log scale, and mixture shares (states x mixtures x rows, in pieces)."""
+    s, m, p = params.mean.shape
+    mean, var = params.mean.reshape(s * m, p), params.var.reshape(s * m, p)
+    at_zero = -0.5 * ((mean ** 2 / var).sum(axis=1) + np.log(2 * np.pi * var).sum(axis=1)) + np.log(params.weight + TINY).ravel()
+    factors = np.hstack([at_zero[:, None], mean / var, -0.5 / var])
+    b, scale, pieces, powers = np.empty((s, len(x))), np.empty(len(x)), [], _powers(x)
+    for rows in _pieces(params, len(x)):
+        parts = (factors @ powers[:, rows]).reshape(s, m, -1)
+        top = parts.max(axis=1)
+        parts -= top[:, None]
+        np.maximum(parts, LEAST_LOG, out=parts)
+        np.exp(parts, out=parts)
+        total = parts.sum(axis=1)
+        scale[rows] = top.max(axis=0)
+        b[:, rows] = total * np.exp(top - scale[rows])
+        if shares:
+            parts /= total[:, None]
+            pieces.append(parts)
+    return b, scale, pieces
 
-def expectations(params: Parameters, x: np.ndarray, lengths: np.ndarray, first: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> np.ndarray:
-    """Sufficient statistics of many chunks, added up and flattened.
 
-    For each chunk, ``first``: it begins its sequence; ``ahead``: forward message before it (the start
+def _powers(x: np.ndarray) -> np.ndarray:
+    """1, the columns and their squares, below each other."""
+    return np.vstack([np.ones(len(x)), x.T, x.T ** 2])
+
+
+def _pieces(params: Parameters, n: int) -> list[slice]:
+    """Rows whose densities stay in a core's cache."""
+    step = max(256, 16_384 // params.weight.size)
+    return [slice(a, a + step) for a in range(0, n, step)]
+
+
+def expectations(params: Parameters, x: np.ndarray, codes: np.ndarray, lengths: np.ndarray, first: np.ndarray, ahead: np.ndarray,
+                 behind: np.ndarray) -> np.ndarray:
+    """Sufficient statistics of many chunks, added up and flattened.  ``codes``: the row of ``x`` that each row has, in the order of the steps.
+
+    For each chunk, by falling length, ``first``: it begins its sequence; ``ahead``: forward message before it (the start
     distribution for a first one); ``behind``: backward message at its last row.
     """
-    c = Chunks.of(lengths)
-    first, ahead, behind = first[c.place], ahead[c.place], behind[c.place]
-    b, scale, share = _emission(params, x)
-    alpha, norm = forward(c, b, params.move, first, ahead)
-    beta = backward(c, b, params.move, behind)
+    c, move = Chunks.by_step(lengths), params.move
+    emitted, scale, shares = _emission(params, x, shares=True)
+    b = emitted[:, codes]
+    alpha, norm = forward(c, b.T, move, first, ahead)
+    alpha, beta = alpha.T, backward(c, b.T, move, behind).T
     gamma = alpha * beta
-    gamma /= gamma.sum(axis=1, keepdims=True) + TINY
-    before = np.vstack([alpha[:1], alpha[:-1]])
-    before[c.starts] = ahead
-    inner = np.ones(len(x), bool)
-    inner[c.starts[first]] = False
-    before, after = before[inner], (b * beta)[inner]
-    weights = 1 / ((before @ params.move * after).sum(axis=1) + TINY)
-    xi = params.move * ((before * weights[:, None]).T @ after)
-    flat = (gamma[:, :, None] * share).reshape(len(x), -1)
-    return np.concatenate([
-        gamma[c.starts[first]].sum(axis=0), xi.ravel(), flat.sum(axis=0), (flat.T @ x).ravel(),
-        (flat.T @ x ** 2).ravel(), [np.log(norm).sum() + scale.sum()]])
+    gamma /= gamma.sum(axis=0) + TINY
+    heads = len(lengths)
+    beta *= b
+    xi = _moves(move, ahead.T[:, ~first], beta[:, :heads][:, ~first]) + _moves(move, alpha[:, c.previous()], beta[:, heads:])
+    mass = np.array([np.bincount(codes, weights=g, minlength=len(x)) for g in gamma])
+    sums, powers = 0, _powers(x)
+    for rows, share in zip(_pieces(params, len(x)), shares):
+        share *= mass[:, None, rows]
+        sums = sums + share.reshape(params.weight.size, -1) @ powers[:, rows].T
+    post, sx, sxx = np.split(sums, [1, 1 + x.shape[1]], axis=1)
+    likelihood = np.log(norm).sum() + scale[codes].sum()
+    return np.concatenate([gamma[:, :heads][:, first].sum(axis=1), xi.ravel(), post.ravel(), sx.ravel(), sxx.ravel(), [likelihood]])
+
+
+def _moves(move: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Expected moves between rows, from the messages before and after them (states x rows)."""
+    weights = 1 / (((move.T @ before) * after).sum(axis=0) + TINY)
+    return move * ((before * weights) @ after.T)
 
 
 def maximise(stats: np.ndarray, s: int, m: int, p: int) -> tuple[Parameters, float]:
@@ -187,10 +217,53 @@ def _rows_by_chunk(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tup
 
 #: Rows of a chunk; longer series are cut, with the same result.  A task steps through the chunks of about TABLE_ROWS rows together.
 CHUNK_ROWS, TABLE_ROWS = 4_096, 65_536
+#: Bytes that the mixture shares (or the vectors) of a block take at most, which bounds the rows of a block.
+BLOCK_BYTES = 32 << 20
+_NUMBERS = T.ArrayType(T.DoubleType())
 #: Up to so many tasks send their statistics to the driver; those of more are added up in Spark first.
 FEW_TASKS = 256
 
 
+def _whole(first: np.ndarray, lengths: np.ndarray, chunk: int) -> np.ndarray:
+    """Chunks that are certainly a whole sequence, which needs no messages."""
+    return first & (lengths < chunk)
+
+
+def _blocks(rows: DataFrame, by: Sequence[str], chunk: int, most: int, p: int) -> DataFrame:
+    """Rows of ``_tables`` packed: a row for each block of about ``most`` rows, with the keys of the chunks that are cut."""
+    key = T.StructType([T.StructField("_at", T.IntegerType()), T.StructField("_i", T.LongType()), *[rows.schema[k] for k in by]])
+    schema = (T.StructType().add("_block", "long").add("_vectors", "binary").add("_codes", "binary").add("_lengths", "binary")
+              .add("_first", "binary").add("_cut", T.ArrayType(key)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for table, lengths in _rows_by_chunk(batches, most):
+            c = Chunks.of(lengths)
+            x = np.ascontiguousarray(_vectors(table)[c.rows_by_step()])
+            coded = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * p), len(x), [None, pa.py_buffer(x)]).dictionary_encode()
+            vectors = b"".join(coded.dictionary.to_pylist())
+            heads = table.take(c.starts).combine_chunks()
+            first = heads.column("_chunk").to_numpy() == 0
+            at = np.flatnonzero(~_whole(first, c.lengths, chunk))
+            cut = heads.take(at)
+            keys = pa.StructArray.from_arrays([pa.array(at, pa.int32()), *[cut.column(k).combine_chunks() for k in ("_i", *by)]], ["_at", "_i", *by])
+            yield pa.RecordBatch.from_arrays([
+                pa.array([number], pa.int64()), *[pa.array([a], pa.binary()) for a in (
+                    vectors, coded.indices.to_numpy().astype(np.int32).tobytes(), c.lengths.astype(np.int32).tobytes(), first.tobytes())],
+                pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), keys)], schema.names)
+            number += 1
+    return rows.mapInArrow(pack, schema)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], p: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each block with its vectors, codes, lengths of chunks and which of them begin a sequence."""
+    for batch in batches:
+        for i in range(len(batch)):
+            x, codes, lengths, first = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in (
+                ("_vectors", np.float64), ("_codes", np.int32), ("_lengths", np.int32), ("_first", np.bool_)))
+            yield batch.slice(i, 1), x.reshape(-1, p), codes, lengths, first
+
+
 @dataclass
 class HiddenMarkov:
     scaler: Scaler
@@ -230,16 +303,16 @@ class HiddenMarkov:
         chunk = chunk or min(CHUNK_ROWS, max_rows_per_task(df.sparkSession))
         model = cls(scaler, _start(df, scaler, n_states, n_mix, seed), key, order, chunk)
         rows, split = model._chunks(df, key)
-        rows = rows.persist()
-        p = len(cols)
+        p, n_tasks = len(cols), rows.rdd.getNumPartitions()
+        blocks = _blocks(rows, model._by, chunk, max(chunk, BLOCK_BYTES // (8 * max(n_states * n_mix, 2 * p + 1))), p).persist()
 
         def round_of(params: Parameters) -> tuple[Parameters, float]:
             model.params = params
-            return maximise(model._e_step(rows, split), n_states, n_mix, p)
+            return maximise(model._e_step(blocks, n_tasks, split), n_states, n_mix, p)
 
         model.params, model.history = squared_em(round_of, model.params, n_iter, tol)
         model.log_likelihood = model.history[-1] if model.history else model.log_likelihood
-        rows.unpersist()
+        blocks.unpersist()
         if target:
             named = (model.transform(df).groupBy("state", target).agg(F.count(F.lit(1)).alias("n"))
                      .groupBy("state").agg(F.min(F.struct(-F.col("n"), F.col(target))).alias("b")))
@@ -247,29 +320,18 @@ class HiddenMarkov:
             model.labels = [found.get(i) for i in range(n_states)]
         return model
 
-    def _messages(self, rows: DataFrame, best: bool) -> DataFrame:
-        """Per chunk (by, _i of its first row): message before it and behind it (sum-product), or before it and its final state."""
+    def _chained(self, steps: DataFrame, place: Sequence[str], best: bool) -> DataFrame:
+        """From the matrices ``_m`` of chunks (by, _i of the first row): at each ``place``, the message before its chunk and behind it
+        (sum-product), or before it and its final state."""
         params, by = self.params, self._by
         s = len(params.start)
-        kinds = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in by]
-        log_move = np.log(params.move + TINY)
-
-        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table, lengths in _rows_by_chunk(batches, TABLE_ROWS):
-                c, heads = Chunks.of(lengths), table.take(np.cumsum(lengths) - lengths)
-                first = (heads.column("_chunk").to_numpy() == 0)[c.place]
-                b, scale, _ = _emission(params, _vectors(table))
-                found = best_transfers(c, np.log(b + TINY) + scale[:, None], log_move, first) if best else transfers(c, b, params.move, first)
-                m = np.empty_like(found)
-                m[c.place] = found
-                out = heads.select([*by, "_i"]).append_column("_m", pa.array(list(m.reshape(len(m), -1)), pa.list_(pa.float64())))
-                yield from out.to_batches()
+        schema = T.StructType([steps.schema[c] for c in place]).add("_ahead", _NUMBERS).add("_behind", _NUMBERS)
 
         def chain(pdf: pd.DataFrame) -> pd.DataFrame:
             """One small matrix per chunk of one sequence."""
             pdf = pdf.sort_values("_i")
             ms = [np.asarray(m, float).reshape(s, s) for m in pdf["_m"]]
-            out = pdf[[*by, "_i"]].copy()
+            out = pdf[list(place)].copy()
             ahead = [np.log(params.start + TINY) if best else params.start]
             for m in ms:
                 nxt = (ahead[-1][:, None] + m).max(axis=0) if best else ahead[-1] @ m
@@ -290,14 +352,30 @@ class HiddenMarkov:
             out["_behind"] = behind[::-1]
             return out
 
-        steps = rows.select(*by, "_i", "_chunk", "_x").mapInArrow(step, ", ".join([*kinds, "_i long", "_m array<double>"]))
-        return durable(steps.groupBy(*by).applyInPandas(chain, ", ".join([*kinds, "_i long", "_ahead array<double>", "_behind array<double>"])))
+        return durable(steps.groupBy(*by).applyInPandas(chain, schema))
 
-    def _with_messages(self, rows: DataFrame, split: bool, best: bool) -> DataFrame:
-        """Rows with (_ahead, _behind) at the first row of each chunk, sorted as before; without them where sequences are whole."""
-        if not split:
-            return rows
-        edges = self._messages(rows, best).withColumnsRenamed({k: f"_edge{n}" for n, k in enumerate([*self._by, "_i"])})
+    def _best_messages(self, rows: DataFrame) -> DataFrame:
+        """(by, _i of its first row, message before it, final state) of each chunk that is cut."""
+        params, by, chunk = self.params, self._by, self.chunk
+        schema = T.StructType([rows.schema[k] for k in by]).add("_i", "long").add("_m", _NUMBERS)
+        log_move = np.log(params.move + TINY)
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table, lengths in _rows_by_chunk(batches, TABLE_ROWS):
+                c, heads = Chunks.of(lengths), table.take(np.cumsum(lengths) - lengths)
+                first = heads.column("_chunk").to_numpy() == 0
+                b, scale, _ = _emission(params, _vectors(table))
+                found = best_transfers(c, (np.log(b + TINY) + scale).T, log_move, first[c.place])
+                m = np.empty_like(found)
+                m[c.place] = found
+                out = heads.select([*by, "_i"]).append_column("_m", pa.array(list(m.reshape(len(m), -1)), pa.list_(pa.float64())))
+                yield from out.take(np.flatnonzero(~_whole(first, lengths, chunk))).to_batches()
+
+        return self._chained(rows.select(*by, "_i", "_chunk", "_x").mapInArrow(step, schema), [*by, "_i"], best=True)
+
+    def _with_best_messages(self, rows: DataFrame) -> DataFrame:
+        """Rows with (_ahead, _behind) at the first row of each chunk that is cut, sorted as before."""
+        edges = self._best_messages(rows).withColumnsRenamed({k: f"_edge{n}" for n, k in enumerate([*self._by, "_i"])})
         by = [*self._by, "_chunk"]
         same = [rows[k].eqNullSafe(edges[f"_edge{n}"]) for n, k in enumerate([*self._by, "_i"])]
         if held_bytes(edges) <= BROADCAST_BYTES:
@@ -306,24 +384,44 @@ class HiddenMarkov:
             joined = _tables(rows.join(edges, same, "left"), by, rows.count())
         return joined.drop(*edges.columns[:len(same)]).sortWithinPartitions(*by, "_i")
 
-    def _e_step(self, rows: DataFrame, split: bool) -> np.ndarray:
+    def _with_messages(self, blocks: DataFrame) -> DataFrame:
+        """Blocks with ``_messages``: place in the block, message before and behind each chunk that is cut."""
+        params, by = self.params, self._by
+        p = params.mean.shape[2]
+        keys = blocks.schema["_cut"].dataType.elementType
+        schema = T.StructType([keys[k] for k in by]).add("_i", "long").add("_block", "long").add("_at", "integer").add("_m", _NUMBERS)
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, x, codes, lengths, first in _unpacked(batches, p):
+                cut = block.column("_cut").flatten()
+                if len(cut):
+                    b = _emission(params, x)[0][:, codes]
+                    at = cut.field("_at").to_numpy()
+                    m = transfers(Chunks.by_step(lengths), b.T, params.move, first)[at].reshape(len(at), -1)
+                    yield pa.RecordBatch.from_arrays([*[cut.field(k) for k in (*by, "_i")], block.column("_block").take([0] * len(at)), cut.field("_at"),
+                                                      pa.array(list(m), pa.list_(pa.float64()))], schema.names)
+
+        edges = self._chained(blocks.mapInArrow(step, schema), ["_block", "_at"], best=False)
+        small = held_bytes(edges) <= BROADCAST_BYTES
+        edges = edges.groupBy("_block").agg(F.collect_list(F.struct("_at", "_ahead", "_behind")).alias("_messages"))
+        return blocks.join(F.broadcast(edges) if small else edges, "_block", "left")
+
+    def _e_step(self, blocks: DataFrame, n_tasks: int, split: bool) -> np.ndarray:
         params = self.params
-        even = np.full(len(params.start), 1.0 / len(params.start))
+        s, _, p = params.mean.shape
 
         def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = 0
-            for table, lengths in _rows_by_chunk(batches, TABLE_ROWS):
-                heads = table.take(np.cumsum(lengths) - lengths)
-                first = heads.column("_chunk").to_numpy() == 0
-                ahead, behind = (np.array(heads.column(c).to_pylist(), float) if split else np.tile(d, (len(lengths), 1))
-                                 for c, d in (("_ahead", params.start), ("_behind", even)))
-                total = total + expectations(params, _vectors(table), lengths, first, ahead, behind)
+            for block, x, codes, lengths, first in _unpacked(batches, p):
+                ahead, behind = np.tile(params.start, (len(lengths), 1)), np.full((len(lengths), s), 1.0 / s)
+                for edge in (block.column("_messages")[0].as_py() or []) if split else []:
+                    ahead[edge["_at"]], behind[edge["_at"]] = edge["_ahead"], edge["_behind"]
+                total = total + expectations(params, x, codes, lengths, first, ahead, behind)
             if np.ndim(total):
                 yield pa.RecordBatch.from_pydict({"_s": pa.array([total], pa.list_(pa.float64()))})
 
-        ready = self._with_messages(rows, split, best=False).select("_i", "_chunk", "_x", *(["_ahead", "_behind"] if split else []))
-        parts = ready.mapInArrow(statistics, "_s array<double>")
-        if rows.rdd.getNumPartitions() <= FEW_TASKS:
+        parts = (self._with_messages(blocks) if split else blocks).mapInArrow(statistics, "_s array<double>")
+        if n_tasks <= FEW_TASKS:
             # a fixed number of statistics from each of a few tasks
             return np.sum([r["_s"] for r in parts.collect()], axis=0)
         sums = (parts.select(F.posexplode("_s").alias("_pos", "_v")).groupBy("_pos").agg(F.sum("_v").alias("_v")).orderBy("_pos").collect())
@@ -334,7 +432,7 @@ class HiddenMarkov:
 
         The path runs over complete rows; a row with a missing sensor has null there.
         """
-        params = self.params
+        params, chunk = self.params, self.chunk
         keep = list(df.columns)
         complete = F.lit(True)
         for c in self.scaler.cols:
@@ -347,17 +445,19 @@ class HiddenMarkov:
             for table, lengths in _rows_by_chunk(batches, TABLE_ROWS):
                 c, heads = Chunks.of(lengths), table.take(np.cumsum(lengths) - lengths)
                 first = heads.column("_chunk").to_numpy() == 0
-                before = np.array(heads.column("_ahead").to_pylist(), float) if split else np.tile(log_start, (len(lengths), 1))
-                last = np.array([v[0] for v in heads.column("_behind").to_pylist()], int) if split else np.full(len(lengths), -1)
+                before, last = np.tile(log_start, (len(lengths), 1)), np.full(len(lengths), -1)
+                if split:
+                    for n in np.flatnonzero(~_whole(first, lengths, chunk)):
+                        before[n], last[n] = heads.column("_ahead")[n].as_py(), heads.column("_behind")[n].as_py()[0]
                 b, scale, _ = _emission(params, _vectors(table))
-                path = best_paths(c, np.log(b + TINY) + scale[:, None], log_move, first[c.place], before[c.place], last[c.place])
+                path = best_paths(c, (np.log(b + TINY) + scale).T, log_move, first[c.place], before[c.place], last[c.place])
                 yield from table.select(keep).append_column("state", pa.array(path, pa.int32())).to_batches()
 
         if split:
             by = [*self._by, "_chunk"]
             rows = durable(rows)
             rows = _tables(rows, by, rows.count())
-        done = self._with_messages(rows, split, best=True).mapInArrow(decode, schema)
+        done = (self._with_best_messages(rows) if split else rows).mapInArrow(decode, schema)
         done = done.unionByName(df.filter(~complete).withColumn("state", F.lit(None).cast("int")))
         if not self.labels:
             return done

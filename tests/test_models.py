@@ -396,3 +396,38 @@ def test_squared_em_climbs_faster_and_never_falls():
     while np.abs(plain.mean[0, 0] - goal).max() >= 0.01:
         plain, n = round_of(plain)[0], n + 1
     assert n > 3 * (len(rounds) - n)
+
+
+def test_hidden_states_pack_equal_vectors_once(spark):
+    """Blocks hold distinct vectors and a code a row, and keys of cut sequences only; their statistics are those of plain sums over paths."""
+    from itertools import product
+
+    values = [(0.0, 1.0), (2.0, -1.0), (5.0, 0.5)]
+    data = [(k, t, *values[(t * t + n) % 3]) for k, n in ((1, 40), (2, 7), (None, 9), (3, 10)) for t in range(n)]
+    df = spark.createDataFrame(data, "k int, t int, x double, y double")
+    fit = hidden_markov.HiddenMarkov.fit(df, ["x", "y"], 2, "t", "k", n_mix=2, n_iter=2, chunk=10)
+    rows, split = fit._chunks(df, ["k"])
+    blocks = hidden_markov._blocks(rows, ["k"], 10, 1000, 2).collect()
+    assert split and sum(len(b["_codes"]) for b in blocks) == 4 * len(data)
+    assert all(len(b["_vectors"]) <= 3 * 2 * 8 for b in blocks)
+    # the four chunks of the long sequence, and one that may go on
+    assert sorted((c["k"], c["_i"]) for b in blocks for c in b["_cut"]) == [(1, 0), (1, 10), (1, 20), (1, 30), (3, 0)]
+
+    r = np.random.default_rng(5)
+    s, m, x, codes, n = 2, 2, r.normal(size=(2, 2)), np.array([0, 1, 0, 1, 1]), 5
+    p = hidden_markov.Parameters(r.dirichlet(np.ones(s)), r.dirichlet(np.ones(s), s), r.dirichlet(np.ones(m), s), r.normal(size=(s, m, 2)), r.random((s, m, 2)) + 0.5)
+    got = hidden_markov.expectations(p, x, codes, np.array([n]), np.array([True]), p.start[None], np.full((1, s), 1 / s))
+    density = p.weight * np.exp(-0.5 * ((x[codes][:, None, None] - p.mean) ** 2 / p.var + np.log(2 * np.pi * p.var)).sum(axis=3))
+    want = np.zeros(s + s * s + s * m * 5)
+    total = 0.0
+    for path in product(range(s * m), repeat=n):
+        state, part = [v // m for v in path], [v % m for v in path]
+        chance = p.start[state[0]] * np.prod([p.move[a, b] for a, b in zip(state, state[1:])]) * np.prod(density[range(n), state, part])
+        start, xi, post, sx, sxx = np.zeros(s), np.zeros((s, s)), np.zeros((s, m)), np.zeros((s, m, 2)), np.zeros((s, m, 2))
+        start[state[0]] = 1
+        np.add.at(xi, (state[:-1], state[1:]), 1)
+        for at, v in ((post, 1.0), (sx, x[codes]), (sxx, x[codes] ** 2)):
+            np.add.at(at, (state, part), v)
+        want += chance * np.concatenate([a.ravel() for a in (start, xi, post, sx, sxx)])
+        total += chance
+    assert np.allclose(got[:-1], want / total) and np.isclose(got[-1], np.log(total))
